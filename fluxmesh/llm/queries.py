@@ -9,6 +9,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_warc
+
+    return read_warc(spark, write_warc(_table(spark, sf_dir, "pages"))).drop("url")
+
+
+def op4_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import build_lexicon, encode_documents
+
+    docs = _table(spark, sf_dir, "documents")
+    return encode_documents(docs, "byte_bpe_50k.json", build_lexicon(docs, "byte_bpe_50k.json"))
+
+
 def op8_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -21,4 +34,4 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op8_arrow_token_files, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_splittable_warc, op4_transducer_bpe, op8_arrow_token_files, op9_best_fit_packing)}

@@ -1,7 +1,7 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
 A file holds the ids of one range of documents, in document order, as record batches of two fixed-size-list columns:
-``tokens`` (sequences of ``seq_len`` ids) and ``mask`` (1 for an id, 0 for the padding at the file's end). Since every
+``tokens`` (sequences of ``seq_len`` ids) and ``mask`` (one bit an id, unset for the padding at the file's end). Since every
 sequence has the same width, sequence ``i`` of a memory-mapped file is a view into batch ``i // rows_per_batch``: no
 bytes are copied. A second stream beside it, ``<file>.index``, holds where each document lies.
 
@@ -31,8 +31,7 @@ def _sequence_batch(ids: np.ndarray, seq_len: int, schema: pa.Schema) -> pa.Reco
     n = -(-len(ids) // seq_len)
     flat = np.zeros(n * seq_len, ids.dtype)
     flat[: len(ids)] = ids
-    mask = np.zeros(n * seq_len, np.uint8)
-    mask[: len(ids)] = 1
+    mask = np.arange(n * seq_len) < len(ids)
     return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), seq_len) for x in (flat, mask)], schema=schema)
 
 
@@ -41,7 +40,7 @@ class SequenceWriter:
 
     def __init__(self, sink, seq_len: int, rows: int, dtype):
         kind = pa.from_numpy_dtype(np.dtype(dtype))
-        self.schema = pa.schema([("tokens", pa.list_(pa.field("item", kind), seq_len)), ("mask", pa.list_(pa.field("item", pa.uint8()), seq_len))], {"seq_len": str(seq_len), "rows_per_batch": str(rows)})
+        self.schema = pa.schema([("tokens", pa.list_(pa.field("item", kind), seq_len)), ("mask", pa.list_(pa.field("item", pa.bool_()), seq_len))], {"seq_len": str(seq_len), "rows_per_batch": str(rows)})
         self.out = pa.ipc.new_stream(sink, self.schema)
         self.seq_len, self.full, self.held, self.size = seq_len, seq_len * rows, [], 0
 
@@ -75,14 +74,14 @@ class SequenceFile:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def _view(self, column: int, i: int) -> np.ndarray:
-        lists = self.batches[i // self.rows].column(column)
-        return lists.values.to_numpy(zero_copy_only=True)[(lists.offset + i % self.rows) * self.seq_len :][: self.seq_len]
+    def _view(self, column: int, i: int) -> pa.Array:
+        return self.batches[i // self.rows].column(column).values.slice(i % self.rows * self.seq_len, self.seq_len)
 
     def tokens(self, i: int) -> np.ndarray:
-        return self._view(0, i)
+        return self._view(0, i).to_numpy(zero_copy_only=True)
 
-    def mask(self, i: int) -> np.ndarray:
+    def mask(self, i: int) -> pa.BooleanArray:
+        """A view of the packed bits."""
         return self._view(1, i)
 
     def span(self, start: int, length: int) -> np.ndarray:

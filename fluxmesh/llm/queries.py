@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import detect, span_string
+
+    found = detect(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(span_string("base"), 256).alias("base_sha256"), span_string("found").alias("spans"), "n_secret")
+
+
 def op3_splittable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_warc, write_warc
 
@@ -22,6 +30,13 @@ def op4_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, "byte_bpe_50k.json", build_lexicon(docs, "byte_bpe_50k.json"))
 
 
+def op5_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    judged = judge(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_flagged", F.round("shrunk_rate", 9).alias("host_rate"))
+
+
 def op8_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -34,4 +49,4 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op3_splittable_warc, op4_transducer_bpe, op8_arrow_token_files, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_weak_supervision_pii, op3_splittable_warc, op4_transducer_bpe, op5_host_quality_rules, op8_arrow_token_files, op9_best_fit_packing)}

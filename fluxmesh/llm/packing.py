@@ -26,7 +26,9 @@ from .wordtokens import encoded_batches
 GROUP = 60_000
 PIECES = "doc_id long, copy int, piece int, start long, length long, ids_crc32 long"
 #: Swap candidates tried for each piece of the bin being drained.
-TRIES = 64
+TRIES = 32
+#: Passes of the search over a group; each drains the emptiest bin as far as exchanges go.
+PASSES = 40
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -77,60 +79,51 @@ def drain(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list
     full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
     work = [b for b in bins if sum(lengths[i] for i in b) < capacity]
     fill = [sum(lengths[i] for i in b) for b in work]
-    while len(full) + sum(1 for b in work if b) > least:
+    for _ in range(PASSES):
+        if len(full) + sum(1 for b in work if b) <= least:
+            break
         order = sorted((k for k in range(len(work)) if work[k]), key=lambda k: (fill[k], k))
-        if len(order) < 2 or not _improve(work, fill, lengths, capacity, order):
+        if len(order) < 2 or not any(_exchange(src, work, fill, lengths, capacity, order) for src in order[:8]):
             break
     return full + [b for b in work if b]
 
 
-def _improve(work, fill, lengths, capacity, order) -> bool:
-    """Exchange pieces of the emptiest bins with fuller ones; true if the sum of squared fills rose."""
-    rooms = sorted((capacity - fill[k], k) for k in order)
+def _exchange(src, work, fill, lengths, capacity, order) -> bool:
+    """Exchange pieces of bin ``src`` with fuller bins; true if the sum of squared fills rose."""
+    rooms = sorted((capacity - fill[k], k) for k in order if k != src)
     gained = False
 
-    def put(k, change):
-        rooms.pop(bisect_left(rooms, (capacity - fill[k], k)))
-        fill[k] += change
-        insort(rooms, (capacity - fill[k], k))
-
-    for src in order[: max(1, len(order) // 4)]:
-        for a in sorted(work[src], key=lambda i: -lengths[i]):
-            n = lengths[a]
-            at = bisect_left(rooms, (n, -1))
-            move = next((k for _, k in rooms[at : at + TRIES] if k != src and fill[k] >= fill[src] - n), None)
-            if move is not None:
-                work[src].remove(a)
-                work[move].append(a)
-                put(src, -n)
-                put(move, n)
-                gained = True
+    def give(a, k, back, room):
+        rooms.pop(bisect_left(rooms, (room, k)))
+        for i in back:
+            work[k].remove(i)
+        work[k].append(a)
+        work[src].remove(a)
+        work[src] += back
+        gain = lengths[a] - sum(lengths[i] for i in back)
+        fill[src] -= gain
+        fill[k] += gain
+        insort(rooms, (room - gain, k))
+
+    for a in sorted(work[src], key=lambda i: -lengths[i]):
+        n = lengths[a]
+        at = bisect_left(rooms, (n, -1))
+        if at < len(rooms):  # a move, to the bin it fits best
+            give(a, rooms[at][1], [], rooms[at][0])
+            gained = True
+            continue
+        for room, k in rooms[-TRIES:][::-1]:
+            if not room:
                 continue
-            done = False
-            for room, k in rooms[:TRIES]:
-                if k == src or fill[k] < fill[src] or not room:
-                    continue
-                own = sorted(work[k], key=lambda i: -lengths[i])
-                sizes = [-lengths[i] for i in own]
-                at = bisect_left(sizes, -(n - 1))
-                if at < len(own) and n - lengths[own[at]] > room:
-                    at = len(own)
-                out = [own[at]] if at < len(own) and lengths[own[at]] >= n - room else []
-                if not out:
-                    pair = next(((x, y) for p, x in enumerate(own[:TRIES]) for y in own[p + 1 : TRIES] if n - room <= lengths[x] + lengths[y] < n), None)
-                    out = list(pair or ())
-                if out:
-                    gain = n - sum(lengths[i] for i in out)
-                    for i in out:
-                        work[k].remove(i)
-                    work[k].append(a)
-                    work[src].remove(a)
-                    work[src] += out
-                    put(src, -gain)
-                    put(k, gain)
-                    gained = done = True
-                    break
-            if done:
+            own = sorted(work[k], key=lambda i: lengths[i])
+            sizes = [lengths[i] for i in own]
+            at = bisect_left(sizes, n - room)
+            back = [own[at]] if at < len(own) and sizes[at] < n else []  # one for one
+            if not back:  # two for one
+                back = next(([x, own[y]] for p, x in enumerate(own[:TRIES]) if (y := bisect_left(sizes, n - room - sizes[p], p + 1)) < len(own) and sizes[p] + sizes[y] < n), [])
+            if back:
+                give(a, k, back, room)
+                gained = True
                 break
     return gained
 

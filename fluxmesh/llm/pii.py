@@ -167,10 +167,14 @@ def detect(docs: DataFrame, keep_columns: list[str]) -> DataFrame:
     spans = F.filter(F.transform("spans", scored), lambda x: x["kind"].isin(*BASE) | (x["score"] >= 0.5))
     out = found.select(*[F.col(f"own_{c}").alias(f"own_{c}") for c in keep_columns], spans.alias("found"))
     out = out.withColumn("base", F.filter("found", lambda x: x["kind"].isin(*BASE)))
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("found", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select(*[F.col(f"own_{c}").alias(c) for c in keep_columns], *counts, "base", "found")
 
 
+def _is(kind: str):
+    return lambda x: x["kind"] == kind
+
+
 def span_string(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 

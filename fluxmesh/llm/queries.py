@@ -37,6 +37,12 @@ def op5_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_flagged", F.round("shrunk_rate", 9).alias("host_rate"))
 
 
+def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -49,4 +55,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1, capacity=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_weak_supervision_pii, op3_splittable_warc, op4_transducer_bpe, op5_host_quality_rules, op8_arrow_token_files, op9_best_fit_packing)}
+def op10_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents"), ["doc_id", "text"])
+
+
+QUERIES = {f.__name__: f for f in (op2_weak_supervision_pii, op3_splittable_warc, op4_transducer_bpe, op5_host_quality_rules, op6_noisy_or_toxicity, op8_arrow_token_files, op9_best_fit_packing, op10_winnowed_line_dedup)}

@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch
+from .common import materialize, open_fs, scratch
 from .wordtokens import byte_symbols, tokenizer_path
 
 #: Pieces of the lexicon. It bounds what is collected to compile it; rarer pieces are merged, with the same ids.
-LEXICON_WORDS = 1 << 16
-MEMO = 700_000
+LEXICON_WORDS = 1 << 18
+#: Pieces seen less often are never frequent, however small the corpus.
+LEAST_SEEN = 4
+MEMO = 1_000_000
 #: Fixed value: the splitting pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Letters whose classes all Unicode versions agree on; other texts are split by the library's own splitter.
@@ -277,7 +279,8 @@ def text_encoder(name: str) -> TextEncoder:
 
 
 def frequent_pieces(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
-    """The ``limit`` most frequent pieces over all texts (``piece, n``), equal counts in piece order.
+    """The most frequent pieces over all texts (``piece, n``), at most ``limit``: all that reach the least count class
+    for which they are so few. A class is an eighth of a doubling, so choosing it takes a table of a few hundred rows.
 
     Each task counts its pieces before anything is shuffled, so a piece that fills the corpus is one row a task.
     """
@@ -302,7 +305,13 @@ def frequent_pieces(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
         yield out()
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "piece string, n long")
-    return counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(limit)
+    often = materialize(counted.groupBy("piece").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN).withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "pieces")
+    taken, least = 0, 1 << 30
+    for level, n in sorted(((r["level"], r["count"]) for r in often.groupBy("level").count().collect()), reverse=True):
+        if taken + n > limit:
+            break
+        taken, least = taken + n, level
+    return often.where(F.col("level") >= least).select("piece", "n")
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, limit: int = LEXICON_WORDS) -> str:

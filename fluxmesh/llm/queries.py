@@ -43,6 +43,12 @@ def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import link_components
+
+    return link_components(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op8_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -61,4 +67,4 @@ def op10_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"), ["doc_id", "text"])
 
 
-QUERIES = {f.__name__: f for f in (op2_weak_supervision_pii, op3_splittable_warc, op4_transducer_bpe, op5_host_quality_rules, op6_noisy_or_toxicity, op8_arrow_token_files, op9_best_fit_packing, op10_winnowed_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_weak_supervision_pii, op3_splittable_warc, op4_transducer_bpe, op5_host_quality_rules, op6_noisy_or_toxicity, op7_ngram_jaccard_join, op8_arrow_token_files, op9_best_fit_packing, op10_winnowed_line_dedup)}

@@ -15,16 +15,17 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TRAIN = 8000
+MAX_TRAIN = 6000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
-#: A word is a feature if so many training documents hold it.
+#: A word or beginning is a feature if words that so many training documents hold, summed, have it.
 MIN_DOCS = 6
 STEPS, RATE, SPARSE = 250, 0.5, 2e-4
 START_BIAS = -6.0
@@ -52,34 +53,42 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) ->
 
 def train(rows: list[tuple[str, int]]) -> tuple[dict[str, float], float]:
     """(word weights that are not zero, bias) of the sentence model."""
-    bags = [[set(WORD.findall(s.lower())) for s in SENTENCE.findall(t)] for t, _ in rows]
+    ids: dict[str, int] = {}
+    word, size, doc = array("i"), array("i"), array("i")
+    holders: list[int] = []  # documents that hold each word
+    for d, (text, _) in enumerate(rows):
+        inside = set()
+        for sentence in SENTENCE.findall(text.lower()):
+            own = {ids.setdefault(w, len(ids)) for w in WORD.findall(sentence)}
+            word.extend(sorted(own))
+            size.append(len(own))
+            doc.append(d)
+            inside |= own
+        holders += [0] * (len(ids) - len(holders))
+        for k in inside:
+            holders[k] += 1
     seen: dict[str, int] = {}
-    for bag in bags:
-        for f in {f for w in set().union(*bag) for f in features(w)}:
-            seen[f] = seen.get(f, 0) + 1
+    for w, n in zip(ids, holders, strict=True):
+        for f in features(w):
+            seen[f] = seen.get(f, 0) + n
     vocab = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= MIN_DOCS))}
     if not vocab or len({y for _, y in rows}) < 2:
         return {}, START_BIAS
-    word, sent, doc = [], [], []
-    known: dict[str, list[int]] = {}
-    for d, bag in enumerate(bags):
-        for s in bag:
-            for w in s:
-                if w not in known:
-                    known[w] = [vocab[f] for f in features(w) if f in vocab]
-                word += known[w]
-                sent += [len(doc)] * len(known[w])
-            doc.append(d)
-    word, sent, doc = np.array(word, np.int64), np.array(sent, np.int64), np.array(doc, np.int64)
+    links = np.array([(k, vocab[f]) for k, w in enumerate(ids) for f in features(w) if f in vocab], np.int32)
+    of_word, of_feature, n_words = links[:, 0], links[:, 1], len(ids)
+    del ids, seen, links
+    word, doc = np.frombuffer(word, np.int32), np.frombuffer(doc, np.int32)
+    sent = np.repeat(np.arange(len(doc), dtype=np.int32), np.frombuffer(size, np.int32))
     y = np.array([y for _, y in rows], float)
     w, b, gw, gb = np.zeros(len(vocab)), START_BIAS, np.full(len(vocab), 1e-8), 1e-8
     for _ in range(STEPS):
-        z = np.bincount(sent, w[word], len(doc)) + b
+        own = np.bincount(of_word, w[of_feature], n_words)
+        z = np.bincount(sent, own[word], len(doc)) + b
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(doc, np.log1p(-np.minimum(s, 1 - 1e-9)), len(y)))
         p = np.clip(1 - none, 1e-9, 1 - 1e-9)
         dz = s * np.where(y > 0, -(1 - p) / p, 1.0)[doc] / len(y)
-        dw, db = np.bincount(word, dz[sent], len(vocab)), dz.sum()
+        dw, db = np.bincount(of_feature, np.bincount(word, dz[sent], n_words)[of_word], len(vocab)), dz.sum()
         gw, gb = gw + dw * dw, gb + db * db
         step = RATE / np.sqrt(gw)
         w = w - step * dw

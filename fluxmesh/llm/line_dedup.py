@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 GRAM_WORDS, RUN_WORDS = 40, 50
-#: Documents with deleted lines are broadcast up to this many rows, else joined by a shuffle.
-BROADCAST_ROWS = 20_000
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
@@ -71,7 +69,7 @@ def winnow(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, ru
     return sorted((k, i) for i, k in chosen.items())
 
 
-def extend(own: list[int], other: list[int], seeds: list[tuple[int, int]], same: bool) -> list[tuple[int, int]]:
+def extend(own: list[int], other: list[int], seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of lines ``[a, b)`` of ``own`` that equal lines of ``other`` around the seeds (own line, other line)."""
     runs: dict[int, list[tuple[int, int]]] = {}
     for i, j in sorted(seeds):
@@ -120,12 +118,12 @@ def deleted_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int =
     other = unique.select(F.col("doc_id").alias("o_id"), F.col("text_hash").alias("o_hash"), F.col("hashes").alias("other")).join(sources.select(F.col("f_id").alias("s_id"), F.col("f_hash").alias("s_hash")), F.col("o_id").eqNullSafe(F.col("s_id")) & (F.col("o_hash") == F.col("s_hash")), "left_semi")
     pairs = seeds.join(other, F.col("f_id").eqNullSafe(F.col("o_id")) & (F.col("f_hash") == F.col("o_hash")))
     mine = unique.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), F.col("hashes").alias("mine"))
-    both = pairs.join(mine, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))).select("doc_id", "text_hash", "mine", "other", "seeds", (F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_hash") == F.col("f_hash"))).alias("same"))
+    both = pairs.join(mine, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))).select("doc_id", "text_hash", "mine", "other", "seeds")
 
     def grow(batches):
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
-            found = [extend(m, o, [(s["own"], s["other"]) for s in seeds], same) for m, o, seeds, same in rows]
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 5)), strict=True)
+            found = [extend(m, o, [(s["own"], s["other"]) for s in seeds]) for m, o, seeds in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[{"a": a, "b": b} for a, b in f] for f in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["doc_id", "text_hash", "runs"])
 
     grown = both.mapInArrow(grow, "doc_id long, text_hash long, runs array<struct<a:int,b:int>>")
@@ -135,10 +133,9 @@ def deleted_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int =
 def dedup_lines(docs: DataFrame, keep_columns: list[str], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """``keep_columns`` with the cleaned ``text``, ``n_lines``, ``n_removed`` and ``removed`` (first-last, inclusive)."""
     runs = deleted_runs(docs, gram_words, run_words).select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "removed")
-    side = F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs
     others = [c for c in keep_columns if c != "text"]
     own = docs.select(*[F.col(c).alias(f"own_{c}") for c in others], F.col("doc_id").cast("long").alias("k_id"), F.col("text").cast("string").alias("k_text"))
-    joined = own.join(side, F.col("k_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("k_text") == F.col("r_hash")), "left").select(*[f"own_{c}" for c in others], F.col("k_text").alias("text"), "removed")
+    joined = own.join(runs, F.col("k_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("k_text") == F.col("r_hash")), "left").select(*[f"own_{c}" for c in others], F.col("k_text").alias("text"), "removed")
     types = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in others] + ["text string", "n_lines long", "n_removed long", "removed string"])
     names = [*others, "text", "n_lines", "n_removed", "removed"]

@@ -10,6 +10,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: every row of ``embeddings`` is drawn, and rows divisible by 20 also as edited copies."""
+    from .images import embedding_images, image_classes
+
+    found = image_classes(embedding_images(_table(spark, sf_dir, "embeddings")))
+    vec = F.shiftright("image_id", 1)
+    return found.select(vec.alias("vec_id"), (F.col("image_id") % 2 == 1).alias("edited"), "image_id", "n_corners", "class_id", F.shiftright("class_id", 1).alias("class_vec_id"), "n_links")
+
+
 def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import detect, span_string
 
@@ -67,4 +76,4 @@ def op10_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"), ["doc_id", "text"])
 
 
-QUERIES = {f.__name__: f for f in (op2_weak_supervision_pii, op3_splittable_warc, op4_transducer_bpe, op5_host_quality_rules, op6_noisy_or_toxicity, op7_ngram_jaccard_join, op8_arrow_token_files, op9_best_fit_packing, op10_winnowed_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_image_copies, op2_weak_supervision_pii, op3_splittable_warc, op4_transducer_bpe, op5_host_quality_rules, op6_noisy_or_toxicity, op7_ngram_jaccard_join, op8_arrow_token_files, op9_best_fit_packing, op10_winnowed_line_dedup)}

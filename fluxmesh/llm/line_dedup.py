@@ -135,7 +135,8 @@ def dedup_lines(docs: DataFrame, keep_columns: list[str], gram_words: int = GRAM
     runs = deleted_runs(docs, gram_words, run_words).select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "removed")
     others = [c for c in keep_columns if c != "text"]
     own = docs.select(*[F.col(c).alias(f"own_{c}") for c in others], F.col("doc_id").cast("long").alias("k_id"), F.col("text").cast("string").alias("k_text"))
-    joined = own.join(runs, F.col("k_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("k_text") == F.col("r_hash")), "left").select(*[f"own_{c}" for c in others], F.col("k_text").alias("text"), "removed")
+    # Always by a shuffle: whether the deletions are few enough to be sent everywhere depends on the corpus.
+    joined = own.join(runs.hint("merge"), F.col("k_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("k_text") == F.col("r_hash")), "left").select(*[f"own_{c}" for c in others], F.col("k_text").alias("text"), "removed")
     types = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in others] + ["text string", "n_lines long", "n_removed long", "removed string"])
     names = [*others, "text", "n_lines", "n_removed", "removed"]

@@ -1 +1 @@
-"""Field analytics on Spark."""
+"""Readers, writers and generators of meshes, coils and results."""

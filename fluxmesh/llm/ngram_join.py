@@ -8,9 +8,10 @@
    prefixes of that order, and if rare n-grams fill a prefix the class has no partner and leaves the join.
 4. Candidates share a prefix n-gram and pass the length and position bounds. Their partial overlaps are counted
    fragment by fragment and summed per pair, which decides the pair exactly.
-5. Pairs are formed in two rounds: first each member of a posting list with the list's smallest member, which joins
-   a group of near copies by as many pairs as it has members; then all members of a list that are not yet connected.
-   No link between different components is left out.
+5. Pairs are formed in rounds: first each member of a posting list with the list's smallest member, which joins a
+   group of near copies by as many pairs as it has members; then, in long lists, each member with further hubs it is
+   not connected to; at last all members of a list that are not connected. Every pair of a list whose members are
+   still in different components is so decided, and no link between components is left out.
 
 Rows: null texts and texts without words have an empty set and link with nothing; a document without an id is measured
 and never linked; rows that share an id are compared each by their own text; an empty table gives no rows. Texts are
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from .common import components, drop_scratch, free_shuffles, materialize
 
 NGRAM, PERCENT = 4, 85
-FRAGMENT_BYTES = 16 << 20
+FRAGMENT_BYTES = 10 << 20
 OVERLAP_FRAGMENTS = 8
-FLUSH = 1_500_000
-MEMO_WORDS = 500_000
+FLUSH = 600_000
+MEMO_WORDS = 200_000
+#: Posting lists of more members are met by further hubs before all their open pairs are formed.
+LONG_LIST, MORE_HUBS = 48, 10
 #: Ids of classes to compare are broadcast up to this many rows (8 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 300_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -259,6 +262,20 @@ def _bounded(percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * room >= percent * (na + nb))
 
 
+def _named(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """``lists`` with each class's component so far."""
+    return lists.join(joined, F.col("cls") == F.col("node"), "left").select("gram", "cls", "n", "rank", F.coalesce("comp", "cls").alias("comp"))
+
+
+def _bridge(joined: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``joined`` after the links among ``pairs(a, b, na, nb, ca, cb)`` of different components."""
+    links = verified(pairs.select("a", "b", "na", "nb"), sets, percent)
+    bridges = links.join(pairs.select("a", "b", "ca", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    over = components(bridges).select(F.col("node").alias("c_node"), F.col("comp").alias("c_comp"))
+    both = joined.join(over, F.col("comp") == F.col("c_node"), "full")
+    return materialize(both.select(F.coalesce("node", "c_node").alias("node"), F.coalesce("c_comp", "comp").alias("comp")), "joined")
+
+
 def link_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
@@ -280,21 +297,29 @@ def link_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     sets = materialize(class_sets(known.join(side, F.col("doc_id") == F.col("rep"), "left_semi"), n), "sets")
     first = materialize(verified(star, sets, percent), "links")
     joined = materialize(components(first), "joined")
-    free_shuffles(spark)
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for order in range(MORE_HUBS):
+        free_shuffles(spark)
+        named = _named(live, joined)
+        long = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min(F.struct(F.xxhash64("cls", F.lit(order)).alias("o"), "cls", "n", "rank", "comp")).alias("hub")).where(f"lo < hi and m > {LONG_LIST}")
+        long = long.select("gram", F.col("hub.cls").alias("a"), F.col("hub.n").alias("na"), F.col("hub.rank").alias("ra"), F.col("hub.comp").alias("ca"))
+        met = named.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("comp").alias("cb")).join(long, "gram")
+        met = materialize(met.where((F.col("ca") != F.col("cb")) & _bounded(percent)).select("a", "b", "na", "nb", "ca", "cb").distinct(), "hubs")
+        if met.isEmpty():
+            break
+        tried = tried.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        joined = _bridge(joined, met, sets, percent)
 
-    named = live.join(joined, F.col("cls") == F.col("node"), "left").select("gram", "cls", "n", "rank", F.coalesce("comp", "cls").alias("comp"))
+    free_shuffles(spark)
+    named = _named(live, joined)
     open_lists = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
     rest = materialize(named.join(open_lists, "gram", "left_semi"), "open")
     a = rest.select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
     b = rest.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("comp").alias("cb"))
     apart = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _bounded(percent)).select("a", "b", "na", "nb", "ca", "cb").distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     apart = materialize(apart.join(tried, ["a", "b"], "left_anti"), "apart")
-    second = verified(apart.select("a", "b", "na", "nb"), sets, percent)
-    bridges = materialize(second.join(apart.select("a", "b", "ca", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "bridges")
-    over = components(bridges).select(F.col("node").alias("c_node"), F.col("comp").alias("c_comp"))
-    final = materialize(joined.join(over, F.col("comp") == F.col("c_node"), "full").select(F.coalesce("node", "c_node").alias("node"), F.coalesce("c_comp", "comp").alias("comp")), "final")
-    for used in (star, rest, apart, sets):
+    final = _bridge(joined, apart, sets, percent)
+    for used in (rest, apart, sets):
         drop_scratch(used)
 
     placed = own.join(final, F.col("cls") == F.col("node"), "left").select("doc_id", "cls", "n_shingles", F.coalesce("comp", "cls").alias("comp"))

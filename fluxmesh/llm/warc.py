@@ -144,7 +144,8 @@ def records_in_range(source, size: int, start: int, end: int, chunk: int = 1 <<
 def _promising(data: bytes) -> bool:
     """Whether a member that could not be decoded may just not be read whole yet."""
     try:
-        return zlib.decompressobj(31).decompress(data, 16).startswith(b"WARC/1."[: len(data)])
+        out = zlib.decompressobj(31).decompress(data, 16)
+        return out[:7] == b"WARC/1."[: len(out)]
     except zlib.error:
         return False
 

@@ -1,5 +1,4 @@
 import base64
-import gzip
 import hashlib
 import io
 
@@ -15,9 +14,9 @@ class Source(io.BytesIO):
 def test_ranges_own_each_record_once():
     members = [gzip_member(build_record(i, f"http://h/{i}", b"<p>" + bytes([65 + i % 26]) * (37 * i), None, False)) for i in range(40)]
     data = b"".join(members)
-    for step in (1 + len(data) // 3, 97, 1000):
+    for step in (1 + len(data) // 3, 97, 1000, 13):
         got = [r for a in range(0, len(data), step) for r in records_in_range(Source(data), len(data), a, min(a + step, len(data)), chunk=256)]
-        assert [gzip.compress(r, 6, mtime=0)[10:] for r in got] == [gzip.compress(decode_member(m)[0], 6, mtime=0)[10:] for m in members]
+        assert got == [decode_member(m)[0] for m in members]
 
 
 def test_false_magic_and_nested_archives():

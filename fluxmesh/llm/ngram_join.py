@@ -116,8 +116,10 @@ PACKED = "part int, kind int, payload binary"
 
 def _cut(part: np.ndarray):
     """(part, positions) for each part, keeping order."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0])) if len(part) else []
+    at = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0]))
     for a, b in zip(at, [*at[1:], len(part)], strict=True):
         yield int(part[order[a]]), order[a:b]
 

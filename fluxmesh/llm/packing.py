@@ -90,7 +90,7 @@ def drain(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list
 
 def _exchange(src, work, fill, lengths, capacity, order) -> bool:
     """Exchange pieces of bin ``src`` with fuller bins; true if the sum of squared fills rose."""
-    rooms = sorted((capacity - fill[k], k) for k in order if k != src)
+    rooms = sorted((capacity - fill[k], k) for k in order if k != src and fill[k] >= fill[src])
     gained = False
 
     def give(a, k, back, room):

@@ -115,7 +115,7 @@ def test_packing_covers_every_token_once(spark):
         n = len(ids) // 4
         want += [(str(r.doc_id), p, 256 * p, min(256, n - 256 * p), zlib.crc32(ids[1024 * p : 1024 * (p + 1)])) for p in range(-(-n // 256))]
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
-    assert len(by) <= -(-sum(r.length for r in rows) // 256) + 1
+    assert len(by) <= 1.01 * -(-sum(r.length for r in rows) // 256)
     assert pack(empty_docs(spark), "word_bpe_49k.json", 1).count() == 0
 
 

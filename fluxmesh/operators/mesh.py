@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxmesh.functions.vectors import add, cross, dot, named, scale, sub, unit, vec
+from fluxmesh.functions.vectors import add, cross, dot, named, norm, scale, sub, vec
 from fluxmesh.model import SURFACE_TAGS, TISSUES
 
 LOCAL = [f"n{i}" for i in range(4)]
@@ -114,6 +114,12 @@ def tissue_slots(tets: DataFrame) -> DataFrame:
     return pairs.select((F.row_number().over(Window.orderBy("node", "tag")) - 1).alias("slot"), "node", "tag")
 
 
+def _normalised(rows: DataFrame, key: str, prefix: str) -> DataFrame:
+    """``key`` and the vector ``s`` at length one, as ``prefix``; a zero vector stays zero."""
+    r = rows.select(key, *named(vec("s"), "s"), norm(vec("s")).alias("long"))
+    return r.select(key, *[F.when(F.col("long") > 0, c / F.col("long")).otherwise(0.0).alias(f"{prefix}{x}") for c, x in zip(vec("s"), "xyz", strict=True)])
+
+
 def skin_normals(nodes: DataFrame, tris: DataFrame, rounds: int = 2) -> DataFrame:
     """``t, nx, ny, nz``: face normals, smoothed over the nodes and back ``rounds`` times.
 
@@ -126,9 +132,9 @@ def skin_normals(nodes: DataFrame, tris: DataFrame, rounds: int = 2) -> DataFram
     for k in range(rounds):
         at_nodes = ids.join(cur, "t").groupBy("node").agg(*[F.sum(f"f{a}").alias(f"s{a}") for a in "xyz"])
         if k:
-            at_nodes = at_nodes.select("node", *named(unit(vec("s")), "s"))
+            at_nodes = _normalised(at_nodes, "node", "s")
         summed = ids.join(at_nodes, "node").groupBy("t").agg(*[F.sum(f"s{a}").alias(f"s{a}") for a in "xyz"])
-        cur = summed.select("t", *named(unit(vec("s")), "f"))
+        cur = _normalised(summed, "t", "f")
     return cur.select("t", F.col("fx").alias("nx"), F.col("fy").alias("ny"), F.col("fz").alias("nz"))
 
 

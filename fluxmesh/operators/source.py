@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxmesh.functions.vectors import Vec, add, closest_on_triangle, cross, dot, named, scale, sub, unit, vec
+from fluxmesh.functions.vectors import Vec, add, closest_on_triangle, cross, dot, named, norm, scale, sub, vec
 from fluxmesh.model import MU0_4PI
 from fluxmesh.operators.mesh import with_nodes
 
@@ -38,12 +38,12 @@ def closest_points(placements: DataFrame, nodes: DataFrame, tris: DataFrame) ->
     return best.select("p", "m.t", "m.d2", "m.qx", "m.qy", "m.qz")
 
 
-def in_plane(normal: Vec) -> Vec:
-    """The axis least along ``normal``, orthogonalised: the direction taken where no handle decides it."""
+def in_plane_axis(normal: Vec) -> Vec:
+    """The axis least along ``normal``: the direction taken, made orthogonal, where no handle decides it."""
     ax, ay, az = (F.abs(c) for c in normal)
-    first, second = (ax <= ay) & (ax <= az), ~((ax <= ay) & (ax <= az)) & (ay <= az)
-    axis = (F.when(first, 1.0).otherwise(0.0), F.when(second, 1.0).otherwise(0.0), F.when(first | second, 0.0).otherwise(1.0))
-    return unit(sub(axis, scale(normal, dot(axis, normal))))
+    first = (ax <= ay) & (ax <= az)
+    second = ~first & (ay <= az)
+    return F.when(first, 1.0).otherwise(0.0), F.when(second, 1.0).otherwise(0.0), F.when(first | second, 0.0).otherwise(1.0)
 
 
 def coil_frames(placements: DataFrame, nodes: DataFrame, tris: DataFrame, normals: DataFrame) -> DataFrame:
@@ -51,15 +51,16 @@ def coil_frames(placements: DataFrame, nodes: DataFrame, tris: DataFrame, normal
     origin lies ``dist`` above the surface. ``degenerate`` marks handles along the normal."""
     near = closest_points(placements, nodes, tris).join(normals, "t").join(placements, "p")
     n = vec("n")
-    y_raw = sub(vec("h"), vec("q"))
-    along = dot(y_raw, n)
-    flat = sub(y_raw, scale(n, along))
-    size = dot(y_raw, y_raw)
-    degenerate = (size == 0) | (F.coalesce(F.try_divide(dot(flat, flat), size), F.lit(0.0)) <= DEGENERATE)
-    chosen = tuple(F.when(degenerate, f).otherwise(g) for f, g in zip(in_plane(n), unit(flat), strict=True))
-    z = scale(n, F.lit(-1.0))
-    o = add(vec("q"), scale(n, F.col("dist")))
-    r = near.select("p", *named(chosen, "y"), *named(z, "z"), *named(o, "o"), degenerate.alias("degenerate"))
+    handle = sub(vec("h"), vec("q"))
+    # Every step is columns of its own: generated code then computes each value once.
+    r = near.select("p", *named(n, "n"), *named(handle, "y"), *named(add(vec("q"), scale(n, F.col("dist"))), "o"), dot(handle, n).alias("along"), dot(handle, handle).alias("size"))
+    r = r.select("p", "size", *named(n, "n"), *named(vec("o"), "o"), *named(sub(vec("y"), scale(n, F.col("along"))), "f"), *named(in_plane_axis(n), "i"))
+    r = r.select("*", dot(vec("f"), vec("f")).alias("ff"), dot(vec("i"), n).alias("tilt"))
+    r = r.select("*", ((F.col("size") == 0) | (F.coalesce(F.try_divide("ff", "size"), F.lit(0.0)) <= DEGENERATE)).alias("degenerate"))
+    spare = sub(vec("i"), scale(n, F.col("tilt")))
+    r = r.select("p", "degenerate", *named(n, "n"), *named(vec("o"), "o"), *[F.when(F.col("degenerate"), g).otherwise(f).alias(f"y{x}") for f, g, x in zip(vec("f"), spare, "xyz", strict=True)])
+    r = r.select("*", norm(vec("y")).alias("long"))
+    r = r.select("p", "degenerate", *named(vec("o"), "o"), *[F.when(F.col("long") > 0, c / F.col("long")).otherwise(0.0).alias(f"y{x}") for c, x in zip(vec("y"), "xyz", strict=True)], *[(-c).alias(f"z{x}") for c, x in zip(n, "xyz", strict=True)])
     x = cross(vec("y"), vec("z"))
     cols = [c.alias(f"r{i}{k}") for k, axis in enumerate((x, vec("y"), vec("z"))) for i, c in enumerate(axis)]
     return r.select("p", *cols, "ox", "oy", "oz", "degenerate")

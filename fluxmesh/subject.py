@@ -80,7 +80,10 @@ class Subject:
     # ---- forward ------------------------------------------------------------------------------------------------
 
     def frames(self, placements: DataFrame) -> DataFrame:
-        return source.require_frames(source.coil_frames(source.valid_placements(placements), self.nodes, self.tris, self.normals))
+        """One row a placement, cached: every later step starts from it."""
+        frames = source.coil_frames(source.valid_placements(placements), self.nodes, self.tris, self.normals).persist()
+        self._kept[f"frames {len(self._kept)}"] = frames
+        return source.require_frames(frames)
 
     def nodal_source(self, placed: DataFrame, rate: float, by: tuple[str, ...] = ("p",)) -> DataFrame:
         """``by, node, ax, ay, az`` of placed dipoles."""

@@ -9,8 +9,8 @@
 4. Candidates share a prefix n-gram and pass the length and position bounds. Their partial overlaps are counted
    fragment by fragment and summed per pair, which decides the pair exactly.
 5. Pairs are formed in rounds: first each member of a posting list with the list's smallest member, which joins a
-   group of near copies by as many pairs as it has members; then, in long lists, each member with further hubs it is
-   not connected to; at last all members of a list that are not connected. Every pair of a list whose members are
+   group of near copies by as many pairs as it has members; then, in long lists, the members outside the list's largest
+   component with further hubs from inside it; at last all members of a list that are not connected. Every pair of a list whose members are
    still in different components is so decided, and no link between components is left out.
 
 Rows: null texts and texts without words have an empty set and link with nothing; a document without an id is measured
@@ -32,11 +32,11 @@ from .common import components, drop_scratch, free_shuffles, materialize
 
 NGRAM, PERCENT = 4, 85
 FRAGMENT_BYTES = 10 << 20
-OVERLAP_FRAGMENTS = 8
+OVERLAP_FRAGMENTS = 2
 FLUSH = 600_000
 MEMO_WORDS = 200_000
 #: Posting lists of more members are met by further hubs before all their open pairs are formed.
-LONG_LIST, MORE_HUBS = 48, 10
+LONG_LIST, MORE_HUBS = 48, 14
 #: Ids of classes to compare are broadcast up to this many rows (8 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 300_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -303,8 +303,10 @@ def link_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     for order in range(MORE_HUBS):
         free_shuffles(spark)
         named = _named(live, joined)
-        long = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.min(F.struct(F.xxhash64("cls", F.lit(order)).alias("o"), "cls", "n", "rank", "comp")).alias("hub")).where(f"lo < hi and m > {LONG_LIST}")
-        long = long.select("gram", F.col("hub.cls").alias("a"), F.col("hub.n").alias("na"), F.col("hub.rank").alias("ra"), F.col("hub.comp").alias("ca"))
+        hub = F.min(F.struct(F.xxhash64("cls", F.lit(order)).alias("o"), "cls", "n", "rank", "comp"))
+        parts = named.groupBy("gram", "comp").agg(F.count("*").alias("m"), hub.alias("hub"))
+        long = parts.groupBy("gram").agg(F.sum("m").alias("all"), F.max(F.struct("m", "hub")).alias("most")).where(f"most.m < all and all > {LONG_LIST}")
+        long = long.select("gram", F.col("most.hub.cls").alias("a"), F.col("most.hub.n").alias("na"), F.col("most.hub.rank").alias("ra"), F.col("most.hub.comp").alias("ca"))
         met = named.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("comp").alias("cb")).join(long, "gram")
         met = materialize(met.where((F.col("ca") != F.col("cb")) & _bounded(percent)).select("a", "b", "na", "nb", "ca", "cb").distinct(), "hubs")
         if met.isEmpty():
@@ -316,9 +318,14 @@ def link_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     named = _named(live, joined)
     open_lists = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
     rest = materialize(named.join(open_lists, "gram", "left_semi"), "open")
-    a = rest.select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
-    b = rest.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("comp").alias("cb"))
-    apart = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _bounded(percent)).select("a", "b", "na", "nb", "ca", "cb").distinct()
+    order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"])
+    prefix = lists.join(rest.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(order.alias("prefix"))
+    rest = materialize(rest.join(prefix, "cls"), "open")
+    a = rest.select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"), F.col("prefix").alias("pa"))
+    b = rest.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("comp").alias("cb"), F.col("prefix").alias("pb"))
+    # A pair is formed in the list of the first n-gram its prefixes share, and in no other.
+    once = F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("gram")
+    apart = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _bounded(percent) & once).select("a", "b", "na", "nb", "ca", "cb")
     apart = materialize(apart.join(tried, ["a", "b"], "left_anti"), "apart")
     final = _bridge(joined, apart, sets, percent)
     for used in (rest, apart, sets):

@@ -1,3 +1,49 @@
-"""SQL of the training-data queries."""
+"""DuckDB SQL of the training-data queries that SQL can express on whole tables.
 
-ORACLES: dict[str, str] = {}
+The trained ones (1, 2, 6), the tokenizers (4, 8, 9) and the winnowed extension (10) have none; tests compare them with
+brute force, the libraries and held-out labels.
+"""
+
+from __future__ import annotations
+
+BASE32 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+
+OP3 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') h, strlen(coalesce(html, ''))::BIGINT n, sha1(coalesce(html, '')) d FROM pages),
+ f AS (SELECT d, min(page_id) first FROM p GROUP BY d),
+ g AS (SELECT p.*, first, [('0x' || substr(p.d, 5*i + 1, 5))::BIGINT for i in range(8)] q FROM p JOIN f ON p.d = f.d)
+SELECT page_id, n AS payload_bytes,
+ array_to_string([{BASE32}[1 + ((x >> 15) & 31)] || {BASE32}[1 + ((x >> 10) & 31)] || {BASE32}[1 + ((x >> 5) & 31)] || {BASE32}[1 + (x & 31)] for x in q], '') AS payload_digest,
+ CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM g"""
+
+OP5 = r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') t, [x for x in regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+') if x <> ''] w,
+   [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^ \x09-\x0D]')] l FROM documents),
+ win AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) i FROM t)),
+ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) c FROM win) WHERE c > 1),
+ cov AS (SELECT doc_id, count(DISTINCT i + o) n FROM rep, range(8) r(o) GROUP BY doc_id),
+ m AS (SELECT t.doc_id, source, len(w)::BIGINT n_words, length(array_to_string(w, ''))::BIGINT word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT n_symbols,
+   (len(l) - len(list_distinct(l)))::BIGINT n_dup_lines, len(l)::BIGINT n_lines, coalesce(cov.n, 0)::BIGINT n_repeat_words FROM t LEFT JOIN cov ON t.doc_id = cov.doc_id),
+ r AS (SELECT *, n_words < 20 OR 100*n_repeat_words > 30*n_words base_failed, 100*n_symbols > 10*n_words OR 100*n_dup_lines > 30*n_lines OR word_chars < 2*n_words OR word_chars > 15*n_words soft FROM m),
+ h AS (SELECT source, count(*) n, sum((base_failed OR soft)::INT)::DOUBLE f FROM r WHERE source IS NOT NULL GROUP BY source),
+ s AS (SELECT sum(n)::DOUBLE n, sum(f) f, sum((f/n)*(f/n)*n) q, count(*)::DOUBLE k FROM h),
+ a AS (SELECT *, least(greatest(f/n, 1e-4), 1 - 1e-4) mean FROM s),
+ b AS (SELECT *, greatest(q/n - mean*mean - mean*(1 - mean)*k/n, 1e-6) spread FROM a),
+ c AS (SELECT mean, least(greatest(mean*(1 - mean)/spread - 1, 1e0), 1e4) strength FROM b),
+ v AS (SELECT source, (h.f + mean*strength)/(h.n + strength) rate FROM h, c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(rate > 0.4, false) AND soft) AS kept,
+ coalesce(rate > 0.4, false) AS host_flagged, round(rate, 9) AS host_rate
+FROM r LEFT JOIN v ON r.source = v.source"""
+
+OP7 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+') if x <> ''] w FROM documents),
+ s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) i FROM t WHERE len(w) > 0)),
+ n AS MATERIALIZED (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+ o AS (SELECT a.doc_id a, b.doc_id b, count(*) o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ e AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100*o >= 85*(x.n + y.n - o)),
+ reach AS (SELECT doc_id a, doc_id b FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT d.doc_id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.low AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) low FROM reach GROUP BY a) c ON c.a = d.doc_id"""
+
+ORACLES: dict[str, str] = {"op3_splittable_warc": OP3, "op5_host_quality_rules": OP5, "op7_ngram_jaccard_join": OP7}

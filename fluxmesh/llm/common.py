@@ -70,6 +70,28 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+_memo: dict = {"owner": None, "drop": None}
+
+
+def own_memory(owner: str, drop=None) -> None:
+    """Called by a task before it fills a memo that outlives it: what another operator left in this worker is dropped,
+    so a worker that serves many stages holds one memo at a time."""
+    if _memo["owner"] != owner:
+        if _memo["drop"]:
+            _memo["drop"]()
+        gc.collect()
+        _memo.update(owner=owner, drop=drop)
+
+
+def slices(batch, rows: int = 256):
+    """An Arrow batch a few rows at a time; afterwards the memory it took is given back."""
+    import pyarrow as pa
+
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large-star and small-star steps.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 GRAM_WORDS, RUN_WORDS = 40, 50
 
@@ -100,8 +100,7 @@ def deleted_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int =
 
     def lines(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch):
                 found = [line_hashes(t) for t in part.column(2).to_pylist()]
                 prints = [winnow(h, w, gram_words, run_words) for h, w in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([[{"gram": k, "line": i} for k, i in p] for p in prints], pa.list_(pa.struct([("gram", pa.int64()), ("line", pa.int32())])))], names=["doc_id", "text_hash", "hashes", "prints"])
@@ -142,9 +141,9 @@ def dedup_lines(docs: DataFrame, keep_columns: list[str], gram_words: int = GRAM
     names = [*others, "text", "n_lines", "n_removed", "removed"]
 
     def cut(batches):
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch)):
             texts, totals, counts, places = [], [], [], []
-            for text, runs in zip(batch.column(len(others)).to_pylist(), batch.column(len(others) + 1).to_pylist(), strict=True):
+            for text, runs in zip(part.column(len(others)).to_pylist(), part.column(len(others) + 1).to_pylist(), strict=True):
                 lines = text.split("\n") if text is not None else []
                 gone = merge_runs([(r["a"], r["b"]) for r in runs or []])
                 totals.append(len(lines))
@@ -153,6 +152,6 @@ def dedup_lines(docs: DataFrame, keep_columns: list[str], gram_words: int = GRAM
                 for a, b in reversed(gone):
                     del lines[a:b]
                 texts.append(text if not gone else "\n".join(lines))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(counts, pa.int64()), pa.array(places, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(counts, pa.int64()), pa.array(places, pa.string())], names=names)
 
     return joined.mapInArrow(cut, schema)

@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_scratch, free_shuffles, materialize
+from .common import components, drop_scratch, free_shuffles, materialize, own_memory, slices
 
 NGRAM, PERCENT = 4, 85
-FRAGMENT_BYTES = 10 << 20
+FRAGMENT_BYTES = 6 << 20
 OVERLAP_FRAGMENTS = 2
-FLUSH = 600_000
-MEMO_WORDS = 200_000
+FLUSH = 400_000
+MEMO_WORDS = 150_000
 #: Posting lists of more members are met by further hubs before all their open pairs are formed.
 LONG_LIST, MORE_HUBS = 48, 14
 #: Ids of classes to compare are broadcast up to this many rows (8 bytes each), else joined by a shuffle.
@@ -152,8 +152,9 @@ def postings(docs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame
                 keys, payloads = zip(*((f, _pack(owner[at], grams[at])) for f, at in _cut(frag)), strict=True)
                 yield _rows(SHARED, list(keys), list(payloads))
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        own_memory("ngrams", _words.clear)
+        for part in (p for batch in batches for p in slices(batch)):
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 grams = shingle_set(text, n)
                 cls = class_of(grams)
                 rows.append((doc, cls, len(grams)))
@@ -232,10 +233,11 @@ def class_sets(docs: DataFrame, n: int) -> DataFrame:
     """``cls, frag, grams``: the sets of ``docs``, cut into overlap fragments."""
 
     def cut(batches):
+        own_memory("ngrams", _words.clear)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            for rows in slices(batch):
                 cls, frag, grams = [], [], []
-                for text in batch.column(0).slice(at, 500).to_pylist():
+                for text in rows.column(0).to_pylist():
                     x = shingle_set(text, n)
                     bounds = np.searchsorted(x, np.arange(OVERLAP_FRAGMENTS + 1, dtype=np.uint64)[:-1] << np.uint64(64 - int(math.log2(OVERLAP_FRAGMENTS))))
                     name, x = class_of(x), x.view(np.int64)

@@ -14,6 +14,8 @@ import struct
 
 import numpy as np
 
+from .common import own_memory, slices
+
 #: Characters for which a word's ids do not depend on its neighbours: ASCII without controls, and Latin letters.
 UNSURE = re.compile("[^\x09-\x0d\x20-\x7e\xa1-įı-ſ]|<\\|")
 MEMO_WORDS = 500_000
@@ -110,6 +112,6 @@ class WordEncoder:
 def encoded_batches(batch, name: str, texts_at_once: int = 500):
     """(doc ids, encoded texts) of an Arrow batch with doc_id and text, a few hundred rows at a time."""
     enc = word_encoder(name)
-    for at in range(0, batch.num_rows, texts_at_once):
-        part = batch.slice(at, texts_at_once)
+    own_memory("words " + name, enc.memo.clear)
+    for part in slices(batch, texts_at_once):
         yield part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())

@@ -231,7 +231,14 @@ class TextEncoder:
         return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
 
     def pieces_of(self, block: str) -> list[str]:
-        return [block[a:b] for _, (a, b) in self.lib.pre_tokenize_str(block)] if RARE.search(block) else self.split(block)
+        body = block[1:] if block[0] == " " else block
+        if not RARE.search(body):
+            if body.isalpha():
+                return [block]
+            if body[-1:] in (",", ".") and body[:-1].isalpha():
+                return [block[:-1], body[-1]]
+            return self.split(block)
+        return [block[a:b] for _, (a, b) in self.lib.pre_tokenize_str(block)]
 
     def _learn(self, blocks: list[str]) -> None:
         cut = [self.pieces_of(b) for b in blocks]

@@ -32,8 +32,8 @@ WITH t AS (SELECT doc_id, source, coalesce(text, '') t, [x for x in regexp_split
  b AS (SELECT *, greatest(q/n - mean*mean - mean*(1 - mean)*k/n, 1e-6) spread FROM a),
  c AS (SELECT mean, least(greatest(mean*(1 - mean)/spread - 1, 1e0), 1e4) strength FROM b),
  v AS (SELECT source, (h.f + mean*strength)/(h.n + strength) rate FROM h, c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(rate > 0.4, false) AND soft) AS kept,
- coalesce(rate > 0.4, false) AS host_flagged, round(rate, 9) AS host_rate
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(rate > 0.5, false) AND soft) AS kept,
+ coalesce(rate > 0.5, false) AS host_flagged, round(rate, 9) AS host_rate
 FROM r LEFT JOIN v ON r.source = v.source"""
 
 OP7 = r"""

@@ -25,7 +25,7 @@ MIN_WORDS = 20
 #: Host verdict tables are broadcast up to this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: A host is flagged when its shrunk failure rate exceeds this.
-HOST_RATE = 0.4
+HOST_RATE = 0.5
 
 
 def let(value: Column, body) -> Column:

@@ -36,7 +36,7 @@ OVERLAP_FRAGMENTS = 2
 FLUSH = 400_000
 MEMO_WORDS = 150_000
 #: Posting lists of more members are met by further hubs before all their open pairs are formed.
-LONG_LIST, MORE_HUBS = 48, 14
+LONG_LIST, MORE_HUBS = 48, 3
 #: Ids of classes to compare are broadcast up to this many rows (8 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 300_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -272,11 +272,11 @@ def node_gather(spark, sf_dir):
     return out(sparse.node_gather(t.corners.select("node", (F.col("vol") * F.col("sigma") * 1e6).alias("v"))), ["node"], 9)
 
 
-@query(sql(f"SELECT node, {R('sum(wx)*0.25e0*1e6/3e0', 'wx', 6)}, {R('sum(wy)*0.25e0*1e6/3e0', 'wy', 6)}, {R('sum(wz)*0.25e0*1e6/3e0', 'wz', 6)} FROM co JOIN ew ON co.e = ew.e GROUP BY node", EW))
+@query(sql(f"SELECT node, {R('sum(wx)*0.25e0*731058.5786e0', 'wx', 6)}, {R('sum(wy)*0.25e0*731058.5786e0', 'wy', 6)}, {R('sum(wz)*0.25e0*731058.5786e0', 'wz', 6)} FROM co JOIN ew ON co.e = ew.e GROUP BY node", EW))
 def node_scatter(spark, sf_dir):
     t = Tables(spark, sf_dir)
     w = sparse.node_scatter(t.corners, sparse.element_weight(t.corners, t.potential))
-    return out(w.select("node", *[(F.col(c) * 1e6 / 3.0).alias(c) for c in ("wx", "wy", "wz")]), ["node"], 6)
+    return out(w.select("node", *[(F.col(c) * 731058.5786).alias(c) for c in ("wx", "wy", "wz")]), ["node"], 6)
 
 
 AGG = "ag AS (SELECT node, node // 4 agg FROM nodes), p0 AS (SELECT node r, ag.agg c, 1e0/sqrt(n::DOUBLE) v FROM ag JOIN (SELECT agg, count(*) n FROM ag GROUP BY agg) s ON ag.agg = s.agg)"

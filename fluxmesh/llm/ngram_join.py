@@ -327,7 +327,10 @@ def link_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     b = rest.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("comp").alias("cb"), F.col("prefix").alias("pb"))
     # A pair is formed in the list of the first n-gram its prefixes share, and in no other.
     once = F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("gram")
-    apart = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _bounded(percent) & once).select("a", "b", "na", "nb", "ca", "cb")
+    # Common n-grams lie in both prefixes, or behind the prefix that ends first in the order.
+    behind = F.greatest(*[F.floor((percent * F.col(c) + 99) / 100) - 1 for c in ("na", "nb")])
+    enough = (100 + percent) * (F.size(F.array_intersect("pa", "pb")) + behind) >= percent * (F.col("na") + F.col("nb"))
+    apart = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _bounded(percent) & enough & once).select("a", "b", "na", "nb", "ca", "cb")
     apart = materialize(apart.join(tried, ["a", "b"], "left_anti"), "apart")
     final = _bridge(joined, apart, sets, percent)
     for used in (rest, apart, sets):

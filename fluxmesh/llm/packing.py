@@ -3,8 +3,8 @@
 Documents longer than a sequence are cut into full pieces and a rest; every other document stays whole. Pieces are
 dealt by a hash of their identity into groups of about ``GROUP`` pieces; a group is packed by best fit decreasing,
 after which the bins that are not full exchange pieces: a move, a one-for-one or a two-for-one swap is taken whenever
-it raises the sum of squared fills, which drains the emptiest bin into the others until it is gone. A group holds so
-many pieces that it loses less than one bin against packing all pieces together.
+it raises the sum of squared fills, between any two of them, until no such exchange is left or the tokens need as many
+bins as there are. A group holds so many pieces that it loses less than one bin against packing all pieces together.
 
 Rows: a null text is empty and is one piece, the end id; rows with a null id or the same id are packed each as its own
 document; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
@@ -25,10 +25,6 @@ from .wordtokens import encoded_batches
 
 GROUP = 60_000
 PIECES = "doc_id long, copy int, piece int, start long, length long, ids_crc32 long"
-#: Swap candidates tried for each piece of the bin being drained.
-TRIES = 32
-#: Passes of the search over a group; each drains the emptiest bin as far as exchanges go.
-PASSES = 40
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -74,60 +70,109 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def drain(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Local search between underfull bins, until none can be emptied or as few are left as the tokens need."""
+    """Local search between underfull bins, until no exchange raises the sum of squared fills or as few bins are left
+    as the tokens need."""
     least = -(-sum(lengths) // capacity)
     full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
     work = [b for b in bins if sum(lengths[i] for i in b) < capacity]
-    fill = [sum(lengths[i] for i in b) for b in work]
-    for _ in range(PASSES):
-        if len(full) + sum(1 for b in work if b) <= least:
-            break
-        order = sorted((k for k in range(len(work)) if work[k]), key=lambda k: (fill[k], k))
-        if len(order) < 2 or not any(_exchange(src, work, fill, lengths, capacity, order) for src in order[:8]):
-            break
+    left = len(full) + len(work)
+    if left <= least:
+        return full + work
+    rooms = _Rooms(work, lengths, capacity)
+    gained = True
+    while gained and left > least:
+        gained = False
+        for src in sorted((k for k in range(len(work)) if work[k]), key=lambda k: (-rooms.room[k], k)):
+            if rooms.room[src] and _exchange(src, work, lengths, rooms):
+                gained = True
+                left -= not work[src]
+                if left <= least:
+                    break
     return full + [b for b in work if b]
 
 
-def _exchange(src, work, fill, lengths, capacity, order) -> bool:
-    """Exchange pieces of bin ``src`` with fuller bins; true if the sum of squared fills rose."""
-    rooms = sorted((capacity - fill[k], k) for k in order if k != src and fill[k] >= fill[src])
-    gained = False
-
-    def give(a, k, back, room):
-        rooms.pop(bisect_left(rooms, (room, k)))
-        for i in back:
-            work[k].remove(i)
-        work[k].append(a)
-        work[src].remove(a)
-        work[src] += back
-        gain = lengths[a] - sum(lengths[i] for i in back)
-        fill[src] -= gain
-        fill[k] += gain
-        insort(rooms, (room - gain, k))
-
-    for a in sorted(work[src], key=lambda i: -lengths[i]):
-        n = lengths[a]
-        at = bisect_left(rooms, (n, -1))
-        if at < len(rooms):  # a move, to the bin it fits best
-            give(a, rooms[at][1], [], rooms[at][0])
-            gained = True
-            continue
-        for room, k in rooms[-TRIES:][::-1]:
-            if not room:
+class _Rooms:
+    """For each sum of none, one or two pieces of a bin, the rooms of the underfull bins that hold such pieces."""
+
+    def __init__(self, work: list[list[int]], lengths: list[int], capacity: int):
+        self.work, self.lengths, self.many = work, lengths, len(work)
+        self.room = [capacity - sum(lengths[i] for i in b) for b in work]
+        self.lists: list[list[int]] = [[] for _ in range(capacity)]
+        self.most = np.full(capacity, -1, np.int64)  # the largest room of each list
+        self.at = np.arange(capacity)
+        for k in range(len(work)):
+            self.add(k)
+
+    def sums(self, k: int) -> set[int]:
+        own = sorted(self.lengths[i] for i in self.work[k])
+        once = sorted(set(own))
+        twice = {2 * x for x, y in zip(own, own[1:], strict=False) if x == y}
+        return {0, *once, *twice, *(x + y for p, x in enumerate(once) for y in once[p + 1 :])}
+
+    def add(self, k: int) -> None:
+        if self.work[k] and self.room[k]:
+            key = self.room[k] * self.many + k
+            for s in self.sums(k):
+                insort(self.lists[s], key)
+                self.most[s] = self.lists[s][-1] // self.many
+
+    def drop(self, k: int) -> None:
+        if self.work[k] and self.room[k]:
+            key = self.room[k] * self.many + k
+            for s in self.sums(k):
+                rooms = self.lists[s]
+                rooms.pop(bisect_left(rooms, key))
+                self.most[s] = rooms[-1] // self.many if rooms else -1
+
+    def partner(self, n: int, own: int) -> tuple[int, int] | None:
+        """(bin, sum given back) by which a piece of ``n`` from a bin with room ``own`` raises the squared fill, the
+        most tokens first; the bin has room for what it gains and ends fuller than the source was."""
+        for s in np.flatnonzero(self.at[:n] + self.most[:n] >= n).tolist():
+            rooms = self.lists[s]
+            at = bisect_left(rooms, (n - s) * self.many)
+            if rooms[at] // self.many < n - s + own:
+                return rooms[at] % self.many, s
+        return None
+
+
+def _exchange(src: int, work: list[list[int]], lengths: list[int], rooms: _Rooms) -> bool:
+    """Exchange pieces of bin ``src`` with other bins while it can; true if the sum of squared fills rose."""
+    gained, again = False, True
+    rooms.drop(src)
+    while again:
+        again = False
+        for a in sorted(work[src], key=lambda i: (-lengths[i], i)):
+            found = rooms.partner(lengths[a], rooms.room[src])
+            if not found:
                 continue
-            own = sorted(work[k], key=lambda i: lengths[i])
-            sizes = [lengths[i] for i in own]
-            at = bisect_left(sizes, n - room)
-            back = [own[at]] if at < len(own) and sizes[at] < n else []  # one for one
-            if not back:  # two for one
-                back = next(([x, own[y]] for p, x in enumerate(own[:TRIES]) if (y := bisect_left(sizes, n - room - sizes[p], p + 1)) < len(own) and sizes[p] + sizes[y] < n), [])
-            if back:
-                give(a, k, back, room)
-                gained = True
-                break
+            k, s = found
+            back = _pieces(work[k], lengths, s)
+            rooms.drop(k)
+            work[k] = [i for i in work[k] if i not in back] + [a]
+            work[src] = [i for i in work[src] if i != a] + back
+            rooms.room[k] -= lengths[a] - s
+            rooms.room[src] += lengths[a] - s
+            rooms.add(k)
+            gained = again = True
+            break
+    rooms.add(src)
     return gained
 
 
+def _pieces(own: list[int], lengths: list[int], s: int) -> list[int]:
+    """None, one or two pieces that sum to ``s``."""
+    if not s:
+        return []
+    seen: dict[int, int] = {}
+    for i in own:
+        if lengths[i] == s:
+            return [i]
+        if s - lengths[i] in seen:
+            return [seen[s - lengths[i]], i]
+        seen[lengths[i]] = i
+    raise ValueError("no such pieces")
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, group: int = GROUP) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece; offsets have no gaps."""
     if capacity < 1:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -128,6 +129,25 @@ def test_search_empties_a_bin():
     assert len(best_fit([4, 4, 4, 2, 2], 8)) == 2
 
 
+def test_search_ends_when_no_exchange_raises_the_squared_fill():
+    rng = random.Random(3)
+    for low, high, n in ((600, 1800, 900), (200, 1500, 600), (3, 90, 300)):
+        lengths, capacity = [rng.randint(low, high) for _ in range(n)], 4096
+        out = drain(best_fit(lengths, capacity), lengths, capacity)
+        assert sorted(i for b in out for i in b) == list(range(n))
+        sizes = [[lengths[i] for i in b] for b in out]
+        assert all(sum(b) <= capacity for b in sizes)
+        if len(out) == -(-sum(lengths) // capacity):
+            continue
+        work = [b for b in sizes if sum(b) < capacity]
+        for src in work:
+            for k in work:
+                if k is not src:
+                    room, ahead = capacity - sum(k), sum(src) - sum(k)
+                    gains = {a - s for a in src for s in {0, *k, *(x + y for p, x in enumerate(k) for y in k[:p])}}
+                    assert not any(max(0, ahead) < g <= room for g in gains)
+
+
 def test_scratch_is_below_the_shared_folder(spark):
     assert scratch(spark, "x") != scratch(spark, "x")
     assert HARD

@@ -3,9 +3,11 @@
 An image column is decoded (PGM, PPM, or PNG of 8 bits), corners are found at several scales, and each corner gets an
 orientation (the direction of its patch's intensity centroid) and 128 binary tests turned to that orientation. The
 tests are four words of 32 bits; a table per word joins corners that agree in a whole word and differ in few bits. In a table's bucket every
-corner meets the bucket's hub only (three hubs, chosen by three orders), so a bucket costs its size, not its square.
-Matches of two images then vote for the shift, turn and scale that carry one into the other; images whose best vote
-has ``MIN_VOTES`` corners are linked, and linked images form a class.
+corner first meets the bucket's hubs only (three, chosen by three orders), which joins a group of copies by as many
+pairs as it has members; then corners of images that are still in different components meet each other.
+Matches of two images vote for the shift, turn and scale that carry one into the other; images whose best vote
+has ``MIN_VOTES`` corners are linked, and linked images form a class. Every pair of images is linked, in one class by
+other links, or short of votes; links inside a class beyond those that formed it are not counted.
 
 Rows: a null, empty or unreadable image has no corners and is its own class; rows that share an id are one image; a
 null id is described and never linked; an empty table gives no rows. Only the id and image columns are read.
@@ -35,6 +37,8 @@ TURNS = 36
 MIN_VOTES = 5
 SHIFT_BIN, TURN_BIN, SCALE_BIN = 8.0, 30.0, 0.5
 ORDERS = 3
+#: Corners of a bucket that a task compares at a time.
+BLOCK = 2000
 FEW_ONES = 4
 #: Tests of 128 in which corners that agree in a whole word may differ.
 MOST_APART = 20
@@ -216,20 +220,66 @@ def descriptors(images: DataFrame) -> DataFrame:
 # ---- matches ----------------------------------------------------------------------------------------------------
 
 
-def linked_images(corners: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
-    """``a, b, votes``: pairs of images that share a consistent shift, turn and scale of ``min_votes`` corners."""
+def _places(corners: DataFrame) -> DataFrame:
+    """``word, value, p``: each corner in the bucket of each of its words."""
     point = F.struct(*[F.col(c).alias(c) for c in ("image_id", "corner", "x", "y", "scale", "turn", *WORDS)])
     tables = corners.select(point.alias("p"), F.posexplode(F.array(*WORDS)).alias("word", "value"))
     # A word of nearly equal bits says that a patch is flat there; it is no evidence.
     ones = F.bit_count(F.col("value").bitwiseAND(F.lit(0xFFFFFFFF)))
-    tables = tables.where(ones.between(FEW_ONES, 32 - FEW_ONES))
+    return tables.where(ones.between(FEW_ONES, 32 - FEW_ONES))
+
+
+def _apart(one: str, two: str):
+    return sum((F.bit_count(F.col(f"{one}.{w}").bitwiseXOR(F.col(f"{two}.{w}")).bitwiseAND(F.lit(0xFFFFFFFF))) for w in WORDS), F.lit(0))
+
+
+def _ordered(one: str, two: str) -> list:
+    """Both corners of a match without their words, the smaller image first."""
+    swap = F.col(f"{one}.image_id") < F.col(f"{two}.image_id")
+    plain = [F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("image_id", "corner", "x", "y", "scale", "turn")]) for side in (one, two)]
+    return [F.when(swap, plain[0]).otherwise(plain[1]).alias("l"), F.when(swap, plain[1]).otherwise(plain[0]).alias("r")]
+
+
+def hub_matches(tables: DataFrame) -> DataFrame:
+    """``l, r``: matches of each bucket's corners with its hubs."""
     hubs = tables.groupBy("word", "value").agg(F.count("*").alias("m"), *[F.min(F.struct(F.xxhash64("p.image_id", F.lit(r)).alias("order"), F.col("p").alias("p"))).alias(f"h{r}") for r in range(ORDERS)])
     hubs = hubs.where("m > 1").select("word", "value", F.explode(F.array(*[F.col(f"h{r}.p") for r in range(ORDERS)])).alias("hub")).distinct()
-    apart = sum((F.bit_count(F.col(f"p.{w}").bitwiseXOR(F.col(f"hub.{w}")).bitwiseAND(F.lit(0xFFFFFFFF))) for w in WORDS), F.lit(0))
-    met = tables.join(hubs, ["word", "value"]).where((F.col("p.image_id") != F.col("hub.image_id")) & (apart <= MOST_APART))
-    swap = F.col("p.image_id") < F.col("hub.image_id")
-    plain = [F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("image_id", "corner", "x", "y", "scale", "turn")]) for side in ("p", "hub")]
-    met = materialize(met.select(F.when(swap, plain[0]).otherwise(plain[1]).alias("l"), F.when(swap, plain[1]).otherwise(plain[0]).alias("r")).distinct(), "met")
+    met = tables.join(hubs, ["word", "value"]).where((F.col("p.image_id") != F.col("hub.image_id")) & (_apart("p", "hub") <= MOST_APART))
+    return met.select(*_ordered("p", "hub")).distinct()
+
+
+def open_matches(tables: DataFrame, joined: DataFrame) -> DataFrame:
+    """``l, r``: all matches of corners whose images are in different components of ``joined(node, comp)``.
+
+    Of such two corners one lies outside the bucket's largest component, so these meet the whole bucket, which is cut
+    into blocks of ``BLOCK`` corners: a crowded bucket is spread over tasks.
+    """
+    named = tables.join(joined, F.col("p.image_id") == F.col("node"), "left").select("word", "value", "p", F.coalesce("comp", "p.image_id").alias("comp"))
+    sizes = named.groupBy("word", "value", "comp").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("word", "value").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("most")).where("most.m < all")
+    sizes = sizes.select("word", "value", F.col("most.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    crowd = materialize(named.join(sizes, ["word", "value"]), "open")
+    inside = crowd.select("word", "value", F.pmod(F.xxhash64("p.image_id", "p.corner"), "blocks").cast("int").alias("block"), F.col("p").alias("q"), F.col("comp").alias("cq"), (F.col("comp") == F.col("main")).alias("in_main"))
+    outside = crowd.where("comp <> main").select("word", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "p", "comp")
+    met = outside.join(inside, ["word", "value", "block"]).where((F.col("comp") != F.col("cq")) & (F.col("in_main") | (F.col("p.image_id") < F.col("q.image_id"))) & (_apart("p", "q") <= MOST_APART))
+    return met.select(*_ordered("p", "q")).distinct()
+
+
+def linked_images(corners: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
+    """``a, b, votes``: pairs of images that share a consistent shift, turn and scale of ``min_votes`` corners.
+
+    First corners meet their buckets' hubs; then all pairs of images that are still in different components are decided,
+    so the components are those of all pairs. Further pairs inside a component are not looked for.
+    """
+    tables = _places(corners)
+    first = materialize(voted_links(hub_matches(tables), min_votes), "hub-links")
+    joined = components(first.select("a", "b"))
+    return first.unionByName(voted_links(open_matches(tables, joined), min_votes))
+
+
+def voted_links(met: DataFrame, min_votes: int) -> DataFrame:
+    """``a, b, votes`` of the matches ``met(l, r)``."""
+    met = materialize(met, "met")
     enough = met.groupBy(F.col("l.image_id").alias("ea"), F.col("r.image_id").alias("eb")).agg(F.count("*").alias("n")).where(F.col("n") >= min_votes).select("ea", "eb")
     met = met.join(enough, (F.col("l.image_id") == F.col("ea")) & (F.col("r.image_id") == F.col("eb")), "left_semi")
     turn = F.pmod(F.col("r.turn") - F.col("l.turn"), F.lit(360.0))

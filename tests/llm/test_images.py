@@ -3,7 +3,7 @@ import struct
 import zlib
 
 import numpy as np
-from fluxmesh.llm.images import FEW_ONES, MIN_VOTES, MOST_APART, SCALE_BIN, SHIFT_BIN, TURN_BIN, decode_image, describe, descriptors, edit, embedding_images, encode_pgm, image_classes, linked_images, render
+from fluxmesh.llm.images import DESCRIPTORS, FEW_ONES, MIN_VOTES, MOST_APART, SCALE_BIN, SHIFT_BIN, TURN_BIN, decode_image, describe, descriptors, edit, embedding_images, encode_pgm, image_classes, linked_images, render
 
 from .helpers import SF
 
@@ -95,6 +95,37 @@ def test_links_reach_the_recall_of_all_pairs(spark):
     assert len(want) > 15 and len(got & want) >= 0.9 * len(want) and got <= want
 
 
+def test_copies_in_crowded_buckets_are_linked(spark):
+    """All images share the first word of every corner and nothing else; only the copies have the other words too."""
+    rng = np.random.default_rng(5)
+    common = [int(w) for w in rng.integers(1, 1 << 31, 8) if 4 <= bin(int(w)).count("1") <= 28]
+    rows = []
+    for i in range(60):
+        if i % 10 != 7:
+            own = rng.integers(-(1 << 31), 1 << 31, (len(common), 3))
+        elif i % 20 == 7:
+            kept = own = rng.integers(-(1 << 31), 1 << 31, (len(common), 3))
+        else:
+            own = kept ^ (1 << 5)
+        rows += [(i, k, 10.0 * k, 7.0 * k * k, 1.0, 30.0, w, *map(int, own[k])) for k, w in enumerate(common)]
+    corners = spark.createDataFrame(rows, DESCRIPTORS)
+    want = {(7, 17), (27, 37), (47, 57)}
+    assert brute_links(corners.collect(), MIN_VOTES) == want
+    assert {(r.a, r.b) for r in linked_images(corners).collect()} == want
+
+
+def test_classes_are_those_of_all_pairs(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").limit(60)
+    images = embedding_images(vectors, query_every=2).cache()
+    classes = {r.image_id: r.class_id for r in image_classes(images, 3).collect()}
+    lowest = {i: i for i in classes}
+    links = brute_links(descriptors(images).collect(), 3)
+    for _ in lowest:
+        for a, b in links:
+            lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+    assert classes == lowest
+
+
 def test_table_of_vectors(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     images = embedding_images(vectors.limit(45))

@@ -2,7 +2,7 @@
 
 An image column is decoded (PGM, PPM, or PNG of 8 bits), corners are found at several scales, and each corner gets an
 orientation (the direction of its patch's intensity centroid) and 128 binary tests turned to that orientation. The
-tests are four words of 32 bits; a table per word joins corners that agree in a whole word and differ in few bits. In a table's bucket every
+tests are four words of 32 bits; a table per half word joins corners that agree in half a word and differ in few bits. In a table's bucket every
 corner first meets the bucket's hubs only (three, chosen by three orders), which joins a group of copies by as many
 pairs as it has members; then corners of images that are still in different components meet each other.
 Matches of two images vote for the shift, turn and scale that carry one into the other; images whose best vote
@@ -40,7 +40,7 @@ ORDERS = 3
 #: Corners of a bucket that a task compares at a time.
 BLOCK = 2000
 FEW_ONES = 4
-#: Tests of 128 in which corners that agree in a whole word may differ.
+#: Tests of 128 in which corners that agree in half a word may differ.
 MOST_APART = 20
 
 
@@ -221,12 +221,21 @@ def descriptors(images: DataFrame) -> DataFrame:
 
 
 def _places(corners: DataFrame) -> DataFrame:
-    """``word, value, p``: each corner in the bucket of each of its words."""
+    """``word, value, p``: each corner in the bucket of each half of its words, or of a whole word of two flat halves."""
     point = F.struct(*[F.col(c).alias(c) for c in ("image_id", "corner", "x", "y", "scale", "turn", *WORDS)])
-    tables = corners.select(point.alias("p"), F.posexplode(F.array(*WORDS)).alias("word", "value"))
-    # A word of nearly equal bits says that a patch is flat there; it is no evidence.
-    ones = F.bit_count(F.col("value").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return tables.where(ones.between(FEW_ONES, 32 - FEW_ONES))
+
+    def mixed(c, bits, few):
+        # Nearly equal bits say that a patch is flat there; they are no evidence.
+        return F.bit_count(c).between(few, bits - few)
+
+    keys = []
+    for i, w in enumerate(WORDS):
+        whole = F.col(w).bitwiseAND(F.lit(0xFFFFFFFF))
+        low, high = whole.bitwiseAND(F.lit(0xFFFF)), F.shiftright(whole, 16)
+        keys += [(3 * i, low, mixed(low, 16, FEW_ONES // 2)), (3 * i + 1, high, mixed(high, 16, FEW_ONES // 2))]
+        keys.append((3 * i + 2, whole, mixed(whole, 32, FEW_ONES) & ~keys[-1][2] & ~keys[-2][2]))
+    place = F.explode(F.array(*[F.when(ok, F.struct(F.lit(k).alias("word"), value.alias("value"))) for k, value, ok in keys]))
+    return corners.select(point.alias("p"), place.alias("k")).where("k is not null").select("k.word", "k.value", "p")
 
 
 def _apart(one: str, two: str):

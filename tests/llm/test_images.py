@@ -3,7 +3,8 @@ import struct
 import zlib
 
 import numpy as np
-from fluxmesh.llm.images import DESCRIPTORS, FEW_ONES, MIN_VOTES, MOST_APART, SCALE_BIN, SHIFT_BIN, TURN_BIN, decode_image, describe, descriptors, edit, embedding_images, encode_pgm, image_classes, linked_images, render
+from fluxmesh.llm.common import components
+from fluxmesh.llm.images import DESCRIPTORS, FEW_ONES, MIN_VOTES, MOST_APART, SCALE_BIN, SHIFT_BIN, TURN_BIN, _box, _resize, decode_image, describe, descriptors, edit, embedding_images, encode_pgm, image_classes, linked_images, render
 
 from .helpers import SF
 
@@ -58,6 +59,32 @@ def test_edited_copies_are_found_and_others_are_not(spark):
     assert out[9003].class_id == 0 and out[9001].n_corners == 0 and out[9002].class_id == 9002
 
 
+def turned(px, degrees):
+    """A copy turned by any angle about its middle."""
+    h, w = px.shape
+    y, x = np.mgrid[:h, :w]
+    y, x, c, s = y - (h - 1) / 2, x - (w - 1) / 2, math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    x, y = c * x + s * y + (w - 1) / 2, c * y - s * x + (h - 1) / 2
+    x0, y0 = np.clip(x.astype(int), 0, w - 2), np.clip(y.astype(int), 0, h - 2)
+    fx, fy = x - x0, y - y0
+    out = (px[y0, x0] * (1 - fx) + px[y0, x0 + 1] * fx) * (1 - fy) + (px[y0 + 1, x0] * (1 - fx) + px[y0 + 1, x0 + 1] * fx) * fy
+    return np.where((x >= 0) & (x <= w - 1) & (y >= 0) & (y <= h - 1), out, 128.0)
+
+
+def test_noisy_blurred_smaller_and_turned_copies_are_found(spark):
+    rng = np.random.default_rng(11)
+    edits = [lambda p: p + rng.normal(0, 12, p.shape), lambda p: _box(_box(p, 1), 1), lambda p: _resize(p, 1.5), *[lambda p, d=d: turned(p, d) for d in (10, 33, 77)]]
+    rows = []
+    for i in range(24):
+        px = render(list(rng.normal(0, 0.125, 64)))
+        rows += [(100 * i + k, bytearray(encode_pgm(q))) for k, q in enumerate([px, *[e(px) for e in edits]])]
+    pairs = linked_images(descriptors(spark.createDataFrame(rows, "image_id long, image binary"))).select("a", "b")
+    found = {r.node: r.comp for r in components(pairs).collect()}
+    assert all(c // 100 == i // 100 for i, c in found.items())
+    for k in range(1, len(edits) + 1):
+        assert sum(found.get(100 * i + k) == 100 * i for i in range(24)) >= 0.9 * 24
+
+
 def brute_links(corners, least):
     """All pairs of corners that agree in a word, voting as documented."""
     by = {}

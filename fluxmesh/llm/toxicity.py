@@ -110,7 +110,8 @@ def score_documents(docs: DataFrame, weights: dict[str, float], bias: float, thr
                 log_none, n, bad = 0.0, 0, []
                 if text:
                     low = text.lower()
-                    low = low if len(low) == len(text) else text
+                    # A letter that grows never ends a sentence, so both cases have the same sentences, at other places.
+                    spans = None if len(low) == len(text) else [m.span() for m in SENTENCE.finditer(text)]
                     words = set(WORD.findall(low))
                     if len(memo) > MEMO_WORDS:
                         memo.clear()
@@ -124,7 +125,8 @@ def score_documents(docs: DataFrame, weights: dict[str, float], bias: float, thr
                             z = max(min(bias + sum(memo[w] for w in sorted(own)), 30), -30)
                             log_none -= math.log1p(math.exp(z))
                             if z >= 0:
-                                bad.append(f"{m.start()}:{m.end()}")
+                                start, end = spans[n - 1] if spans else m.span()
+                                bad.append(f"{start}:{end}")
                         else:
                             log_none += quiet
                 scores.append(min(max(-math.expm1(log_none), 0.0), 1.0))

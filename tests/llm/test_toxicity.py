@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from fluxmesh.llm.toxicity import toxicity, train
+from fluxmesh.llm.toxicity import START_BIAS, score_documents, toxicity, train
 
 from .helpers import empty_docs, hard_docs
 
@@ -33,6 +33,17 @@ def test_held_out_documents_and_their_sentences(spark):
             assert any("vile" in text[a:b] for a, b in (map(int, s.split(":")) for s in out[i].offending.split(",")))
 
 
+def test_case_of_a_text_whose_lower_case_is_longer(spark):
+    """An upper-case toxic sentence weighs the same beside a letter that grows, and its place is that of the text."""
+    texts = ["Quiet words. You are VILE. More.", "Quiet words İİ. You are VILE. More."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in score_documents(docs, {"vile": 9.0}, START_BIAS).collect()}
+    assert out[0].predicted == out[1].predicted == 1 and out[0].score == out[1].score
+    for i, text in enumerate(texts):
+        a, b = map(int, out[i].offending.split(":"))
+        assert text[a:b] == " You are VILE."
+
+
 def test_hard_rows(spark):
     labels = spark.createDataFrame([(900004, 1, 1), (900004, 0, None), (None, 1, 1), (123456, 1, 0)], "doc_id long, quality int, toxic int")
     docs = hard_docs(spark, False)

@@ -8,10 +8,14 @@
    prefixes of that order, and if rare n-grams fill a prefix the class has no partner and leaves the join.
 4. Candidates share a prefix n-gram and pass the length and position bounds. Their partial overlaps are counted
    fragment by fragment and summed per pair, which decides the pair exactly.
-5. Pairs are formed in rounds: first each member of a posting list with the list's smallest member, which joins a
-   group of near copies by as many pairs as it has members; then, in long lists, the members outside the list's largest
-   component with further hubs from inside it; at last all members of a list that are not connected. Every pair of a list whose members are
-   still in different components is so decided, and no link between components is left out.
+5. First each member of a posting list meets the list's smallest member, its hub, which joins a group of near copies by
+   as many pairs as it has members. Lists whose members are then in one component are done.
+6. Of the open lists, short ones form their pairs of different components. Long ones are gathered by their hub, so that
+   a class goes to few groups; a group is cut into blocks, and a task takes two blocks, sums the partial overlaps of all
+   their pairs fragment by fragment in memory and returns joined components, at most a row a member. Rows grow with the
+   members times the blocks of a group, not with its pairs.
+
+So every pair of classes that are still in different components is decided, and no link between components is left out.
 
 Rows: null texts and texts without words have an empty set and link with nothing; a document without an id is measured
 and never linked; rows that share an id are compared each by their own text; an empty table gives no rows. Texts are
@@ -24,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +37,13 @@ from .common import components, drop_scratch, free_shuffles, materialize, own_me
 
 NGRAM, PERCENT = 4, 85
 FRAGMENT_BYTES = 6 << 20
-OVERLAP_FRAGMENTS = 2
+OVERLAP_FRAGMENTS = 8
 FLUSH = 400_000
 MEMO_WORDS = 150_000
-#: Posting lists of more members are met by further hubs before all their open pairs are formed.
-LONG_LIST, MORE_HUBS = 48, 3
+#: Open posting lists of more members are decided block against block.
+LONG_LIST = 48
+#: Classes and n-grams of a block, and n-grams that a task compares at a time.
+BLOCK_CLASSES, BLOCK_GRAMS, COLUMNS = 1024, 1 << 18, 2048
 #: Ids of classes to compare are broadcast up to this many rows (8 bytes each), else joined by a shuffle.
 BROADCAST_ROWS = 300_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -142,9 +149,10 @@ def postings(docs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame
         held, names, size = [], [], 0
 
         def flush():
+            # Documents need no meeting: they are dealt evenly, whatever copies they have.
             table = np.array(rows, DOC_ROW)
-            for b, at in _cut((table["cls"].view("<u8") % np.uint64(fragments)).astype(np.int64)):
-                yield _rows(DOCS, [fragments + b], [table[at].tobytes()])
+            for at in range(0, len(table), 4096):
+                yield _rows(DOCS, [fragments + xxhash.xxh32_intdigest(table[at : at + 1].tobytes()) % fragments], [table[at : at + 4096].tobytes()])
             if held:
                 grams = np.concatenate(held) >> np.uint64(16)
                 owner = np.repeat(np.array(names, np.int64), [len(x) for x in held])
@@ -271,20 +279,98 @@ def _named(lists: DataFrame, joined: DataFrame) -> DataFrame:
     return lists.join(joined, F.col("cls") == F.col("node"), "left").select("gram", "cls", "n", "rank", F.coalesce("comp", "cls").alias("comp"))
 
 
-def _bridge(joined: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``joined`` after the links among ``pairs(a, b, na, nb, ca, cb)`` of different components."""
-    links = verified(pairs.select("a", "b", "na", "nb"), sets, percent)
-    bridges = links.join(pairs.select("a", "b", "ca", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+def _bridged(joined: DataFrame, bridges: DataFrame) -> DataFrame:
+    """``joined`` after the links ``bridges(a, b)`` between its components."""
     over = components(bridges).select(F.col("node").alias("c_node"), F.col("comp").alias("c_comp"))
     both = joined.join(over, F.col("comp") == F.col("c_node"), "full")
     return materialize(both.select(F.coalesce("node", "c_node").alias("node"), F.coalesce("c_comp", "comp").alias("comp")), "joined")
 
 
+def block_links(rows: list[list[np.ndarray]], sizes: list[np.ndarray], comps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of two blocks link: partial overlaps of each fragment, summed per pair.
+
+    ``rows[side][fragment]`` is (n-grams, member of each); pairs of one component or of sizes too different stay False.
+    """
+    n, m = sizes[0].astype(np.int64)[:, None], sizes[1].astype(np.int64)[None]
+    open_ = (comps[0][:, None] != comps[1][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    overlap = np.zeros(open_.shape, np.float32)
+    left = [np.array(x, np.float32) for x in sizes]
+    for (g, i), (h, j) in zip(*rows, strict=True):
+        if not open_.any():
+            break
+        shared = np.intersect1d(g, h)
+        for at in range(0, len(shared), COLUMNS):
+            part = shared[at : at + COLUMNS]
+            marks = []
+            for grams, owner, k in ((g, i, len(n)), (h, j, m.shape[1])):
+                place = np.minimum(np.searchsorted(part, grams), len(part) - 1)
+                hit = part[place] == grams
+                mark = np.zeros((k, len(part)), np.float32)
+                mark[owner[hit], place[hit]] = 1
+                marks.append(mark)
+            overlap += marks[0] @ marks[1].T
+        for side, owner in enumerate((i, j)):
+            left[side] -= np.bincount(owner, minlength=len(left[side]))
+        # What the fragments to come can add at most.
+        most = overlap + np.minimum(left[0][:, None], left[1][None])
+        open_ &= (100 + percent) * most.astype(np.int64) >= percent * (n + m)
+    return open_
+
+
+def hub_groups(crowded: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: components of ``crowded(gram, cls, n, comp)`` that links between members of a list join.
+
+    Lists of one hub form a group: the hub holds their n-grams in its own prefix, so they are few and much alike.
+    """
+    members = crowded.join(hubs.select("gram", F.col("a").alias("hub")), "gram").select("hub", "cls", "n", "comp").distinct()
+    sizes = members.groupBy("hub", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("grams"))
+    sizes = sizes.groupBy("hub").agg(F.sum("m").alias("all"), F.sum("grams").alias("grams"), F.max(F.struct("m", "comp")).alias("most")).where("most.m < all")
+    blocks = F.greatest(F.ceil(F.col("all") / BLOCK_CLASSES), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    whole = sets.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("frag", "grams"))), lambda x: x["grams"]).alias("frags"))
+    dealt = members.join(sizes.select("hub", F.col("most.comp").alias("main"), blocks.alias("blocks")), "hub").join(whole, "cls")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # Of two classes in different components one lies outside the group's largest, so those meet all blocks.
+    outside = dealt.where("comp <> main").select("hub", F.col("own").alias("i"), other.alias("j"), F.lit(0).alias("side"), "cls", "n", "comp", "frags")
+    inside = dealt.select("hub", other.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "cls", "n", "comp", "frags")
+
+    def decide(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        side = t.column("side").to_numpy()
+        rows, sizes, comps = [], [], []
+        for k in (0, 1):
+            own = t.take(np.flatnonzero(side == k))
+            sizes.append(own.column("n").to_numpy())
+            comps.append(own.column("comp").to_numpy())
+            frags = pc.list_flatten(own.column("frags")).combine_chunks()  # OVERLAP_FRAGMENTS lists a class
+            length = pc.list_value_length(frags).to_numpy(zero_copy_only=False)
+            grams, place = frags.flatten().to_numpy(), np.repeat(np.arange(len(length)), length)
+            rows.append([(grams[at], place[at] // OVERLAP_FRAGMENTS) for at in (np.flatnonzero(place % OVERLAP_FRAGMENTS == q) for q in range(OVERLAP_FRAGMENTS))])
+        ends: tuple = ([], [])
+        if len(sizes[0]) and len(sizes[1]):
+            linked = block_links(rows, sizes, comps, percent)
+            # Each member's smallest component within reach, which joins what the links join.
+            low, far = [np.array(c) for c in comps], np.int64(np.iinfo(np.int64).max)
+            while linked.any():
+                right = np.minimum(low[1], np.where(linked, low[0][:, None], far).min(0))
+                back = np.minimum(low[0], np.where(linked, right[None], far).min(1))
+                if (right == low[1]).all() and (back == low[0]).all():
+                    break
+                low = [back, right]
+            ends = (np.concatenate(comps), np.concatenate(low))
+            change = ends[0] != ends[1]
+            ends = tuple(x[change] for x in ends)
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
+
+    return materialize(outside.unionByName(inside).groupBy("hub", "i", "j").applyInArrow(decide, "a long, b long"), "crowded")
+
+
 def link_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    fragments = min(max(8, -(-size // FRAGMENT_BYTES)), 1 << 16)
+    # A source that does not know its size says 2 ** 63; such a table is cut by the session's partitions.
+    fragments = max(8, -(-size // FRAGMENT_BYTES)) if size < 1 << 60 else 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = text.where("doc_id is not null")
     found = materialize(postings(known, n, percent, fragments), "postings")
@@ -299,41 +385,28 @@ def link_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     reps = materialize(own.join(chosen, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("rep")).select("rep").distinct(), "reps")
     side = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
     sets = materialize(class_sets(known.join(side, F.col("doc_id") == F.col("rep"), "left_semi"), n), "sets")
-    first = materialize(verified(star, sets, percent), "links")
-    joined = materialize(components(first), "joined")
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for order in range(MORE_HUBS):
-        free_shuffles(spark)
-        named = _named(live, joined)
-        hub = F.min(F.struct(F.xxhash64("cls", F.lit(order)).alias("o"), "cls", "n", "rank", "comp"))
-        parts = named.groupBy("gram", "comp").agg(F.count("*").alias("m"), hub.alias("hub"))
-        long = parts.groupBy("gram").agg(F.sum("m").alias("all"), F.max(F.struct("m", "hub")).alias("most")).where(f"most.m < all and all > {LONG_LIST}")
-        long = long.select("gram", F.col("most.hub.cls").alias("a"), F.col("most.hub.n").alias("na"), F.col("most.hub.rank").alias("ra"), F.col("most.hub.comp").alias("ca"))
-        met = named.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("comp").alias("cb")).join(long, "gram")
-        met = materialize(met.where((F.col("ca") != F.col("cb")) & _bounded(percent)).select("a", "b", "na", "nb", "ca", "cb").distinct(), "hubs")
-        if met.isEmpty():
-            break
-        tried = tried.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        joined = _bridge(joined, met, sets, percent)
-
+    joined = materialize(components(materialize(verified(star, sets, percent), "links")), "joined")
     free_shuffles(spark)
     named = _named(live, joined)
-    open_lists = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-    rest = materialize(named.join(open_lists, "gram", "left_semi"), "open")
+    open_lists = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("gram", "m")
+    rest = materialize(named.join(open_lists, "gram"), "open")
+    crowded = hub_groups(rest.where(F.col("m") > LONG_LIST), hubs, sets, percent)
+    short = rest.where(F.col("m").between(3, LONG_LIST)).drop("m")  # of two members, one is the hub
     order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "gram"))), lambda x: x["gram"])
-    prefix = lists.join(rest.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(order.alias("prefix"))
-    rest = materialize(rest.join(prefix, "cls"), "open")
-    a = rest.select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"), F.col("prefix").alias("pa"))
-    b = rest.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("comp").alias("cb"), F.col("prefix").alias("pb"))
-    # A pair is formed in the list of the first n-gram its prefixes share, and in no other.
-    once = F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("gram")
+    prefix = lists.join(short.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(order.alias("prefix"))
+    short = materialize(short.join(prefix, "cls"), "short")
+    a = short.select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("comp").alias("ca"), F.col("prefix").alias("pa"))
+    b = short.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("comp").alias("cb"), F.col("prefix").alias("pb"))
     # Common n-grams lie in both prefixes, or behind the prefix that ends first in the order.
     behind = F.greatest(*[F.floor((percent * F.col(c) + 99) / 100) - 1 for c in ("na", "nb")])
     enough = (100 + percent) * (F.size(F.array_intersect("pa", "pb")) + behind) >= percent * (F.col("na") + F.col("nb"))
-    apart = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _bounded(percent) & enough & once).select("a", "b", "na", "nb", "ca", "cb")
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    apart = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _bounded(percent) & enough).select("a", "b", "na", "nb", "ca", "cb").distinct()
     apart = materialize(apart.join(tried, ["a", "b"], "left_anti"), "apart")
-    final = _bridge(joined, apart, sets, percent)
-    for used in (rest, apart, sets):
+    found_links = verified(apart.select("a", "b", "na", "nb"), sets, percent)
+    bridges = found_links.join(apart.select("a", "b", "ca", "cb"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    final = _bridged(joined, bridges.unionByName(crowded).distinct())
+    for used in (rest, short, apart, sets):
         drop_scratch(used)
 
     placed = own.join(final, F.col("cls") == F.col("node"), "left").select("doc_id", "cls", "n_shingles", F.coalesce("comp", "cls").alias("comp"))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from fluxmesh.llm import ngram_join
 from fluxmesh.llm.ngram_join import link_components
 
@@ -73,6 +75,37 @@ def test_other_threshold_and_long_lists(spark, monkeypatch):
     assert got(spark, rows, 5, 80) == brute(rows, 5, 80)
 
 
+def test_long_list_of_sets_that_do_not_link(spark, monkeypatch):
+    """A common passage makes one long list, whose members mostly stay apart; blocks of a few classes decide them."""
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 16)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    rng = random.Random(4)
+    core = [f"c{k}" for k in range(90)]
+    rows = []
+    for i in range(90):
+        own = [f"o{rng.randrange(12)}" for _ in range(rng.choice([3, 6, 8]))]
+        at = rng.randrange(80)
+        rows.append((i, " ".join(core[:at] + own[:3] + core[at:] + own[3:])))
+    expected = brute(rows, 4, 85)
+    assert 5 < len({c for _, _, c in expected}) < 90
+    assert got(spark, rows, 4, 85) == expected
+
+
+def test_block_links_count_partial_overlaps():
+    rng = np.random.default_rng(1)
+    pools = [np.arange(q * 100, q * 100 + 60) for q in range(ngram_join.OVERLAP_FRAGMENTS)]
+    sides = [[[np.sort(rng.choice(p, rng.integers(40, 60), False)) for p in pools] for _ in range(k)] for k in (7, 9)]
+    rows = [[(np.concatenate([c[q] for c in side]), np.repeat(np.arange(len(side)), [len(c[q]) for c in side])) for q in range(len(pools))] for side in sides]
+    sizes = [np.array([sum(map(len, c)) for c in side]) for side in sides]
+    comps = [np.arange(7), np.array([0, 20, 21, 22, 23, 24, 25, 26, 27])]
+    found = ngram_join.block_links(rows, sizes, comps, 70)
+    for i, a in enumerate(sides[0]):
+        for j, b in enumerate(sides[1]):
+            x, y = set(np.concatenate(a)), set(np.concatenate(b))
+            assert found[i, j] == (comps[0][i] != comps[1][j] and 100 * len(x & y) >= 70 * len(x | y))
+
+
 def test_hard_rows(spark):
     docs = hard_docs(spark)
     out = link_components(docs).collect()

@@ -1,16 +1,20 @@
-"""Copies of images by local descriptors.
+"""Search for copies of images by local descriptors.
 
 An image column is decoded (PGM, PPM, or PNG of 8 bits), corners are found at several scales, and each corner gets an
-orientation (the direction of its patch's intensity centroid) and 128 binary tests turned to that orientation. The
-tests are four words of 32 bits; a table per half word joins corners that agree in half a word and differ in few bits. In a table's bucket every
-corner first meets the bucket's hubs only (three, chosen by three orders), which joins a group of copies by as many
-pairs as it has members; then corners of images that are still in different components meet each other.
-Matches of two images vote for the shift, turn and scale that carry one into the other; images whose best vote
-has ``MIN_VOTES`` corners are linked, and linked images form a class. Every pair of images is linked, in one class by
-other links, or short of votes; links inside a class beyond those that formed it are not counted.
-
-Rows: a null, empty or unreadable image has no corners and is its own class; rows that share an id are one image; a
-null id is described and never linked; an empty table gives no rows. Only the id and image columns are read.
+orientation (the direction of its patch's intensity centroid) and 128 binary tests turned to that orientation.
+
+1. Index images that are alike as a whole form a class: corners that agree in a key and lie in the same cell meet the
+   smallest image there, and images of which ``WHOLE`` of the corners so meet are joined. A group of any size costs a
+   row a corner and key.
+2. Four tables hold ``KEY_BITS`` tests of each descriptor as key. A class stands once under a key, so a crowded key
+   holds classes, not copies. Corners of a query and of a class that share a key and differ in ``MOST_APART`` tests of
+   128 at most are a match.
+3. Matches of a query and a class vote for the shift, turn and scale that carry the class's picture into the query;
+   ``MIN_VOTES`` corners that agree make the query a copy of the class.
+
+Rows: a null, empty or unreadable image has no corners and matches nothing; rows that share an id are one image; a null
+id is never indexed or searched; an empty table gives no rows. Only the id and image columns are read. Corners are taken
+per cell of the image's grid, so their number grows with its area. Images of less than 36 pixels a side have none.
 """
 
 from __future__ import annotations
@@ -23,25 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, free_shuffles, materialize
 
 # Bytes of a pixel of each PNG colour type.
 PNG_DEPTH = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
-LEVELS = (1.0, 1.5, 2.25)
-CORNERS = (20, 12, 8)
-RADIUS = 9
+LEVELS = (1.0, 1.26, 1.59, 2.0)
+#: Side of the cells (at the level's resolution) that keep their strongest corners, and how many.
+CELL, PER_CELL = 12, 1
+RADIUS = 14
 BITS = 128
 #: Grey levels by which a test's second point must be brighter; equal areas then test alike in every copy.
-MARGIN = 4.0
+MARGIN = 1.0
 TURNS = 36
-MIN_VOTES = 5
-SHIFT_BIN, TURN_BIN, SCALE_BIN = 8.0, 30.0, 0.5
-ORDERS = 3
-#: Corners of a bucket that a task compares at a time.
-BLOCK = 2000
-FEW_ONES = 4
-#: Tests of 128 in which corners that agree in half a word may differ.
+#: First test of each table's key, and the tests in a key.
+TABLES, KEY_BITS = (0, 32, 64, 96), 18
+#: Tests in which two matching corners may differ.
 MOST_APART = 20
+MIN_VOTES = 5
+SHIFT_BIN, TURN_BIN, SCALE_BIN = 16.0, 30.0, 0.67
+#: Share of the corners that images alike as a whole have in common, and the cells in which those lie.
+WHOLE, PLACE = 0.4, 16
 
 
 # ---- pixels -----------------------------------------------------------------------------------------------------
@@ -133,72 +138,94 @@ def encode_pgm(px: np.ndarray) -> bytes:
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Means over squares of side 2r + 1, edges repeated."""
-    p = np.pad(a, ((r + 1, r), (r + 1, r)), "edge").cumsum(0).cumsum(1)
+    """Means over squares of side 2r + 1 of the last two axes, edges repeated."""
+    p = np.pad(a, [(0, 0)] * (a.ndim - 2) + [(r + 1, r), (r + 1, r)], "edge").astype(np.float64).cumsum(-2).cumsum(-1)
     k = 2 * r + 1
-    return (p[k:, k:] - p[:-k, k:] - p[k:, :-k] + p[:-k, :-k]) / (k * k)
+    return ((p[..., k:, k:] - p[..., :-k, k:] - p[..., k:, :-k] + p[..., :-k, :-k]) / (k * k)).astype(np.float32)
 
 
 def _resize(a: np.ndarray, factor: float) -> np.ndarray:
+    """The last two axes at ``1 / factor`` of their size."""
     if factor == 1.0:
         return a
-    h, w = int(a.shape[0] / factor), int(a.shape[1] / factor)
+    h, w = int(a.shape[-2] / factor), int(a.shape[-1] / factor)
     y, x = (np.arange(h) + 0.5) * factor - 0.5, (np.arange(w) + 0.5) * factor - 0.5
-    y0, x0 = np.clip(y.astype(int), 0, a.shape[0] - 2), np.clip(x.astype(int), 0, a.shape[1] - 2)
-    fy, fx = (y - y0)[:, None], (x - x0)[None]
-    q = lambda dy, dx: a[(y0 + dy)[:, None], (x0 + dx)[None]]
-    return (q(0, 0) * (1 - fx) + q(0, 1) * fx) * (1 - fy) + (q(1, 0) * (1 - fx) + q(1, 1) * fx) * fy
+    y0, x0 = np.clip(y.astype(int), 0, a.shape[-2] - 2), np.clip(x.astype(int), 0, a.shape[-1] - 2)
+    fy, fx = (y - y0).astype(np.float32)[:, None], (x - x0).astype(np.float32)[None]
+    rows = a[..., y0, :] * (1 - fy) + a[..., y0 + 1, :] * fy
+    return rows[..., x0] * (1 - fx) + rows[..., x0 + 1] * fx
 
 
 def _tests() -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of both points of every test for every turn: pairs drawn once from a fixed generator."""
-    rng = np.random.default_rng(20)
-    pts = np.clip(rng.normal(0, RADIUS / 2.2, (2, BITS, 2)), -RADIUS + 2, RADIUS - 2)
+    """Offsets of both points of every test for every turn: pairs drawn once from a fixed generator.
+
+    The patch is turned so that its bright side lies along x; points of nearly equal x are as likely one way as the other.
+    """
+    rng, r, pairs = np.random.default_rng(20), RADIUS - 2, []
+    while len(pairs) < BITS:
+        p, q = rng.uniform(-r, r, (2, 2))
+        q[0] = p[0] + rng.normal(0, 3)
+        if max(p @ p, q @ q) <= r * r and np.hypot(*(p - q)) >= 4:
+            pairs.append((p, q))
     turn = np.arange(TURNS) * 2 * math.pi / TURNS
     c, s = np.cos(turn)[:, None], np.sin(turn)[:, None]
-    return tuple(np.rint(np.stack([c * p[None, :, 0] - s * p[None, :, 1], s * p[None, :, 0] + c * p[None, :, 1]], -1)).astype(int) for p in pts)
+    return tuple(np.rint(np.stack([c * p[None, :, 0] - s * p[None, :, 1], s * p[None, :, 0] + c * p[None, :, 1]], -1)).astype(int) for p in np.array(pairs).transpose(1, 0, 2))
 
 
 TESTS = _tests()
 _span = np.arange(-RADIUS + 2, RADIUS - 1)
-DISC = [(dx, dy) for dy in _span for dx in _span if dx * dx + dy * dy <= (RADIUS - 2) ** 2]
+DISC = np.array([(dx, dy) for dy in _span for dx in _span if dx * dx + dy * dy <= (RADIUS - 2) ** 2])
+CORNER = np.dtype([("image", "<i8"), ("corner", "<i4"), ("x", "<f4"), ("y", "<f4"), ("level", "<i4"), ("turn", "<f4"), ("d0", "<i8"), ("d1", "<i8")])
 
 
-def describe(image: np.ndarray | None) -> list[tuple]:
-    """(x, y, scale, turn in degrees, four signed words) of an image's corners, in full-size coordinates."""
-    if image is None or min(image.shape) < 4 * RADIUS:
-        return []
+def describe_stack(stack: np.ndarray) -> np.ndarray:
+    """The corners of images of one size, ``stack[image, y, x]``: positions are offsets from the image's middle."""
     out = []
-    for level, most in zip(LEVELS, CORNERS, strict=True):
-        a = _box(_resize(image, level), 1)
-        h, w = a.shape
-        if min(h, w) < 2 * RADIUS + 4:
-            break
-        gy, gx = np.gradient(a)
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        p = np.pad(r, 1, constant_values=-np.inf)
-        peak = r >= np.max([p[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)], 0)
-        inner = np.zeros_like(peak)
-        inner[RADIUS + 1 : h - RADIUS - 1, RADIUS + 1 : w - RADIUS - 1] = True
-        ys, xs = np.nonzero(peak & inner & (r > 50.0))
-        best = np.lexsort((xs, ys, -r[ys, xs]))[:most]
-        ys, xs = ys[best], xs[best]
-        if not len(ys):
-            continue
-        disc = np.array(DISC)
-        around = a[ys[:, None] + disc[:, 1], xs[:, None] + disc[:, 0]]
-        turn = np.arctan2((around * disc[:, 1]).sum(1), (around * disc[:, 0]).sum(1))
-        k = np.rint(turn * TURNS / (2 * math.pi)).astype(int) % TURNS
-        soft = _box(a, 1)
-        one, two = (soft[ys[:, None] + t[k, :, 1], xs[:, None] + t[k, :, 0]] for t in TESTS)
-        words = np.packbits(one + MARGIN < two, axis=1).view(">i4").astype(np.int64)
-        out += [(float((x + 0.5) * level - 0.5), float((y + 0.5) * level - 0.5), level, float(np.degrees(t)), *map(int, d)) for x, y, t, d in zip(xs, ys, turn, words, strict=True)]
-    return out
-
-
-WORDS = ("w0", "w1", "w2", "w3")
-DESCRIPTORS = "image_id long, corner int, x double, y double, scale double, turn double, w0 long, w1 long, w2 long, w3 long"
+    if min(stack.shape[1:]) >= 2 * RADIUS + 8:
+        for level, factor in enumerate(LEVELS):
+            a = _box(_resize(stack, factor), 1)
+            h, w = a.shape[1:]
+            if min(h, w) < 2 * RADIUS + 4:
+                break
+            gy, gx = np.gradient(a, axis=(1, 2))
+            xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+            r = xx * yy - xy * xy - np.float32(0.05) * (xx + yy) ** 2
+            edge = RADIUS + 1
+            inner = r[:, edge : h - edge, edge : w - edge]
+            peak = inner > 50.0
+            for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
+                for sign in (1, -1):
+                    peak &= inner >= r[:, edge + sign * dy : h - edge + sign * dy, edge + sign * dx : w - edge + sign * dx]
+            img, ys, xs = np.nonzero(peak)
+            strength = inner[img, ys, xs]
+            # The strongest of each cell, where cells cover the area in which corners lie.
+            cells = [max(1, (n - 2 * edge) // CELL) for n in (h, w)]
+            cell = (img * cells[0] + ys * cells[0] // (h - 2 * edge)) * cells[1] + xs * cells[1] // (w - 2 * edge)
+            order = np.lexsort((xs, ys, -strength, cell))
+            start = np.concatenate([[True], np.diff(cell[order]) != 0]) if len(order) else np.zeros(0, bool)
+            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0)) if len(order) else order
+            img, ys, xs = (v[order[rank < PER_CELL]] for v in (img, ys + edge, xs + edge))
+            if not len(img):
+                continue
+            around = a[img[:, None], ys[:, None] + DISC[:, 1], xs[:, None] + DISC[:, 0]]
+            turn = np.arctan2((around * DISC[:, 1]).sum(1), (around * DISC[:, 0]).sum(1))
+            k = np.rint(turn * TURNS / (2 * math.pi)).astype(int) % TURNS
+            soft = _box(a, 1)
+            one, two = (soft[img[:, None], ys[:, None] + t[k, :, 1], xs[:, None] + t[k, :, 0]] for t in TESTS)
+            words = np.packbits(one + MARGIN < two, axis=1).view(">i8")
+            rows = np.zeros(len(img), CORNER)
+            rows["image"], rows["level"], rows["turn"] = img, level, np.degrees(turn)
+            rows["x"], rows["y"] = (xs + 0.5) * factor - stack.shape[2] / 2, (ys + 0.5) * factor - stack.shape[1] / 2
+            rows["d0"], rows["d1"] = words[:, 0], words[:, 1]
+            out.append(rows)
+    found = np.concatenate(out) if out else np.zeros(0, CORNER)
+    found = found[np.argsort(found["image"], kind="stable")]
+    first = np.searchsorted(found["image"], found["image"])
+    found["corner"] = np.arange(len(found)) - first
+    return found
+
+
+DESCRIPTORS = "image_id long, corner int, x float, y float, level int, turn float, d0 long, d1 long"
 
 
 def descriptors(images: DataFrame) -> DataFrame:
@@ -206,13 +233,16 @@ def descriptors(images: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is not None:
-                    rows += [(i, k, *c) for k, c in enumerate(describe(decode_image(data)))]
-            if rows:
-                kinds = (pa.int64(), pa.int32(), *[pa.float64()] * 4, *[pa.int64()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in DESCRIPTORS.split(", ")])
+            for at in range(0, batch.num_rows, 64):
+                sizes: dict[tuple, list] = {}
+                for i, data in zip(batch.column(0).slice(at, 64).to_pylist(), batch.column(1).slice(at, 64).to_pylist(), strict=True):
+                    px = decode_image(data) if i is not None else None
+                    if px is not None and px.size:
+                        sizes.setdefault(px.shape, []).append((i, px.astype(np.float32)))
+                for same in sizes.values():
+                    found = describe_stack(np.stack([px for _, px in same]))
+                    found["image"] = np.array([i for i, _ in same], np.int64)[found["image"]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in CORNER.names], names=[x.split(" ")[0] for x in DESCRIPTORS.split(", ")])
 
     return images.select(F.col("image_id").cast("long"), F.col("image").cast("binary")).mapInArrow(run, DESCRIPTORS)
 
@@ -220,111 +250,86 @@ def descriptors(images: DataFrame) -> DataFrame:
 # ---- matches ----------------------------------------------------------------------------------------------------
 
 
-def _places(corners: DataFrame) -> DataFrame:
-    """``word, value, p``: each corner in the bucket of each half of its words, or of a whole word of two flat halves."""
-    point = F.struct(*[F.col(c).alias(c) for c in ("image_id", "corner", "x", "y", "scale", "turn", *WORDS)])
-
-    def mixed(c, bits, few):
-        # Nearly equal bits say that a patch is flat there; they are no evidence.
-        return F.bit_count(c).between(few, bits - few)
-
-    keys = []
-    for i, w in enumerate(WORDS):
-        whole = F.col(w).bitwiseAND(F.lit(0xFFFFFFFF))
-        low, high = whole.bitwiseAND(F.lit(0xFFFF)), F.shiftright(whole, 16)
-        keys += [(3 * i, low, mixed(low, 16, FEW_ONES // 2)), (3 * i + 1, high, mixed(high, 16, FEW_ONES // 2))]
-        keys.append((3 * i + 2, whole, mixed(whole, 32, FEW_ONES) & ~keys[-1][2] & ~keys[-2][2]))
-    place = F.explode(F.array(*[F.when(ok, F.struct(F.lit(k).alias("word"), value.alias("value"))) for k, value, ok in keys]))
-    return corners.select(point.alias("p"), place.alias("k")).where("k is not null").select("k.word", "k.value", "p")
-
-
-def _apart(one: str, two: str):
-    return sum((F.bit_count(F.col(f"{one}.{w}").bitwiseXOR(F.col(f"{two}.{w}")).bitwiseAND(F.lit(0xFFFFFFFF))) for w in WORDS), F.lit(0))
-
-
-def _ordered(one: str, two: str) -> list:
-    """Both corners of a match without their words, the smaller image first."""
-    swap = F.col(f"{one}.image_id") < F.col(f"{two}.image_id")
-    plain = [F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("image_id", "corner", "x", "y", "scale", "turn")]) for side in (one, two)]
-    return [F.when(swap, plain[0]).otherwise(plain[1]).alias("l"), F.when(swap, plain[1]).otherwise(plain[0]).alias("r")]
-
-
-def hub_matches(tables: DataFrame) -> DataFrame:
-    """``l, r``: matches of each bucket's corners with its hubs."""
-    hubs = tables.groupBy("word", "value").agg(F.count("*").alias("m"), *[F.min(F.struct(F.xxhash64("p.image_id", F.lit(r)).alias("order"), F.col("p").alias("p"))).alias(f"h{r}") for r in range(ORDERS)])
-    hubs = hubs.where("m > 1").select("word", "value", F.explode(F.array(*[F.col(f"h{r}.p") for r in range(ORDERS)])).alias("hub")).distinct()
-    met = tables.join(hubs, ["word", "value"]).where((F.col("p.image_id") != F.col("hub.image_id")) & (_apart("p", "hub") <= MOST_APART))
-    return met.select(*_ordered("p", "hub")).distinct()
-
-
-def open_matches(tables: DataFrame, joined: DataFrame) -> DataFrame:
-    """``l, r``: all matches of corners whose images are in different components of ``joined(node, comp)``.
-
-    Of such two corners one lies outside the bucket's largest component, so these meet the whole bucket, which is cut
-    into blocks of ``BLOCK`` corners: a crowded bucket is spread over tasks.
-    """
-    named = tables.join(joined, F.col("p.image_id") == F.col("node"), "left").select("word", "value", "p", F.coalesce("comp", "p.image_id").alias("comp"))
-    sizes = named.groupBy("word", "value", "comp").agg(F.count("*").alias("m"))
-    sizes = sizes.groupBy("word", "value").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("most")).where("most.m < all")
-    sizes = sizes.select("word", "value", F.col("most.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
-    crowd = materialize(named.join(sizes, ["word", "value"]), "open")
-    inside = crowd.select("word", "value", F.pmod(F.xxhash64("p.image_id", "p.corner"), "blocks").cast("int").alias("block"), F.col("p").alias("q"), F.col("comp").alias("cq"), (F.col("comp") == F.col("main")).alias("in_main"))
-    outside = crowd.where("comp <> main").select("word", "value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "p", "comp")
-    met = outside.join(inside, ["word", "value", "block"]).where((F.col("comp") != F.col("cq")) & (F.col("in_main") | (F.col("p.image_id") < F.col("q.image_id"))) & (_apart("p", "q") <= MOST_APART))
-    return met.select(*_ordered("p", "q")).distinct()
-
-
-def linked_images(corners: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
-    """``a, b, votes``: pairs of images that share a consistent shift, turn and scale of ``min_votes`` corners.
-
-    First corners meet their buckets' hubs; then all pairs of images that are still in different components are decided,
-    so the components are those of all pairs. Further pairs inside a component are not looked for.
-    """
-    tables = _places(corners)
-    first = materialize(voted_links(hub_matches(tables), min_votes), "hub-links")
-    joined = components(first.select("a", "b"))
-    return first.unionByName(voted_links(open_matches(tables, joined), min_votes))
-
-
-def voted_links(met: DataFrame, min_votes: int) -> DataFrame:
-    """``a, b, votes`` of the matches ``met(l, r)``."""
-    met = materialize(met, "met")
-    enough = met.groupBy(F.col("l.image_id").alias("ea"), F.col("r.image_id").alias("eb")).agg(F.count("*").alias("n")).where(F.col("n") >= min_votes).select("ea", "eb")
-    met = met.join(enough, (F.col("l.image_id") == F.col("ea")) & (F.col("r.image_id") == F.col("eb")), "left_semi")
-    turn = F.pmod(F.col("r.turn") - F.col("l.turn"), F.lit(360.0))
-    ratio = F.col("r.scale") / F.col("l.scale")
+def _keys() -> list:
+    """The key of each table, which names the table too."""
+    word = lambda t: F.col("d0") if t < 64 else F.col("d1")
+    cut = lambda t: F.shiftrightunsigned(word(t), 64 - KEY_BITS - t % 64).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    return [cut(t) + F.lit(k << KEY_BITS) for k, t in enumerate(TABLES)]
+
+
+POINT = ("corner", "x", "y", "level", "turn", "d0", "d1")
+
+
+def whole_classes(corners: DataFrame) -> DataFrame:
+    """``node, comp``: images of ``corners`` that are alike as a whole, in the same place; the class's smallest image."""
+    parts = int(corners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = [F.floor(F.col(c) / PLACE).cast("long") for c in ("x", "y")]
+    met = corners.select("image_id", "corner", F.explode(F.array(*[F.xxhash64(k, F.col("level"), *cell) for k in _keys()])).alias("place")).repartition(parts, "place")
+    hubs = met.groupBy("place").agg(F.min("image_id").alias("hub"), F.max("image_id").alias("last")).where("hub < last").select("place", "hub")
+    pairs = met.join(hubs, "place").where("image_id <> hub").groupBy("image_id", "hub").agg(F.count_distinct("corner").alias("n"))
+    total = corners.groupBy("image_id").agg(F.count_distinct("corner").alias("all"))
+    enough = pairs.where(F.col("n") >= MIN_VOTES).join(total, "image_id").where(F.col("n") >= WHOLE * F.col("all"))
+    other = total.select(F.col("image_id").alias("hub"), F.col("all").alias("hub_all"))
+    return components(enough.join(other, "hub").where(F.col("n") >= WHOLE * F.col("hub_all")).select(F.col("image_id").alias("a"), F.col("hub").alias("b")), "alike")
+
+
+def corner_matches(queries: DataFrame, corners: DataFrame, classes: DataFrame) -> DataFrame:
+    """``query_id, class_id, q, e``: corners of queries and of index classes that match."""
+    point = F.struct(*POINT)
+    named = corners.join(classes, F.col("image_id") == F.col("node"), "left").withColumn("key", F.explode(F.array(*_keys())))
+    # Copies are brought together before they meet others: a class stands once under a key.
+    grouped = named.where("comp is not null").groupBy("key", F.col("comp").alias("class_id")).agg(F.min(F.struct("image_id", point.alias("e"))).alias("m"))
+    entries = named.where("comp is null").select("key", F.col("image_id").alias("class_id"), point.alias("e")).unionByName(grouped.select("key", "class_id", "m.e"))
+    asked = queries.select(F.col("image_id").alias("query_id"), point.alias("q"), F.explode(F.array(*_keys())).alias("key"))
+    apart = F.bit_count(F.col("q.d0").bitwiseXOR(F.col("e.d0"))) + F.bit_count(F.col("q.d1").bitwiseXOR(F.col("e.d1")))
+    met = asked.join(entries, ["key"]).where(apart <= MOST_APART)
+    small = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in POINT[:5]]).alias(c)
+    return met.select("query_id", "class_id", small("q"), small("e")).distinct()
+
+
+def voted(met: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
+    """``query_id, class_id, votes, turn, scale`` of the matches that agree on a shift, turn and scale."""
+    enough = met.groupBy(F.col("query_id").alias("eq"), F.col("class_id").alias("ec")).agg(F.count_distinct("q.corner").alias("n")).where(F.col("n") >= min_votes).select("eq", "ec")
+    met = met.join(enough, (F.col("query_id") == F.col("eq")) & (F.col("class_id") == F.col("ec")), "left_semi")
+    size = F.array(*[F.lit(x) for x in LEVELS])
+    turn = F.pmod(F.col("q.turn") - F.col("e.turn"), F.lit(360.0))
+    ratio = F.get(size, F.col("q.level")) / F.get(size, F.col("e.level"))
     c, s = F.cos(F.radians(turn)) * ratio, F.sin(F.radians(turn)) * ratio
-    shift_x = F.col("r.x") - (c * F.col("l.x") - s * F.col("l.y"))
-    shift_y = F.col("r.y") - (s * F.col("l.x") + c * F.col("l.y"))
-    votes = met.select("l", "r", turn.alias("t"), F.log2(ratio).alias("z"), shift_x.alias("sx"), shift_y.alias("sy"))
-    # Each vote counts in bins of two grids that lie half a bin apart, so that no true cluster is cut in all of them.
-    half = F.explode(F.array(*[F.struct(F.lit(i & 1).alias("i"), F.lit(i >> 1 & 1).alias("j"), F.lit(i >> 2).alias("k")) for i in range(8)]))
-    voted = votes.withColumn("g", half).select(
-        F.col("l.image_id").alias("a"), F.col("r.image_id").alias("b"), F.col("l.corner").alias("ca"), F.col("r.corner").alias("cb"), "g",
+    shift_x = F.col("q.x") - (c * F.col("e.x") - s * F.col("e.y"))
+    shift_y = F.col("q.y") - (s * F.col("e.x") + c * F.col("e.y"))
+    votes = met.select("query_id", "class_id", F.col("q.corner").alias("cq"), F.struct(F.round(F.col("e.x") / 3), F.round(F.col("e.y") / 3)).alias("ce"), turn.alias("t"), F.log2(ratio).alias("z"), shift_x.alias("sx"), shift_y.alias("sy"))
+    # Each vote counts in bins of grids that lie half a bin apart, so that no true cluster is cut in all of them.
+    half = F.explode(F.array(*[F.struct(*[F.lit(i >> n & 1).alias("ijkl"[n]) for n in range(4)]) for i in range(16)]))
+    placed = votes.withColumn("g", half).select(
+        "query_id", "class_id", "cq", "ce", "t", "z", "g",
         F.floor(F.col("sx") / SHIFT_BIN + F.col("g.i") / 2).alias("bx"), F.floor(F.col("sy") / SHIFT_BIN + F.col("g.j") / 2).alias("by"),
-        F.pmod(F.floor(F.col("t") / TURN_BIN + F.col("g.k") / 2), F.lit(int(360 / TURN_BIN))).alias("bt"), F.round(F.col("z") / SCALE_BIN).alias("bz"),
+        F.pmod(F.floor(F.col("t") / TURN_BIN + F.col("g.k") / 2), F.lit(int(360 / TURN_BIN))).alias("bt"), F.floor(F.col("z") / SCALE_BIN + F.col("g.l") / 2).alias("bz"),
     )
-    places = voted.groupBy("a", "b", "g", "bx", "by", "bt", "bz").agg(F.least(F.count_distinct("ca"), F.count_distinct("cb")).alias("n"))
-    return places.groupBy("a", "b").agg(F.max("n").alias("votes")).where(F.col("votes") >= min_votes)
+    bins = placed.groupBy("query_id", "class_id", "g", "bx", "by", "bt", "bz").agg(F.least(F.count_distinct("cq"), F.count_distinct("ce")).alias("votes"), F.avg(F.pmod(F.col("t") - TURN_BIN * F.col("bt") + 180, F.lit(360.0)) - 180 + TURN_BIN * F.col("bt")).alias("turn"), F.avg("z").alias("z"))
+    best = bins.where(F.col("votes") >= min_votes).groupBy("query_id", "class_id").agg(F.max(F.struct("votes", F.round(F.pmod("turn", F.lit(360.0)), 0).alias("turn"), F.round(F.pow(F.lit(2.0), "z"), 2).alias("scale"))).alias("m"))
+    return best.select("query_id", "class_id", "m.votes", "m.turn", "m.scale")
+
 
+def search_copies(queries: DataFrame, index: DataFrame, min_votes: int = MIN_VOTES) -> tuple[DataFrame, DataFrame]:
+    """Copies of the images ``queries(image_id, image)`` among ``index(image_id, image)``.
 
-def image_classes(images: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
-    """``image_id, n_corners, class_id, n_links`` of each image id; the class is named by its smallest id."""
-    corners = materialize(descriptors(images), "corners")
-    links = materialize(linked_images(corners, min_votes), "image-links")
-    classes = components(links.select("a", "b"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("d_id")).groupBy("d_id").agg(F.count("*").alias("n_links"))
-    counts = corners.groupBy(F.col("image_id").alias("c_id")).agg(F.count_distinct("corner").alias("n_corners"))
-    ids = images.select(F.col("image_id").cast("long")).distinct()
-    out = ids.join(counts, F.col("image_id") == F.col("c_id"), "left").join(classes, F.col("image_id") == F.col("node"), "left").join(degree, F.col("image_id") == F.col("d_id"), "left")
-    zero = F.lit(0).cast("long")
-    return out.select("image_id", F.coalesce("n_corners", zero).alias("n_corners"), F.coalesce("comp", "image_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"))
+    Returns ``query_id, class_id, votes, turn, scale``, and the members of the classes that have several,
+    ``image_id, class_id``; an image that is not there is its own class.
+    """
+    corners = materialize(descriptors(index).dropDuplicates(["image_id", "corner", "level", "d0", "d1"]), "corners")
+    asked = materialize(descriptors(queries), "asked")
+    classes = materialize(whole_classes(corners), "alike")
+    free_shuffles(index.sparkSession)
+    matches = materialize(corner_matches(asked, corners, classes), "matches")
+    free_shuffles(index.sparkSession)
+    return materialize(voted(matches, min_votes), "copies"), classes.select(F.col("node").alias("image_id"), F.col("comp").alias("class_id"))
 
 
 # ---- images of a table without any ------------------------------------------------------------------------------
 
 SIDE = 112
-
+#: The edits that make the queries, in turn.
+EDITS = ("crop", "quarter turn", "small crop", "noise", "smaller", "turn", "larger", "blur")
 
 _patterns: dict[int, np.ndarray] = {}
 
@@ -348,28 +353,53 @@ def render(vector: list[float] | None) -> np.ndarray | None:
     return 128.0 + 45.0 * field.reshape(SIDE, SIDE)
 
 
-def edit(px: np.ndarray, key: int) -> np.ndarray:
-    """A copy of a picture: cropped, with other brightness and contrast, for odd keys turned a quarter."""
-    a, b = key * 7 % 11, key * 5 % 11
-    out = px[a : SIDE - 14 + a, b : SIDE - 14 + b] * 0.85 + 12
-    return np.rot90(out) if key % 2 else out
-
+def turned(px: np.ndarray, degrees: float) -> np.ndarray:
+    """A picture turned about its middle, grey where nothing was."""
+    h, w = px.shape
+    y, x = np.mgrid[:h, :w]
+    y, x, c, s = y - (h - 1) / 2, x - (w - 1) / 2, math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    x, y = c * x + s * y + (w - 1) / 2, c * y - s * x + (h - 1) / 2
+    x0, y0 = np.clip(x.astype(int), 0, w - 2), np.clip(y.astype(int), 0, h - 2)
+    fx, fy = x - x0, y - y0
+    out = (px[y0, x0] * (1 - fx) + px[y0, x0 + 1] * fx) * (1 - fy) + (px[y0 + 1, x0] * (1 - fx) + px[y0 + 1, x0 + 1] * fx) * fy
+    return np.where((x >= 0) & (x <= w - 1) & (y >= 0) & (y <= h - 1), out, 128.0)
 
-def embedding_images(vectors: DataFrame, query_every: int = 20) -> DataFrame:
-    """``image_id, image``: each vector's picture at twice its id, and an edited copy (the id after) of every
-    ``query_every``-th vector, which is the set of queries."""
 
+def edit(px: np.ndarray, key: int) -> np.ndarray:
+    """An edited copy of a picture: the key names the edit and where a crop lies."""
+    kind, a, b = EDITS[key % len(EDITS)], key * 7 % 11, key * 5 % 11
+    h, w = px.shape
+    if kind == "noise":
+        return px + np.random.default_rng(key).normal(0, 8, px.shape)
+    if kind == "blur":
+        return _box(_box(px, 1), 1)
+    if kind == "turn":
+        return turned(px, key * 37 % 360)
+    if kind in ("smaller", "larger"):
+        return _resize(px, 1.3 if kind == "smaller" else 0.8)
+    if kind == "small crop":  # two fifths of the area
+        return px[2 * a : h * 5 // 8 + 2 * a, 2 * b : w * 5 // 8 + 2 * b] * 1.1 - 9
+    out = px[a : h - 14 + a, b : w - 14 + b] * 0.85 + 12
+    return np.rot90(out) if kind == "quarter turn" else out
+
+
+def _drawn(vectors: DataFrame, change) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                ids, images = [], []
-                for i, v in zip(batch.column(0).slice(at, 200).to_pylist(), batch.column(1).slice(at, 200).to_pylist(), strict=True):
-                    px = render(v)
-                    ids.append(None if i is None else 2 * i)
-                    images.append(None if px is None else encode_pgm(px))
-                    if i is not None and px is not None and i % query_every == 0:
-                        ids.append(2 * i + 1)
-                        images.append(encode_pgm(edit(px, i // query_every)))
+            for at in range(0, batch.num_rows, 64):
+                ids = batch.column(0).slice(at, 64).to_pylist()
+                pictures = [render(v) for v in batch.column(1).slice(at, 64).to_pylist()]
+                images = [None if px is None else encode_pgm(change(px, i)) for i, px in zip(ids, pictures, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], names=["image_id", "image"])
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "image_id long, image binary")
+    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(run, "image_id long, image binary")
+
+
+def embedding_images(vectors: DataFrame) -> DataFrame:
+    """``image_id, image``: the picture of each vector."""
+    return _drawn(vectors, lambda px, i: px)
+
+
+def edited_images(vectors: DataFrame, every: int = 20) -> DataFrame:
+    """``image_id, image``: an edited copy of the picture of each vector whose id ``every`` divides."""
+    return _drawn(vectors.where(F.col("vec_id") % every == 0), lambda px, i: edit(px, i // every))

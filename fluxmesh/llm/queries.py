@@ -11,12 +11,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no images: every row of ``embeddings`` is drawn, and rows divisible by 20 also as edited copies."""
-    from .images import embedding_images, image_classes
-
-    found = image_classes(embedding_images(_table(spark, sf_dir, "embeddings")))
-    vec = F.shiftright("image_id", 1)
-    return found.select(vec.alias("vec_id"), (F.col("image_id") % 2 == 1).alias("edited"), "image_id", "n_corners", "class_id", F.shiftright("class_id", 1).alias("class_vec_id"), "n_links")
+    """Whose copy is it? The tables hold no images: every row of ``embeddings`` is drawn and indexed, and edited copies
+    of the rows divisible by 20 are the queries. A row a query and class of pictures found, one without a class if none.
+    """
+    from .images import EDITS, edited_images, embedding_images, search_copies
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    found, members = search_copies(edited_images(vectors), embedding_images(vectors))
+    own = members.select(F.col("image_id").alias("own_id"), F.col("class_id").alias("own_class"))
+    sizes = members.groupBy(F.col("class_id").alias("s_id")).agg(F.count("*").alias("n_images"))
+    asked = vectors.where("vec_id % 20 = 0").select("vec_id").join(own, F.col("vec_id") == F.col("own_id"), "left")
+    out = asked.join(found, F.col("vec_id") == F.col("query_id"), "left").join(sizes, F.col("class_id") == F.col("s_id"), "left")
+    kind = F.get(F.array(*[F.lit(e) for e in EDITS]), F.pmod(F.floor(F.col("vec_id") / 20), F.lit(len(EDITS))).cast("int"))
+    mine = F.col("class_id") == F.coalesce("own_class", "vec_id")
+    return out.select("vec_id", kind.alias("edited_by"), "class_id", F.when(F.col("class_id").isNotNull(), F.coalesce("n_images", F.lit(1).cast("long"))).alias("n_images"), "votes", "turn", "scale", F.coalesce(mine, F.lit(False)).alias("is_original"))
 
 
 def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

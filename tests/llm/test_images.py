@@ -3,8 +3,10 @@ import struct
 import zlib
 
 import numpy as np
-from fluxmesh.llm.common import components
-from fluxmesh.llm.images import DESCRIPTORS, FEW_ONES, MIN_VOTES, MOST_APART, SCALE_BIN, SHIFT_BIN, TURN_BIN, _box, _resize, decode_image, describe, descriptors, edit, embedding_images, encode_pgm, image_classes, linked_images, render
+from pyspark.sql import functions as F
+
+from fluxmesh.llm.images import EDITS, LEVELS, MIN_VOTES, MOST_APART, SCALE_BIN, SHIFT_BIN, TURN_BIN, decode_image, describe_stack, descriptors, edit, edited_images, embedding_images, encode_pgm, render, search_copies, whole_classes
+from fluxmesh.llm.queries import op1_image_copies
 
 from .helpers import SF
 
@@ -39,124 +41,104 @@ def test_decoders():
     grey = rng.integers(0, 256, (5, 6)).astype(np.uint8)
     assert (decode_image(encode_pgm(grey)) == grey).all()
     for bad in (None, b"", b"P5", b"P5\n9 9\n255\n12", b"\x89PNG\r\n\x1a\nxx", b"GIF89a", png(px, 2, 0)[:60]):
-        assert decode_image(bad) is None and describe(decode_image(bad)) == []
+        assert decode_image(bad) is None
 
 
-def test_edited_copies_are_found_and_others_are_not(spark):
-    rng = np.random.default_rng(4)
-    rows = []
-    for i in range(60):
-        px = render(list(rng.normal(0, 0.125, 64)))
-        rows.append((10 * i, bytearray(encode_pgm(px))))
-        if i % 3 == 0:
-            rows.append((10 * i + 1, bytearray(encode_pgm(edit(px, i)))))
-    rows += [(9001, None), (9002, bytearray(b"no image")), (None, rows[0][1]), (9003, rows[0][1])]
-    out = {r.image_id: r for r in image_classes(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
-    assert len(out) == len({i for i, _ in rows})
-    found = [out[10 * i + 1].class_id == out[10 * i].class_id for i in range(0, 60, 3)]
-    assert sum(found) >= 0.9 * len(found)
-    assert all(r.class_id // 10 == i // 10 for i, r in out.items() if i is not None and i < 9000)
-    assert out[9003].class_id == 0 and out[9001].n_corners == 0 and out[9002].class_id == 9002
-
-
-def turned(px, degrees):
-    """A copy turned by any angle about its middle."""
-    h, w = px.shape
-    y, x = np.mgrid[:h, :w]
-    y, x, c, s = y - (h - 1) / 2, x - (w - 1) / 2, math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    x, y = c * x + s * y + (w - 1) / 2, c * y - s * x + (h - 1) / 2
-    x0, y0 = np.clip(x.astype(int), 0, w - 2), np.clip(y.astype(int), 0, h - 2)
-    fx, fy = x - x0, y - y0
-    out = (px[y0, x0] * (1 - fx) + px[y0, x0 + 1] * fx) * (1 - fy) + (px[y0 + 1, x0] * (1 - fx) + px[y0 + 1, x0 + 1] * fx) * fy
-    return np.where((x >= 0) & (x <= w - 1) & (y >= 0) & (y <= h - 1), out, 128.0)
-
-
-def test_noisy_blurred_smaller_and_turned_copies_are_found(spark):
-    rng = np.random.default_rng(11)
-    edits = [lambda p: p + rng.normal(0, 12, p.shape), lambda p: _box(_box(p, 1), 1), lambda p: _resize(p, 1.5), *[lambda p, d=d: turned(p, d) for d in (10, 33, 77)]]
-    rows = []
-    for i in range(24):
-        px = render(list(rng.normal(0, 0.125, 64)))
-        rows += [(100 * i + k, bytearray(encode_pgm(q))) for k, q in enumerate([px, *[e(px) for e in edits]])]
-    pairs = linked_images(descriptors(spark.createDataFrame(rows, "image_id long, image binary"))).select("a", "b")
-    found = {r.node: r.comp for r in components(pairs).collect()}
-    assert all(c // 100 == i // 100 for i, c in found.items())
-    for k in range(1, len(edits) + 1):
-        assert sum(found.get(100 * i + k) == 100 * i for i in range(24)) >= 0.9 * 24
-
-
-def brute_links(corners, least):
-    """All pairs of corners that agree in a word, voting as documented."""
-    by = {}
-    for c in corners:
-        by.setdefault(c.image_id, []).append(c)
-    links = set()
-    ids = sorted(by)
-    for k, i in enumerate(ids):
-        for j in ids[k + 1 :]:
-            bins = {}
-            for p in by[i]:
-                for q in by[j]:
-                    if not any(a == b and FEW_ONES <= bin(a & 0xFFFFFFFF).count("1") <= 32 - FEW_ONES for a, b in zip(p[6:], q[6:], strict=True)):
-                        continue
-                    if sum(bin((a ^ b) & 0xFFFFFFFF).count("1") for a, b in zip(p[6:], q[6:], strict=True)) > MOST_APART:
-                        continue
-                    turn, ratio = (q.turn - p.turn) % 360, q.scale / p.scale
-                    c, s = math.cos(math.radians(turn)) * ratio, math.sin(math.radians(turn)) * ratio
-                    sx, sy = q.x - (c * p.x - s * p.y), q.y - (s * p.x + c * p.y)
-                    for g in range(8):
-                        key = (g, math.floor(sx / SHIFT_BIN + (g & 1) / 2), math.floor(sy / SHIFT_BIN + (g >> 1 & 1) / 2), math.floor(turn / TURN_BIN + (g >> 2) / 2) % int(360 / TURN_BIN), round(math.log2(ratio) / SCALE_BIN))
-                        own = bins.setdefault(key, (set(), set()))
-                        own[0].add(p.corner)
-                        own[1].add(q.corner)
-            if max((min(map(len, b)) for b in bins.values()), default=0) >= least:
-                links.add((i, j))
-    return links
-
-
-def test_links_reach_the_recall_of_all_pairs(spark):
-    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").limit(50)
-    corners = descriptors(embedding_images(vectors, query_every=2)).cache()
-    want = brute_links(corners.collect(), MIN_VOTES)
-    got = {(r.a, r.b) for r in linked_images(corners).collect()}
-    assert len(want) > 15 and len(got & want) >= 0.9 * len(want) and got <= want
-
-
-def test_copies_in_crowded_buckets_are_linked(spark):
-    """All images share the first word of every corner and nothing else; only the copies have the other words too."""
-    rng = np.random.default_rng(5)
-    common = [int(w) for w in rng.integers(1, 1 << 31, 8) if 4 <= bin(int(w)).count("1") <= 28]
-    rows = []
-    for i in range(60):
-        if i % 10 != 7:
-            own = rng.integers(-(1 << 31), 1 << 31, (len(common), 3))
-        elif i % 20 == 7:
-            kept = own = rng.integers(-(1 << 31), 1 << 31, (len(common), 3))
-        else:
-            own = kept ^ (1 << 5)
-        rows += [(i, k, 10.0 * k, 7.0 * k * k, 1.0, 30.0, w, *map(int, own[k])) for k, w in enumerate(common)]
-    corners = spark.createDataFrame(rows, DESCRIPTORS)
-    want = {(7, 17), (27, 37), (47, 57)}
-    assert brute_links(corners.collect(), MIN_VOTES) == want
-    assert {(r.a, r.b) for r in linked_images(corners).collect()} == want
+def table(spark, rows):
+    return spark.createDataFrame([(i, None if b is None else bytearray(b), "x", 1.0) for i, b in rows], "image_id long, image binary, corner string, x double")
 
 
-def test_classes_are_those_of_all_pairs(spark):
+def pictures(n, seed=4):
+    rng = np.random.default_rng(seed)
+    return [render(list(rng.normal(0, 0.125, 64))) for _ in range(n)]
+
+
+def brute(queries, corners):
+    """All pairs of corners that differ in few tests, voting as documented: {(query, image)}."""
+    by = lambda rows: {i: [r for r in rows if r.image_id == i] for i in {r.image_id for r in rows}}
+    asked, there = by(queries), by(corners)
+    out = set()
+    for i, p in asked.items():
+        for j, e in there.items():
+            d = np.array([[(a.d0 ^ b.d0) % 2**64 for b in e] for a in p], np.uint64), np.array([[(a.d1 ^ b.d1) % 2**64 for b in e] for a in p], np.uint64)
+            bins = {}
+            for k, m in zip(*np.nonzero(np.bitwise_count(d[0]).astype(int) + np.bitwise_count(d[1]) <= MOST_APART), strict=True):
+                q, x = p[k], e[m]
+                turn, ratio = (q.turn - x.turn) % 360, LEVELS[q.level] / LEVELS[x.level]
+                c, s = math.cos(math.radians(turn)) * ratio, math.sin(math.radians(turn)) * ratio
+                sx, sy = q.x - (c * x.x - s * x.y), q.y - (s * x.x + c * x.y)
+                for g in range(16):
+                    half = [(g >> n & 1) / 2 for n in range(4)]
+                    key = (g, math.floor(sx / SHIFT_BIN + half[0]), math.floor(sy / SHIFT_BIN + half[1]), math.floor(turn / TURN_BIN + half[2]) % 12, math.floor(math.log2(ratio) / SCALE_BIN + half[3]))
+                    own = bins.setdefault(key, (set(), set()))
+                    own[0].add(k)
+                    own[1].add((round(x.x / 3), round(x.y / 3)))
+            if max((min(map(len, b)) for b in bins.values()), default=0) >= MIN_VOTES:
+                out.add((i, j))
+    return out
+
+
+def test_edited_copies_are_found_as_by_all_pairs(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").limit(60)
-    images = embedding_images(vectors, query_every=2).cache()
-    classes = {r.image_id: r.class_id for r in image_classes(images, 3).collect()}
-    lowest = {i: i for i in classes}
-    links = brute_links(descriptors(images).collect(), 3)
-    for _ in lowest:
-        for a, b in links:
-            lowest[a] = lowest[b] = min(lowest[a], lowest[b])
-    assert classes == lowest
-
-
-def test_table_of_vectors(spark):
-    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
-    images = embedding_images(vectors.limit(45))
-    assert images.where("image_id % 2 = 1").count() == vectors.limit(45).where("vec_id % 20 = 0").count()
+    index, queries = embedding_images(vectors).cache(), edited_images(vectors, 2).cache()
+    found, members = search_copies(queries, index)
+    got = {(r.query_id, r.class_id) for r in found.collect()}
+    of = {r.image_id: r.class_id for r in members.collect()}
+    want = {(i, of.get(j, j)) for i, j in brute(descriptors(queries).collect(), descriptors(index).collect())}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
+    own = [(i, of.get(i, i)) in got for i in range(0, 60, 2)]
+    assert sum(own) >= 0.9 * len(own)
+    by_edit = {e: [f for k, f in enumerate(own) if k % len(EDITS) == n] for n, e in enumerate(EDITS)}
+    assert all(any(f) for f in by_edit.values()), by_edit
+
+
+def test_near_copies_form_one_class(spark):
+    rng = np.random.default_rng(3)
+    base, *others = pictures(12)
+    rows = [(i, encode_pgm(base + rng.normal(0, 2, base.shape))) for i in range(40)] + [(100 + i, encode_pgm(px)) for i, px in enumerate(others)]
+    classes = {r.node: r.comp for r in whole_classes(descriptors(table(spark, rows))).collect()}
+    assert sum(classes.get(i) == 0 for i in range(40)) >= 36 and not [i for i in classes if i >= 100]
+    found, _ = search_copies(table(spark, [(7, encode_pgm(edit(base, 0)))]), table(spark, rows))
+    assert 0 in {r.class_id for r in found.collect()} and not found.where("class_id >= 100").count()
+
+
+def test_a_common_mark_does_not_make_a_class(spark):
+    """A third of the pictures bear one mark; marked pictures are no copies of each other as a whole."""
+    rows, mark = [], pictures(1, 9)[0][:40, :40]
+    for i, px in enumerate(pictures(30)):
+        if i % 3 == 0:
+            px[8:48, 60:100] = mark
+        rows.append((i, encode_pgm(px)))
+    index = table(spark, rows)
+    assert whole_classes(descriptors(index)).count() == 0
+    asked = [(i, encode_pgm(edit(decode_image(rows[i][1]), 0))) for i in range(30)]
+    found, _ = search_copies(table(spark, asked), index)
+    got = {(r.query_id, r.class_id) for r in found.collect()}
+    assert sum((i, i) in got for i in range(30)) >= 27
+    assert all(i == j or i % 3 == j % 3 == 0 for i, j in got)
+
+
+def test_hard_rows(spark):
+    px = pictures(2)
+    good, other = encode_pgm(px[0]), encode_pgm(px[1])
+    rows = [(None, good), (1, None), (2, b""), (3, b"no image"), (4, encode_pgm(np.zeros((60, 60)))), (5, encode_pgm(px[0][:20, :20])), (6, good), (6, good), (7, other), (7, good)]
+    found, members = search_copies(table(spark, [(0, good), (None, good), (9, None)]), table(spark, rows))
+    assert {(r.query_id, r.class_id) for r in found.collect()} == {(0, 6)} or {(r.query_id, r.class_id) for r in found.collect()} == {(0, 6), (0, 7)}
+    assert members.where("image_id in (1, 2, 3, 4, 5)").count() == 0
+    empty = table(spark, rows).limit(0)
+    assert search_copies(empty, table(spark, rows))[0].count() == search_copies(table(spark, rows), empty)[0].count() == 0
     none = spark.createDataFrame([(None, None), (3, None), (4, [0.0, None, 1.0, 0.5])], "vec_id long, embedding array<double>")
-    assert image_classes(embedding_images(none)).count() == 3
-    assert image_classes(embedding_images(none.limit(0))).count() == 0
+    assert embedding_images(none).count() == 3 and edited_images(none, 4).where("image is not null").count() == 1
+    assert len(describe_stack(np.zeros((3, 30, 30), np.float32))) == 0
+
+
+def test_corners_follow_the_area():
+    rng = np.random.default_rng(1)
+    small, large = (len(describe_stack(rng.normal(128, 45, (1, n, n)).astype(np.float32))) for n in (100, 400))
+    assert large > 10 * small > 0
+
+
+def test_the_query_has_a_row_for_each_row_it_asks_for(spark):
+    out = op1_image_copies(spark, SF).cache()
+    assert out.select("vec_id").distinct().count() == spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    assert out.where(F.col("is_original") & (F.col("class_id") > F.col("vec_id"))).count() == 0

@@ -4,8 +4,8 @@ An image column is decoded (PGM, PPM, or PNG of 8 bits), corners are found at se
 orientation (the direction of its patch's intensity centroid) and 128 binary tests turned to that orientation.
 
 1. Index images that are alike as a whole form a class: corners that agree in a key and lie in the same cell meet the
-   smallest image there, and images of which ``WHOLE`` of the corners so meet are joined. A group of any size costs a
-   row a corner and key.
+   smallest image there, and images of which ``WHOLE`` of the corners so meet are joined; images left over meet the
+   classes in the same way. A group of any size costs a row a corner and key.
 2. Four tables hold ``KEY_BITS`` tests of each descriptor as key. A class stands once under a key, so a crowded key
    holds classes, not copies. Corners of a query and of a class that share a key and differ in ``MOST_APART`` tests of
    128 at most are a match.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_shuffles, materialize
+from .common import components, drop_scratch, free_shuffles, materialize
 
 # Bytes of a pixel of each PNG colour type.
 PNG_DEPTH = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -46,7 +46,7 @@ MOST_APART = 20
 MIN_VOTES = 5
 SHIFT_BIN, TURN_BIN, SCALE_BIN = 16.0, 30.0, 0.67
 #: Share of the corners that images alike as a whole have in common, and the cells in which those lie.
-WHOLE, PLACE = 0.4, 16
+WHOLE, PLACE = 0.3, 16
 
 
 # ---- pixels -----------------------------------------------------------------------------------------------------
@@ -225,7 +225,21 @@ def describe_stack(stack: np.ndarray) -> np.ndarray:
     return found
 
 
-DESCRIPTORS = "image_id long, corner int, x float, y float, level int, turn float, d0 long, d1 long"
+#: ``place`` packs a corner's number (19 bits), level (3), turn in degrees (9) and offset from the middle in pixels (16 each).
+DESCRIPTORS = "image_id long, place long, d0 long, d1 long"
+
+
+def pack_places(found: np.ndarray) -> np.ndarray:
+    out = found["corner"].astype(np.int64) % (1 << 19) << 3 | found["level"]
+    out = out << 9 | np.rint(found["turn"]).astype(np.int64) % 360
+    for c in ("x", "y"):
+        out = out << 16 | np.clip(np.rint(found[c]).astype(np.int64) + (1 << 15), 0, (1 << 16) - 1)
+    return out
+
+
+def _unpacked(place) -> dict:
+    bits = lambda at, n: F.shiftright(place, at).bitwiseAND(F.lit((1 << n) - 1))
+    return {"y": bits(0, 16) - (1 << 15), "x": bits(16, 16) - (1 << 15), "turn": bits(32, 9), "level": bits(41, 3).cast("int"), "corner": bits(44, 19)}
 
 
 def descriptors(images: DataFrame) -> DataFrame:
@@ -241,8 +255,8 @@ def descriptors(images: DataFrame) -> DataFrame:
                         sizes.setdefault(px.shape, []).append((i, px.astype(np.float32)))
                 for same in sizes.values():
                     found = describe_stack(np.stack([px for _, px in same]))
-                    found["image"] = np.array([i for i, _ in same], np.int64)[found["image"]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[c])) for c in CORNER.names], names=[x.split(" ")[0] for x in DESCRIPTORS.split(", ")])
+                    ids = np.array([i for i, _ in same], np.int64)[found["image"]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (ids, pack_places(found), found["d0"], found["d1"])], names=["image_id", "place", "d0", "d1"])
 
     return images.select(F.col("image_id").cast("long"), F.col("image").cast("binary")).mapInArrow(run, DESCRIPTORS)
 
@@ -257,25 +271,31 @@ def _keys() -> list:
     return [cut(t) + F.lit(k << KEY_BITS) for k, t in enumerate(TABLES)]
 
 
-POINT = ("corner", "x", "y", "level", "turn", "d0", "d1")
-
-
 def whole_classes(corners: DataFrame) -> DataFrame:
     """``node, comp``: images of ``corners`` that are alike as a whole, in the same place; the class's smallest image."""
     parts = int(corners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cell = [F.floor(F.col(c) / PLACE).cast("long") for c in ("x", "y")]
-    met = corners.select("image_id", "corner", F.explode(F.array(*[F.xxhash64(k, F.col("level"), *cell) for k in _keys()])).alias("place")).repartition(parts, "place")
+    at = _unpacked(F.col("place"))
+    cell = [at["level"], *[F.floor(at[c] / PLACE) for c in ("x", "y")]]
+    # Copies that are alike as a whole have enough equal keys in two of the tables.
+    met = corners.select("image_id", at["corner"].cast("int").alias("corner"), F.explode(F.array(*[F.xxhash64(k, *cell) for k in _keys()[::2]])).alias("place")).repartition(parts, "place")
+    total = corners.groupBy("image_id").agg(F.count_distinct("place").alias("all"))
     hubs = met.groupBy("place").agg(F.min("image_id").alias("hub"), F.max("image_id").alias("last")).where("hub < last").select("place", "hub")
     pairs = met.join(hubs, "place").where("image_id <> hub").groupBy("image_id", "hub").agg(F.count_distinct("corner").alias("n"))
-    total = corners.groupBy("image_id").agg(F.count_distinct("corner").alias("all"))
     enough = pairs.where(F.col("n") >= MIN_VOTES).join(total, "image_id").where(F.col("n") >= WHOLE * F.col("all"))
     other = total.select(F.col("image_id").alias("hub"), F.col("all").alias("hub_all"))
-    return components(enough.join(other, "hub").where(F.col("n") >= WHOLE * F.col("hub_all")).select(F.col("image_id").alias("a"), F.col("hub").alias("b")), "alike")
+    edges = materialize(enough.join(other, "hub").where(F.col("n") >= WHOLE * F.col("hub_all")).select(F.col("image_id").alias("a"), F.col("hub").alias("b")), "alike")
+    classes = components(edges, "alike")
+    # Images that met no member in enough corners meet the keys of all members of a class together, a row a class and key.
+    known = met.join(classes.withColumnRenamed("node", "image_id"), "image_id").select("place", "comp").distinct()
+    late = met.join(classes.select(F.col("node").alias("image_id")), "image_id", "left_anti").join(known, "place")
+    late = late.groupBy("image_id", "comp").agg(F.count_distinct("corner").alias("n")).where(F.col("n") >= MIN_VOTES)
+    late = late.join(total, "image_id").join(other, F.col("comp") == F.col("hub")).where(F.col("n") >= WHOLE * F.greatest("all", "hub_all"))
+    return components(edges.unionByName(late.select(F.col("image_id").alias("a"), F.col("comp").alias("b"))), "alike")
 
 
 def corner_matches(queries: DataFrame, corners: DataFrame, classes: DataFrame) -> DataFrame:
     """``query_id, class_id, q, e``: corners of queries and of index classes that match."""
-    point = F.struct(*POINT)
+    point = F.struct("place", "d0", "d1")
     named = corners.join(classes, F.col("image_id") == F.col("node"), "left").withColumn("key", F.explode(F.array(*_keys())))
     # Copies are brought together before they meet others: a class stands once under a key.
     grouped = named.where("comp is not null").groupBy("key", F.col("comp").alias("class_id")).agg(F.min(F.struct("image_id", point.alias("e"))).alias("m"))
@@ -283,21 +303,21 @@ def corner_matches(queries: DataFrame, corners: DataFrame, classes: DataFrame) -
     asked = queries.select(F.col("image_id").alias("query_id"), point.alias("q"), F.explode(F.array(*_keys())).alias("key"))
     apart = F.bit_count(F.col("q.d0").bitwiseXOR(F.col("e.d0"))) + F.bit_count(F.col("q.d1").bitwiseXOR(F.col("e.d1")))
     met = asked.join(entries, ["key"]).where(apart <= MOST_APART)
-    small = lambda c: F.struct(*[F.col(f"{c}.{x}") for x in POINT[:5]]).alias(c)
-    return met.select("query_id", "class_id", small("q"), small("e")).distinct()
+    return met.select("query_id", "class_id", F.col("q.place").alias("q"), F.col("e.place").alias("e")).distinct()
 
 
 def voted(met: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
     """``query_id, class_id, votes, turn, scale`` of the matches that agree on a shift, turn and scale."""
-    enough = met.groupBy(F.col("query_id").alias("eq"), F.col("class_id").alias("ec")).agg(F.count_distinct("q.corner").alias("n")).where(F.col("n") >= min_votes).select("eq", "ec")
+    enough = met.groupBy(F.col("query_id").alias("eq"), F.col("class_id").alias("ec")).agg(F.count_distinct("q").alias("n")).where(F.col("n") >= min_votes).select("eq", "ec")
+    q, e = _unpacked(F.col("q")), _unpacked(F.col("e"))
     met = met.join(enough, (F.col("query_id") == F.col("eq")) & (F.col("class_id") == F.col("ec")), "left_semi")
     size = F.array(*[F.lit(x) for x in LEVELS])
-    turn = F.pmod(F.col("q.turn") - F.col("e.turn"), F.lit(360.0))
-    ratio = F.get(size, F.col("q.level")) / F.get(size, F.col("e.level"))
+    turn = F.pmod(q["turn"] - e["turn"], F.lit(360.0))
+    ratio = F.get(size, q["level"]) / F.get(size, e["level"])
     c, s = F.cos(F.radians(turn)) * ratio, F.sin(F.radians(turn)) * ratio
-    shift_x = F.col("q.x") - (c * F.col("e.x") - s * F.col("e.y"))
-    shift_y = F.col("q.y") - (s * F.col("e.x") + c * F.col("e.y"))
-    votes = met.select("query_id", "class_id", F.col("q.corner").alias("cq"), F.struct(F.round(F.col("e.x") / 3), F.round(F.col("e.y") / 3)).alias("ce"), turn.alias("t"), F.log2(ratio).alias("z"), shift_x.alias("sx"), shift_y.alias("sy"))
+    shift_x = q["x"] - (c * e["x"] - s * e["y"])
+    shift_y = q["y"] - (s * e["x"] + c * e["y"])
+    votes = met.select("query_id", "class_id", q["corner"].alias("cq"), (F.round(e["x"] / 3) * (1 << 20) + F.round(e["y"] / 3)).cast("long").alias("ce"), turn.alias("t"), F.log2(ratio).alias("z"), shift_x.alias("sx"), shift_y.alias("sy"))
     # Each vote counts in bins of grids that lie half a bin apart, so that no true cluster is cut in all of them.
     half = F.explode(F.array(*[F.struct(*[F.lit(i >> n & 1).alias("ijkl"[n]) for n in range(4)]) for i in range(16)]))
     placed = votes.withColumn("g", half).select(
@@ -316,12 +336,14 @@ def search_copies(queries: DataFrame, index: DataFrame, min_votes: int = MIN_VOT
     Returns ``query_id, class_id, votes, turn, scale``, and the members of the classes that have several,
     ``image_id, class_id``; an image that is not there is its own class.
     """
-    corners = materialize(descriptors(index).dropDuplicates(["image_id", "corner", "level", "d0", "d1"]), "corners")
+    corners = materialize(descriptors(index), "corners")
     asked = materialize(descriptors(queries), "asked")
     classes = materialize(whole_classes(corners), "alike")
     free_shuffles(index.sparkSession)
     matches = materialize(corner_matches(asked, corners, classes), "matches")
     free_shuffles(index.sparkSession)
+    for used in (corners, asked):
+        drop_scratch(used)
     return materialize(voted(matches, min_votes), "copies"), classes.select(F.col("node").alias("image_id"), F.col("comp").alias("class_id"))
 
 

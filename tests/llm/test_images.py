@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from fluxmesh.llm.images import EDITS, LEVELS, MIN_VOTES, MOST_APART, SCALE_BIN, SHIFT_BIN, TURN_BIN, decode_image, describe_stack, descriptors, edit, edited_images, embedding_images, encode_pgm, render, search_copies, whole_classes
+from fluxmesh.llm.images import EDITS, LEVELS, MIN_VOTES, MOST_APART, SCALE_BIN, SHIFT_BIN, TURN_BIN, _unpacked, decode_image, describe_stack, descriptors, edit, edited_images, embedding_images, encode_pgm, render, search_copies, whole_classes
 from fluxmesh.llm.queries import op1_image_copies
 
 from .helpers import SF
@@ -84,7 +84,8 @@ def test_edited_copies_are_found_as_by_all_pairs(spark):
     found, members = search_copies(queries, index)
     got = {(r.query_id, r.class_id) for r in found.collect()}
     of = {r.image_id: r.class_id for r in members.collect()}
-    want = {(i, of.get(j, j)) for i, j in brute(descriptors(queries).collect(), descriptors(index).collect())}
+    points = [descriptors(x).select("image_id", "d0", "d1", *[v.alias(k) for k, v in _unpacked(F.col("place")).items()]).collect() for x in (queries, index)]
+    want = {(i, of.get(j, j)) for i, j in brute(*points)}
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
     own = [(i, of.get(i, i)) in got for i in range(0, 60, 2)]
     assert sum(own) >= 0.9 * len(own)

@@ -42,7 +42,7 @@ TURNS = 36
 #: First test of each table's key, and the tests in a key.
 TABLES, KEY_BITS = (0, 32, 64, 96), 18
 #: Tests in which two matching corners may differ.
-MOST_APART = 20
+MOST_APART = 18
 MIN_VOTES = 5
 SHIFT_BIN, TURN_BIN, SCALE_BIN = 16.0, 30.0, 0.67
 #: Share of the corners that images alike as a whole have in common, and the cells in which those lie.

@@ -2,9 +2,16 @@
 
 A gram is the shortest run of whole lines from a line on that holds ``GRAM_WORDS`` words or more. For each line, among
 the grams that lie in the shortest run of ``RUN_WORDS`` words from it, the one with the smallest hash is a fingerprint,
-so any two equal runs of ``RUN_WORDS`` words select an equal gram. All occurrences of a fingerprint but the first (in
-order of document, then line) are joined to that first one, and the match is extended line by line both ways; the
-later run is deleted. A fingerprint of any frequency costs one pair an occurrence.
+so any two equal runs of ``RUN_WORDS`` words select an equal gram. Matches of a repeated fingerprint are found twice:
+
+* with the fingerprint's first occurrence (in order of document, then line): the match is extended line by line both
+  ways and the later run is deleted, so runs of ``GRAM_WORDS`` words go as well;
+* with all others: the runs of ``RUN_WORDS`` words that selected the fingerprint are compared by their own hash, and
+  every one but the first is deleted. Neighbouring runs overlap, so a match grows to its whole length, whichever earlier
+  text holds it.
+
+So each line of a run of ``RUN_WORDS`` words of whole lines that stood anywhere before is deleted. A fingerprint or run
+of any frequency costs one row an occurrence.
 
 Lines are what ``\\n`` separates; their 64-bit hashes are compared. A deleted run has ``GRAM_WORDS`` words at least.
 
@@ -15,6 +22,7 @@ rows. Texts of any length are read whole.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,17 +31,22 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 
 GRAM_WORDS, RUN_WORDS = 40, 50
+#: Documents that meet one copy of a first occurrence's lines.
+SALT_ROWS = 256
 
 
 def line_hashes(text: str) -> tuple[list[int], list[int]]:
     """(signed 64-bit hash, words) of each line."""
     lines = text.split("\n")
-    hashes = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines]
-    return [h - (1 << 64) if h >> 63 else h for h in hashes], [len(x.split()) for x in lines]
+    return [_signed(xxhash.xxh3_64_intdigest(x.encode())) for x in lines], [len(x.split()) for x in lines]
+
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
-def winnow(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
-    """(gram hash, first line) of the selected grams."""
+
+def winnow(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+    """(gram hash, first line) of the selected grams, and (run hash, first line, end, hash of its gram) of each run."""
     n = len(hashes)
 
     def ends(least: int) -> list[int]:
@@ -49,14 +62,15 @@ def winnow(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, ru
 
     gram_end, run_end = ends(gram_words), ends(run_words)
     keys: dict[int, int] = {}
+    packed = np.array(hashes, "<i8").tobytes()
 
     def key(i: int) -> int:
         if i not in keys:
-            h = xxhash.xxh3_64_intdigest(b"".join([(x & (1 << 64) - 1).to_bytes(8, "little") for x in hashes[i : gram_end[i]]]))
-            keys[i] = h - (1 << 64) if h >> 63 else h
+            keys[i] = _signed(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * gram_end[i]]))
         return keys[i]
 
     chosen: dict[int, int] = {}
+    runs = []
     for i in range(n):
         if not run_end[i] or not words[i]:
             continue
@@ -66,7 +80,8 @@ def winnow(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, ru
                 best = (k, j)
             j += 1
         chosen[best[1]] = best[0]
-    return sorted((k, i) for i, k in chosen.items())
+        runs.append((_signed(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * run_end[i]])), i, run_end[i], best[0]))
+    return sorted((k, i) for i, k in chosen.items()), runs
 
 
 def extend(own: list[int], other: list[int], seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -98,24 +113,33 @@ def merge_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def deleted_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """``doc_id, text_hash, removed``: the line ranges ``[a, b)`` to delete from each document that has any."""
 
+    print_type = pa.list_(pa.struct([("gram", pa.int64()), ("line", pa.int32())]))
+    run_type = pa.list_(pa.struct([("run", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("gram", pa.int64())]))
+
     def lines(batches):
         for batch in batches:
             for part in slices(batch):
                 found = [line_hashes(t) for t in part.column(2).to_pylist()]
                 prints = [winnow(h, w, gram_words, run_words) for h, w in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([[{"gram": k, "line": i} for k, i in p] for p in prints], pa.list_(pa.struct([("gram", pa.int64()), ("line", pa.int32())])))], names=["doc_id", "text_hash", "hashes", "prints"])
+                chosen = [[dict(zip(("gram", "line"), x, strict=True)) for x in p] for p, _ in prints]
+                runs = [[dict(zip(("run", "a", "b", "gram"), x, strict=True)) for x in r] for _, r in prints]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array(chosen, print_type), pa.array(runs, run_type)], names=["doc_id", "text_hash", "hashes", "prints", "runs"])
 
     own = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
-    kept = materialize(own.mapInArrow(lines, "doc_id long, text_hash long, hashes array<bigint>, prints array<struct<gram:bigint,line:int>>"), "lines")
+    kept = materialize(own.mapInArrow(lines, "doc_id long, text_hash long, hashes array<bigint>, prints array<struct<gram:bigint,line:int>>, runs array<struct<run:bigint,a:int,b:int,gram:bigint>>"), "lines")
     place = F.struct("doc_id", "text_hash", "line").alias("place")
     prints = kept.select("doc_id", "text_hash", F.explode("prints").alias("p")).select("doc_id", "text_hash", "p.gram", "p.line")
     first = prints.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first < final").select(F.col("gram").alias("f_gram"), "first")
     later = prints.join(first, F.col("gram") == F.col("f_gram")).where(F.struct("doc_id", "text_hash", "line") > F.col("first"))
     seeds = later.groupBy("doc_id", "text_hash", F.col("first.doc_id").alias("f_id"), F.col("first.text_hash").alias("f_hash")).agg(F.collect_set(F.struct(F.col("line").alias("own"), F.col("first.line").alias("other"))).alias("seeds"))
     unique = kept.groupBy("doc_id", "text_hash").agg(F.first("hashes").alias("hashes"))
-    sources = seeds.select("f_id", "f_hash").distinct()
-    other = unique.select(F.col("doc_id").alias("o_id"), F.col("text_hash").alias("o_hash"), F.col("hashes").alias("other")).join(sources.select(F.col("f_id").alias("s_id"), F.col("f_hash").alias("s_hash")), F.col("o_id").eqNullSafe(F.col("s_id")) & (F.col("o_hash") == F.col("s_hash")), "left_semi")
-    pairs = seeds.join(other, F.col("f_id").eqNullSafe(F.col("o_id")) & (F.col("f_hash") == F.col("o_hash")))
+    # A first occurrence that many documents share is dealt out with them.
+    sources = seeds.groupBy("f_id", "f_hash").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).select(F.col("f_id").alias("s_id"), F.col("f_hash").alias("s_hash"), "salts")
+    is_source = lambda i, h: F.col(i).eqNullSafe(F.col("s_id")) & (F.col(h) == F.col("s_hash"))
+    other = unique.select(F.col("doc_id").alias("o_id"), F.col("text_hash").alias("o_hash"), F.col("hashes").alias("other")).join(sources, is_source("o_id", "o_hash"))
+    other = other.withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("o_id", "o_hash", "other", "o_salt")
+    seeds = seeds.join(sources, is_source("f_id", "f_hash")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), "salts").cast("int"))
+    pairs = seeds.join(other, F.col("f_id").eqNullSafe(F.col("o_id")) & (F.col("f_hash") == F.col("o_hash")) & (F.col("salt") == F.col("o_salt")))
     mine = unique.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), F.col("hashes").alias("mine"))
     both = pairs.join(mine, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))).select("doc_id", "text_hash", "mine", "other", "seeds")
 
@@ -126,7 +150,12 @@ def deleted_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[{"a": a, "b": b} for a, b in f] for f in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], names=["doc_id", "text_hash", "runs"])
 
     grown = both.mapInArrow(grow, "doc_id long, text_hash long, runs array<struct<a:int,b:int>>")
-    return materialize(grown.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("removed")), "runs")
+    # Runs of repeated fingerprints, wherever they stood before.
+    runs = kept.select("doc_id", "text_hash", F.explode("runs").alias("r")).select("doc_id", "text_hash", "r.*").join(first.select("f_gram"), F.col("gram") == F.col("f_gram"), "left_semi")
+    start = F.struct("doc_id", "text_hash", "a")
+    earliest = runs.groupBy("run").agg(F.min(start).alias("first"), F.max(start).alias("final")).where("first < final").select(F.col("run").alias("e_run"), "first")
+    again = runs.join(earliest, F.col("run") == F.col("e_run")).where(start > F.col("first")).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    return materialize(grown.unionByName(again).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("removed")), "runs")
 
 
 def dedup_lines(docs: DataFrame, keep_columns: list[str], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:

@@ -14,6 +14,19 @@ def grams(words, i, least):
     return 0
 
 
+def repeated_runs(split, run_words=50):
+    """(document, first line, end) of the shortest runs of ``run_words`` words that stood anywhere before."""
+    seen = set()
+    for d, (_, lines) in enumerate(split):
+        words = [len(x.split()) for x in lines]
+        for i in range(len(lines)):
+            if words[i] and (end := grams(words, i, run_words)):
+                run = tuple(lines[i:end])
+                if run in seen:
+                    yield d, i, end
+                seen.add(run)
+
+
 def brute(docs, gram_words=40, run_words=50):
     """The documented rule over plain lists: documents in order of id, selected grams, first occurrences, extension."""
     split = [(i, (t or "").split("\n")) for i, t in docs]
@@ -21,7 +34,7 @@ def brute(docs, gram_words=40, run_words=50):
     for d, (_, lines) in enumerate(split):
         words = [len(x.split()) for x in lines]
         hashes, _ = line_hashes("\n".join(lines))
-        for _, i in sorted(winnow(hashes, words, gram_words, run_words), key=lambda x: x[1]):
+        for _, i in sorted(winnow(hashes, words, gram_words, run_words)[0], key=lambda x: x[1]):
             g = tuple(lines[i : grams(words, i, gram_words)])
             if g in first:
                 hits.append((d, i, *first[g]))
@@ -36,6 +49,8 @@ def brute(docs, gram_words=40, run_words=50):
         while b < len(own) and b - i + j < len(other) and own[b] == other[b - i + j]:
             b += 1
         gone.setdefault(d, set()).update(range(a, b))
+    for d, a, b in repeated_runs(split, run_words):
+        gone.setdefault(d, set()).update(range(a, b))
     return {i: "\n".join(x for k, x in enumerate(lines) if k not in gone.get(d, ())) for d, (i, lines) in enumerate(split)}
 
 
@@ -53,6 +68,23 @@ def test_matches_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_runs_that_only_a_later_copy_extends(spark):
+    """A holds R, B holds R S, later ones R, R S or S T: whatever an earlier text of any kind holds goes."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        line = lambda n, k=k: " ".join(f"k{k}r{rng.randrange(10**6)}" for _ in range(n))
+        r, s, t = [line(10) for _ in range(5)], [line(10)], [line(9) for _ in range(5)]
+        for lines in (r, r + s, r, r + s + t, r + s, s + t):
+            rows.append((len(rows), "\n".join([line(3), *lines, line(3)])))
+    kept = {r.doc_id: r.text.split("\n") for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id", "text"]).collect()}
+    assert {i: "\n".join(x) for i, x in kept.items()} == brute(rows)
+    split = [(i, t.split("\n")) for i, t in rows]
+    for d, a, b in repeated_runs(split):
+        assert not set(split[d][1][a:b]) & set(kept[d])
+    assert all(len(kept[i]) == 2 for i in range(len(rows)) if i % 6 in (2, 4, 5))
+
+
 def test_every_long_run_is_caught(spark):
     passage = "\n".join(" ".join(f"p{k}x{j}" for j in range(7)) for k in range(8))
     one_line = " ".join(f"q{k}" for k in range(51))

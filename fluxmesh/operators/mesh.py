@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxmesh.functions.vectors import add, cross, dot, named, norm, scale, sub, vec
-from fluxmesh.model import SURFACE_TAGS, TISSUES
+from fluxmesh.model import SKIN_TAG, SURFACE_TAGS, TISSUES
 
 LOCAL = [f"n{i}" for i in range(4)]
 
@@ -146,6 +146,11 @@ def known_surfaces(tris: DataFrame) -> DataFrame:
     return tris.where(F.col("tag").isin(SURFACE_TAGS))
 
 
+def skin_surface(tris: DataFrame) -> DataFrame:
+    """The triangles on which coils are placed; surfaces inside the head are not."""
+    return tris.where(F.col("tag") == SKIN_TAG)
+
+
 def unknown_tags(tets: DataFrame) -> DataFrame:
     """``tag, n`` of elements whose tag is no tissue."""
     return tets.where(~F.col("tag").isin([t[0] for t in TISSUES])).groupBy("tag").agg(F.count("*").alias("n"))
@@ -171,9 +176,15 @@ def reindex(nodes: DataFrame, tets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new_nodes, tets.select("e", *LOCAL, "tag")
 
 
-def require_finite(nodes: DataFrame) -> DataFrame:
+def used_nodes(nodes: DataFrame, tets: DataFrame) -> DataFrame:
+    return nodes.join(tets.select(F.explode(F.array(*LOCAL)).alias("node")), "node", "left_semi")
+
+
+def require_finite(nodes: DataFrame, tets: DataFrame) -> DataFrame:
+    """Raise for a coordinate that is not finite, of a node that an element uses."""
     bad = [F.isnan(a) | (F.abs(a) == float("inf")) | F.col(a).isNull() for a in "xyz"]
-    if nodes.where(bad[0] | bad[1] | bad[2]).limit(1).count():
+    used = tets.select(F.explode(F.array(*LOCAL)).alias("node"))
+    if nodes.where(bad[0] | bad[1] | bad[2]).join(used, "node", "left_semi").limit(1).count():
         raise ValueError("a node has a coordinate that is not finite")
     return nodes
 

@@ -92,14 +92,22 @@ def spr_fit(offsets: np.ndarray) -> np.ndarray | None:
     return w if np.abs(w).sum() <= MOST_WEIGHT else None
 
 
-def harmonic_basis(u: np.ndarray, v: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Harmonic polynomials to the third degree."""
-    one = np.ones_like(u)
-    return np.column_stack([
-        one, u, v, t, u * u - v * v, v * v - t * t, u * v, u * t, v * t,
-        t * (2 * t * t - 3 * u * u - 3 * v * v), u * (4 * t * t - u * u - v * v), v * (4 * t * t - u * u - v * v),
-        t * (u * u - v * v), u * v * t, u * (u * u - 3 * v * v), v * (3 * u * u - v * v),
-    ])
+def harmonic_basis(u: np.ndarray, v: np.ndarray, t: np.ndarray, degree: int = 3) -> np.ndarray:
+    """Real solid harmonics up to a degree, by the recurrence of the Legendre functions in ``t`` and powers of u + iv.
+
+    Columns go by degree, and in a degree from order 1 up with order 0 last, so the linear ones are u, v, t.
+    """
+    square = u * u + v * v + t * t
+    of: dict[tuple[int, int], np.ndarray] = {}
+    for m in range(degree + 1):
+        of[m, m] = (u + 1j * v) ** m
+        for n in range(m, degree):
+            of[n + 1, m] = ((2 * n + 1) * t * of[n, m] - (n + m) * square * of.get((n - 1, m), 0)) / (n - m + 1)
+    columns = []
+    for n in range(degree + 1):
+        columns += [part for m in range(1, n + 1) for part in (of[n, m].real, of[n, m].imag)]
+        columns.append(of[n, 0].real)
+    return np.column_stack(columns)
 
 
 def harmonic_fit(offsets: np.ndarray) -> tuple[np.ndarray, int]:

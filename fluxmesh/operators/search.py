@@ -37,11 +37,13 @@ def world_to_index(samples: DataFrame, grid: dict) -> DataFrame:
 def require_inside(samples: DataFrame, grid: dict, key: str, tolerance: float = 1e-6) -> DataFrame:
     """Raise for a sample outside the grid (or not a number), naming it and the axis; never clamp."""
     indexed = world_to_index(samples, grid)
-    for a in "xyz":
+    outside = F.lit(None).cast("string")
+    for a in "zyx":
         u = F.col(f"u{a}")
-        bad = indexed.where(u.isNull() | F.isnan(u) | (u < -tolerance) | (u > grid[f"n{a}"] - 1 + tolerance)).select(key).orderBy(key).limit(1).collect()
-        if bad:
-            raise ValueError(f"sample {bad[0][0]} lies outside the grid along {a}")
+        outside = F.when(u.isNull() | F.isnan(u) | (u < -tolerance) | (u > grid[f"n{a}"] - 1 + tolerance), a).otherwise(outside)
+    bad = indexed.select(key, outside.alias("axis")).where("axis is not null").agg(F.min(F.struct(key, "axis")).alias("first")).first()["first"]
+    if bad:
+        raise ValueError(f"sample {bad[0]} lies outside the grid along {bad[1]}")
     return indexed
 
 
@@ -62,7 +64,11 @@ def trilinear(samples: DataFrame, grid: dict, values: DataFrame, keys: list[str]
 
 
 def reciprocity(dipoles: DataFrame, grid: dict, q: DataFrame, rate: float, by: tuple[str, ...] = ("p",)) -> DataFrame:
-    """``p, d, e``: ``rate * sum over dipoles of m . Q_d(s)``; dipole positions in mm as x, y, z."""
+    """``p, d, e``: ``rate * sum over dipoles of m . Q_d(s)``; dipole positions in mm as x, y, z.
+
+    A dipole outside the grid raises: its value would be extrapolated.
+    """
+    require_inside(dipoles, grid, "j")
     at = trilinear(dipoles, grid, q, [*by, "j", "mx", "my", "mz"], ["qx", "qy", "qz"], ("d",))
     return at.groupBy(*by, "d").agg((F.lit(float(rate)) * F.sum(dot(vec("m"), vec("q")))).alias("e"))
 

@@ -42,7 +42,10 @@ def ground_node(nodes: DataFrame) -> DataFrame:
 
 def reduce_matrix(k: DataFrame, ground: DataFrame) -> DataFrame:
     """The matrix without the ground row and column."""
-    return k.join(F.broadcast(ground), (F.col("r") == F.col("ground")) | (F.col("c") == F.col("ground")), "left_anti")
+    columns = k.columns
+    for axis in ("r", "c"):
+        k = k.join(F.broadcast(ground.select(F.col("ground").alias(axis))), axis, "left_anti")  # one row
+    return k.select(columns)
 
 
 def l1_inverse(k: DataFrame) -> DataFrame:

@@ -181,7 +181,7 @@ def tissue_sensitivity_multi(spark, sf_dir):
 
 
 NORMAL = """tissue(tag, s0, cov) AS (VALUES (1,0.126e0,0.15e0),(2,0.275e0,0.15e0),(3,1.654e0,0.05e0),(4,0.010e0,0.35e0),(5,0.465e0,0.20e0),(6,0.5e0,0.20e0),(7,0.008e0,0.35e0),(8,0.025e0,0.35e0),(9,0.6e0,0.15e0),(10,0.16e0,0.20e0)),
- ks AS (SELECT c_custkey::INT k FROM customer WHERE c_custkey < 100),
+ ks AS (SELECT i::INT k FROM range(100) t(i)),
  u AS (SELECT k, tag, s0, cov, (('0x'||substr(md5('5|'||k||'|'||tag||'|a'),1,8))::BIGINT + 0.5e0)/4294967296e0 u1, (('0x'||substr(md5('5|'||k||'|'||tag||'|b'),1,8))::BIGINT + 0.5e0)/4294967296e0 u2 FROM ks, tissue),
  z AS (SELECT *, sqrt(-2e0*ln(u1))*cos(2e0*pi()*u2) z FROM u)"""
 

@@ -41,9 +41,9 @@ MESH = (
  dadt AS (SELECT e, 0.01e0*by_ ax, -0.01e0*bx ay, 0.001e0*bz az FROM bary)"""
 )
 KM = "k AS (SELECT a.node r, b.node c, sum(a.vol*a.sigma*(a.gx*b.gx+a.gy*b.gy+a.gz*b.gz)) v FROM cs a JOIN cs b ON a.e = b.e GROUP BY 1, 2), g AS (SELECT node ground FROM nodes ORDER BY z, node LIMIT 1)"
-PLACE = """pl AS (SELECT c_custkey::INT p, 20e0+60e0*((c_custkey*37)%100)/100e0 cx, 20e0+60e0*((c_custkey*53)%100)/100e0 cy, 101e0+c_acctbal*1e-4 cz FROM customer WHERE c_custkey <= 12),
+PLACE = """pl AS (SELECT c_custkey::INT p, 20e0+60e0*((c_custkey*37)%100)/100e0 cx, 20e0+60e0*((c_custkey*53)%100)/100e0 cy, 101e0+c_acctbal*1e-4 cz FROM customer),
  placements AS (SELECT p, cx, cy, cz, cx hx, cy+50e0 hy, 100e0 hz, 4e0 dist FROM pl),
- dip AS (SELECT p_partkey::INT j, (p_partkey%6-2.5e0)*0.008e0 sx, (p_partkey//6-2e0)*0.008e0 sy, 0e0 sz, (p_partkey%3)*0.001e0 mx, 0e0 my, p_size*0.01e0 mz FROM part WHERE p_partkey <= 30)"""
+ dip AS (SELECT p_partkey::INT j, (p_partkey%6-2.5e0)*0.008e0 sx, (p_partkey//6%5-2e0)*0.008e0 sy, 0e0 sz, (p_partkey%3)*0.001e0 mx, 0e0 my, p_size*0.01e0 mz FROM part)"""
 
 
 def sql(select: str, *more: str) -> str:
@@ -75,8 +75,8 @@ class Tables:
         self.slots = mesh.tissue_slots(self.tets).withColumn("slot", F.col("slot").cast("int"))
         self.potential = synth.potential_of(customers, self.nodes)
         self.dadt = self.bary.select("e", (0.01 * F.col("by")).alias("ax"), (-0.01 * F.col("bx")).alias("ay"), (0.001 * F.col("bz")).alias("az"))
-        self.placements = synth.placements_of(customers)
-        self.dipoles = synth.dipoles_of(read("part"))
+        self.placements = synth.placements_of(customers, "c_custkey", "c_acctbal")
+        self.dipoles = synth.dipoles_of(read("part"), "p_partkey", "p_size")
 
     @property
     def tris(self):
@@ -179,6 +179,12 @@ def surface_tag_filter(spark, sf_dir):
     return mesh.known_surfaces(tris)
 
 
+@query("SELECT l_orderkey AS o, l_linenumber AS t, (1001 + l_linenumber)::INT AS tag FROM lineitem WHERE l_linenumber = 4")
+def skin_filter(spark, sf_dir):
+    tris = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("t"), (1001 + F.col("l_linenumber")).cast("int").alias("tag"))
+    return mesh.skin_surface(tris)
+
+
 @query("SELECT (p_size % 17)::INT AS tag, count(*) AS n FROM part WHERE p_size % 17 NOT BETWEEN 1 AND 10 GROUP BY 1")
 def unknown_tag_histogram(spark, sf_dir):
     tets = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") % 17).cast("int").alias("tag"))
@@ -272,11 +278,11 @@ def node_gather(spark, sf_dir):
     return out(sparse.node_gather(t.corners.select("node", (F.col("vol") * F.col("sigma") * 1e6).alias("v"))), ["node"], 9)
 
 
-@query(sql(f"SELECT node, {R('sum(wx)*0.25e0*731058.5786e0', 'wx', 6)}, {R('sum(wy)*0.25e0*731058.5786e0', 'wy', 6)}, {R('sum(wz)*0.25e0*731058.5786e0', 'wz', 6)} FROM co JOIN ew ON co.e = ew.e GROUP BY node", EW))
+@query(sql(f"SELECT node, {R('sum(wx)', 'wx', 9)}, {R('sum(wy)', 'wy', 9)}, {R('sum(wz)', 'wz', 9)} FROM co JOIN ew ON co.e = ew.e GROUP BY node", EW))
 def node_scatter(spark, sf_dir):
     t = Tables(spark, sf_dir)
     w = sparse.node_scatter(t.corners, sparse.element_weight(t.corners, t.potential))
-    return out(w.select("node", *[(F.col(c) * 731058.5786).alias(c) for c in ("wx", "wy", "wz")]), ["node"], 6)
+    return out(w.select("node", *[(4 * F.col(c)).alias(c) for c in ("wx", "wy", "wz")]), ["node"], 12)
 
 
 AGG = "ag AS (SELECT node, node // 4 agg FROM nodes), p0 AS (SELECT node r, ag.agg c, 1e0/sqrt(n::DOUBLE) v FROM ag JOIN (SELECT agg, count(*) n FROM ag GROUP BY agg) s ON ag.agg = s.agg)"
@@ -378,14 +384,14 @@ def place_dipoles(spark, sf_dir):
 
 # ---- regions of interest ----------------------------------------------------------------------------------------
 
-TG = "tg AS (SELECT c_custkey::VARCHAR name, 10e0+80e0*((c_custkey*29)%100)/100e0 tx, 10e0+80e0*((c_custkey*41)%100)/100e0 ty, 10e0+80e0*((c_custkey*67)%100)/100e0 tz, {r} radius FROM customer WHERE c_custkey < 10)"
+TG = "tg AS (SELECT c_custkey::VARCHAR name, 10e0+80e0*((c_custkey*29)%100)/100e0 tx, 10e0+80e0*((c_custkey*41)%100)/100e0 ty, 10e0+80e0*((c_custkey*67)%100)/100e0 tz, {r} radius FROM customer)"
 ND = "nr AS (SELECT name, bary.e, vol, radius, (bx-tx)*(bx-tx)+(by_-ty)*(by_-ty)+(bz-tz)*(bz-tz) d2 FROM bary JOIN gr ON bary.e = gr.e, tg)"
 
 
 def _targets(spark, sf_dir, radius):
     k = F.col("c_custkey")
     at = lambda m: 10 + 80 * ((k * m) % 100) / 100.0
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").where(k < 10).select(k.cast("string").alias("name"), at(29).alias("tx"), at(41).alias("ty"), at(67).alias("tz"), radius.alias("radius"), F.lit(0.0).alias("dx"), F.lit(0.6).alias("dy"), F.lit(-0.8).alias("dz"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.cast("string").alias("name"), at(29).alias("tx"), at(41).alias("ty"), at(67).alias("tz"), radius.alias("radius"), F.lit(0.0).alias("dx"), F.lit(0.6).alias("dy"), F.lit(-0.8).alias("dz"))
 
 
 def _elements(t):
@@ -476,11 +482,11 @@ def nodal_field(spark, sf_dir):
 # ---- ensembles and search ---------------------------------------------------------------------------------------
 
 
-@query(sql(f"SELECT d.k, a.node r, b.node c, {R('sum(d.sigma*a.vol*(a.gx*b.gx+a.gy*b.gy+a.gz*b.gz))', 'v', 12)} FROM co a JOIN co b ON a.e = b.e JOIN dr d ON d.tag = a.tag GROUP BY 1, 2, 3", "dr AS (SELECT (c_custkey % 5)::INT k, (2 + c_custkey // 5)::INT tag, 0.1e0 + abs(c_acctbal)*1e-4 sigma FROM customer WHERE c_custkey < 10)"))
+@query(sql(f"SELECT d.k, a.node r, b.node c, {R('sum(d.sigma*a.vol*(a.gx*b.gx+a.gy*b.gy+a.gz*b.gz))', 'v', 12)} FROM co a JOIN co b ON a.e = b.e JOIN dr d ON d.tag = a.tag GROUP BY 1, 2, 3", "dr AS (SELECT (c_custkey // 2)::INT k, (2 + c_custkey % 2)::INT tag, 0.1e0 + abs(c_acctbal)*1e-4 sigma FROM customer)"))
 def combine_matrix(spark, sf_dir):
     t = Tables(spark, sf_dir)
     c = F.col("c_custkey")
-    sigmas = spark.read.parquet(f"{sf_dir}/customer.parquet").where(c < 10).select((c % 5).cast("int").alias("k"), (2 + F.floor(c / 5)).cast("int").alias("tag"), (0.1 + F.abs("c_acctbal") * 1e-4).alias("sigma"))
+    sigmas = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.floor(c / 2).cast("int").alias("k"), (2 + c % 2).cast("int").alias("tag"), (0.1 + F.abs("c_acctbal") * 1e-4).alias("sigma"))
     by_tissue = sparse.stiffness(t.corners.withColumn("sigma", F.lit(1.0)), by=("tag",))
     return out(ensemble.combine(by_tissue, sigmas), ["k", "r", "c"], 12)
 
@@ -488,7 +494,7 @@ def combine_matrix(spark, sf_dir):
 GRID = {"h": 20.0, "ox": -10.0, "oy": -10.0, "oz": 90.0, "nx": 7, "ny": 7, "nz": 5}
 GP = "gp AS (SELECT (i // 35)::INT ix, (i // 5 % 7)::INT iy, (i % 5)::INT iz FROM range(245) t(i)), gx AS (SELECT *, -10e0+ix*20e0 x, -10e0+iy*20e0 y, 90e0+iz*20e0 z FROM gp)"
 QF = "qf AS (SELECT d, ix, iy, iz, (d+1)*0.01e0*y qx, 0.02e0*x-d*0.01e0*z qy, 0.001e0*x*y+d qz FROM gx, (VALUES (0),(1),(2)) dd(d))"
-SAMP = "sm AS (SELECT p_partkey::INT j, (p_partkey%4)::INT p, 5e0+90e0*((p_partkey*37)%101)/101e0 x, 5e0+90e0*((p_partkey*59)%101)/101e0 y, 95e0+60e0*((p_partkey*83)%101)/101e0 z, (p_partkey%3)*0.1e0 mx, 0.2e0 my, p_size*0.01e0 mz FROM part WHERE p_partkey < 40)"
+SAMP = "sm AS (SELECT p_partkey::INT j, (p_partkey%4)::INT p, 5e0+90e0*((p_partkey*37)%101)/101e0 x, 5e0+90e0*((p_partkey*59)%101)/101e0 y, 95e0+60e0*((p_partkey*83)%101)/101e0 z, (p_partkey%3)*0.1e0 mx, 0.2e0 my, p_size*0.01e0 mz FROM part)"
 TRI = """ui AS (SELECT *, (x+10e0)/20e0 ux, (y+10e0)/20e0 uy, (z-90e0)/20e0 uz FROM sm), ci AS (SELECT *, greatest(least(floor(ux),5),0)::INT cx, greatest(least(floor(uy),5),0)::INT cy, greatest(least(floor(uz),3),0)::INT cz FROM ui),
  e8 AS (SELECT *, cx+dx ix, cy+dy iy, cz+dz iz, (CASE WHEN dx=1 THEN ux-cx ELSE 1e0-(ux-cx) END)*(CASE WHEN dy=1 THEN uy-cy ELSE 1e0-(uy-cy) END)*(CASE WHEN dz=1 THEN uz-cz ELSE 1e0-(uz-cz) END) w FROM ci, (VALUES (0),(1)) a(dx), (VALUES (0),(1)) b(dy), (VALUES (0),(1)) c(dz)),
  ti AS (SELECT p, j, mx, my, mz, d, sum(w*qx) qx, sum(w*qy) qy, sum(w*qz) qz FROM e8 JOIN qf ON e8.ix=qf.ix AND e8.iy=qf.iy AND e8.iz=qf.iz GROUP BY p, j, mx, my, mz, d)"""
@@ -503,7 +509,7 @@ def _qfield(spark):
 def _samples(spark, sf_dir):
     k = F.col("p_partkey")
     at = lambda m: ((k * m) % 101) / 101.0
-    return spark.read.parquet(f"{sf_dir}/part.parquet").where(k < 40).select(k.cast("int").alias("j"), (k % 4).cast("int").alias("p"), (5 + 90 * at(37)).alias("x"), (5 + 90 * at(59)).alias("y"), (95 + 60 * at(83)).alias("z"), (k % 3 * 0.1).alias("mx"), F.lit(0.2).alias("my"), (F.col("p_size") * 0.01).alias("mz"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.cast("int").alias("j"), (k % 4).cast("int").alias("p"), (5 + 90 * at(37)).alias("x"), (5 + 90 * at(59)).alias("y"), (95 + 60 * at(83)).alias("z"), (k % 3 * 0.1).alias("mx"), F.lit(0.2).alias("my"), (F.col("p_size") * 0.01).alias("mz"))
 
 
 @query("WITH " + GP + " SELECT ix, iy, iz, x, y, z FROM gx")
@@ -535,13 +541,13 @@ def best_placement(spark, sf_dir):
     return out(search.best_placement(search.magnitude_or_component(e, ("p",), True)), ["p"], 3)
 
 
-ANG = "sa AS (SELECT c_custkey::INT // 9 center, c_custkey::INT % 9 s, c_acctbal*1e-3 e FROM customer WHERE c_custkey < 72)"
+ANG = "sa AS (SELECT c_custkey::INT // 9 center, c_custkey::INT % 9 s, c_acctbal*1e-3 e FROM customer)"
 DIR = "an AS (SELECT i::INT a, i*(2e0*pi()/64e0) theta FROM range(64) t(i)), di AS (SELECT center, a, theta, sum(e*(1e0" + "".join(f"+2e0*cos({h}e0*(theta - s*(2e0*pi()/9e0)))" for h in range(1, 5)) + ")/9e0) e FROM sa, an GROUP BY 1, 2, 3)"
 
 
 def _angles(spark, sf_dir):
     c = F.col("c_custkey")
-    s = spark.read.parquet(f"{sf_dir}/customer.parquet").where(c < 72).select(F.floor(c / 9).cast("int").alias("center"), (c % 9).cast("int").alias("s"), (F.col("c_acctbal") * 1e-3).alias("e"))
+    s = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.floor(c / 9).cast("int").alias("center"), (c % 9).cast("int").alias("s"), (F.col("c_acctbal") * 1e-3).alias("e"))
     return search.dirichlet(s, ["center"], 9, 64)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fluxmesh.model import clean
 from fluxmesh.operators import ensemble, search, source
-from fluxmesh.plans.mesh_queries import N, Tables
+from fluxmesh.plans.mesh_queries import N
 from fluxmesh.plans.registry import query
 from fluxmesh.sources import synth
 from fluxmesh.subject import Subject
@@ -19,8 +19,9 @@ def _subject(spark):
 
 
 def _request(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return _subject(spark), t.placements.where("p < 4"), t.dipoles
+    """The cube, a placement of each supplier and a coil of a dipole for each nation."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    return _subject(spark), synth.placements_of(read("supplier"), "s_suppkey", "s_acctbal"), synth.dipoles_of(read("nation"), "n_nationkey", "n_regionkey")
 
 
 def out(df, keys, digits=6):
@@ -65,7 +66,7 @@ def harmonic_weights(spark, sf_dir):
 @query()
 def uq_run(spark, sf_dir):
     s, placements, dipoles = _request(spark, sf_dir)
-    return out(ensemble.moments(s.simulate_conductivity_uq(placements.where("p < 2"), dipoles, RATE, n=8), ["p", "e"], "magn"), ["p", "e", "n"], 4)
+    return out(ensemble.moments(s.simulate_conductivity_uq(placements, dipoles, RATE, n=8), ["p", "e"], "magn"), ["p", "e", "n"], 4)
 
 
 def _roi(s):

@@ -38,19 +38,19 @@ def cube_tets(spark: SparkSession, n: int, tags: tuple[int, int] = (2, 3)) -> Da
     return rows.select((F.col("first") + F.col("k")).cast("int").alias("e"), F.col("base").alias("n0"), (F.col("base") + F.col("s.a")).alias("n1"), (F.col("base") + F.col("s.a") + F.col("s.b")).alias("n2"), (F.col("base") + sum(steps)).alias("n3"), "tag")
 
 
-def placements_of(customers: DataFrame, most: int = 12) -> DataFrame:
-    """Placements over the top face, from the first customers."""
-    k = F.col("c_custkey")
+def placements_of(rows: DataFrame, key: str, balance: str) -> DataFrame:
+    """Placements over the top face, one a row."""
+    k = F.col(key)
     cx, cy = 20 + 60 * ((k * 37) % 100) / 100.0, 20 + 60 * ((k * 53) % 100) / 100.0
-    return customers.where(k <= most).select(k.cast("int").alias("p"), cx.alias("cx"), cy.alias("cy"), (F.lit(101.0) + F.col("c_acctbal") * 1e-4).alias("cz"), cx.alias("hx"), (cy + 50.0).alias("hy"), F.lit(100.0).alias("hz"), F.lit(4.0).alias("dist"))
+    return rows.select(k.cast("int").alias("p"), cx.alias("cx"), cy.alias("cy"), (F.lit(101.0) + F.col(balance).cast("double") * 1e-4).alias("cz"), cx.alias("hx"), (cy + 50.0).alias("hy"), F.lit(100.0).alias("hz"), F.lit(4.0).alias("dist"))
 
 
-def dipoles_of(parts: DataFrame, most: int = 30) -> DataFrame:
-    """A flat coil's dipoles (m, A m2) in its own frame, from the first parts."""
-    k = F.col("p_partkey")
-    return parts.where(k <= most).select(
-        k.cast("int").alias("j"), ((k % 6 - 2.5) * 0.008).alias("sx"), ((F.floor(k / 6) - 2.0) * 0.008).alias("sy"), F.lit(0.0).alias("sz"),
-        (k % 3 * 0.001).alias("mx"), F.lit(0.0).alias("my"), (F.col("p_size") * 0.01).alias("mz"),
+def dipoles_of(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """A flat coil's dipoles (m, A m2) in its own frame, one a row on a grid of 6 by 5 places."""
+    k = F.col(key)
+    return rows.select(
+        k.cast("int").alias("j"), ((k % 6 - 2.5) * 0.008).alias("sx"), ((F.floor(k / 6) % 5 - 2.0) * 0.008).alias("sy"), F.lit(0.0).alias("sz"),
+        (k % 3 * 0.001).alias("mx"), F.lit(0.0).alias("my"), (F.col(size) * 0.01).alias("mz"),
     )
 
 

@@ -20,9 +20,9 @@ class Subject:
 
     def __init__(self, nodes: DataFrame, tets: DataFrame, tris: DataFrame | None = None, tissues: DataFrame | None = None):
         self.spark: SparkSession = nodes.sparkSession
-        self.nodes = mesh.require_finite(nodes)
+        self.nodes = mesh.used_nodes(mesh.require_finite(nodes, tets), tets)
         self.tets = mesh.require_known_tags(tets)
-        self.tris = mesh.known_surfaces(tris) if tris is not None else mesh.skin_triangles(nodes, tets)
+        self.tris = mesh.skin_surface(tris) if tris is not None else mesh.skin_triangles(nodes, tets)
         self.tissues = tissues if tissues is not None else tissue_table(self.spark)
         self._kept: dict[str, DataFrame] = {}
         self._csr: dict[str, solve.Csr] = {}

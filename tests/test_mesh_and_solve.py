@@ -167,3 +167,43 @@ def test_crop_renumbers(subject):
     n = nodes.count()
     assert 0 < n < subject.nodes.count() and nodes.agg(F.max("node")).first()[0] == n - 1
     assert tets.select(F.greatest("n0", "n1", "n2", "n3").alias("m")).agg(F.max("m")).first()[0] < n and tris.count() > 0
+
+
+def test_coils_stand_on_the_skin_only(spark, request_tables):
+    """A second surface inside the head, nearer to a centre than the skin, changes no frame."""
+    placements, _ = request_tables
+    nodes, tets = synth.cube_nodes(spark, 3), synth.cube_tets(spark, 3)
+    skin = mesh.skin_triangles(nodes, tets)
+    last = skin.count()
+    high = nodes.agg(F.max("node")).first()[0]
+    bone = spark.createDataFrame([(high + 1, 0.0, 0.0, 100.9), (high + 2, 100.0, 0.0, 100.9), (high + 3, 50.0, 100.0, 100.9)], "node int, x double, y double, z double")
+    inner = spark.createDataFrame([(last, high + 1, high + 2, high + 3, 1004)], "t int, a int, b int, c int, tag int")
+    with Subject(nodes, tets, skin) as one, Subject(nodes.unionByName(bone), tets, skin.unionByName(inner)) as two:
+        assert sorted(one.frames(placements).collect()) == sorted(two.frames(placements).collect())
+
+
+def test_only_used_nodes_must_be_finite(spark):
+    nodes, tets = synth.cube_nodes(spark, 2), synth.cube_tets(spark, 2)
+    stray = nodes.unionByName(spark.createDataFrame([(999, float("nan"), 0.0, None)], "node int, x double, y double, z double"))
+    with Subject(stray, tets) as s:
+        assert s.ground.collect() == Subject(nodes, tets).ground.collect()
+    with pytest.raises(ValueError):
+        Subject(nodes.withColumn("x", F.when(F.col("node") == 4, float("nan")).otherwise(F.col("x"))), tets)
+
+
+def test_dipoles_outside_the_grid_are_refused(spark):
+    grid = {"h": 1.0, "ox": 0.0, "oy": 0.0, "oz": 0.0, "nx": 3, "ny": 3, "nz": 3}
+    q = search.grid_points(spark, grid).selectExpr("0 d", "ix", "iy", "iz", "1D qx", "1D qy", "1D qz")
+    at = spark.createDataFrame([(0, 7, 1.0, 5.0, 1.0, 1.0, 0.0, 0.0)], "p int, j int, x double, y double, z double, mx double, my double, mz double")
+    with pytest.raises(ValueError, match="sample 7 lies outside the grid along y"):
+        search.reciprocity(at, grid, q, 1.0)
+
+
+def test_harmonic_basis_is_harmonic():
+    """Each column has no Laplacian: by central differences, which are exact for cubics."""
+    rng = np.random.default_rng(0)
+    p, h = rng.normal(size=(40, 3)), 0.5
+    total = sum(recovery.harmonic_basis(*(p + s * h * np.eye(3)[a]).T) for a in range(3) for s in (1, -1)) - 6 * recovery.harmonic_basis(*p.T)
+    assert np.abs(total).max() < 1e-9
+    assert np.linalg.matrix_rank(recovery.harmonic_basis(*p.T)) == 16
+    assert np.allclose(recovery.harmonic_basis(*p.T)[:, 1:4], p)

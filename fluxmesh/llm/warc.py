@@ -188,8 +188,8 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 def read_warc(spark: SparkSession, archives: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
     """One row per page record of ``archives``. A response's length and digest are those of the bytes read."""
     schema = RECORDS + (", payload binary" if with_payload else "")
-    ranges = [(uri, size, at, min(size, at + split_bytes)) for uri, size in archives for at in range(0, size, split_bytes)]
-    if not ranges:
+    archives = [(uri, size) for uri, size in archives if size > 0]
+    if not archives:
         return spark.createDataFrame([], schema)
     names = [c.split(" ")[0] for c in schema.split(", ")]
 
@@ -217,8 +217,11 @@ def read_warc(spark: SparkSession, archives: list[tuple[str, int]], split_bytes:
                 if rows:
                     yield _batch(rows, names)
 
-    table = spark.createDataFrame(ranges, "uri string, size long, at long, upto long")
-    return table.repartition(min(len(ranges), 4096)).mapInArrow(read, schema)
+    # The driver knows the files; their ranges are made by the executors and dealt a task each.
+    files = spark.createDataFrame(archives, "uri string, size long")
+    ranges = files.select("uri", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("at"))
+    ranges = ranges.withColumn("upto", F.least("size", F.col("at") + split_bytes))
+    return ranges.repartition(sum(-(-size // split_bytes) for _, size in archives)).mapInArrow(read, schema)
 
 
 def _batch(rows: list[list], names: list[str]) -> pa.RecordBatch:

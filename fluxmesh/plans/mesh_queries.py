@@ -278,7 +278,7 @@ def node_gather(spark, sf_dir):
     return out(sparse.node_gather(t.corners.select("node", (F.col("vol") * F.col("sigma") * 1e6).alias("v"))), ["node"], 9)
 
 
-@query(sql(f"SELECT node, {R('sum(wx)', 'wx', 9)}, {R('sum(wy)', 'wy', 9)}, {R('sum(wz)', 'wz', 9)} FROM co JOIN ew ON co.e = ew.e GROUP BY node", EW))
+@query(sql(f"SELECT node, {R('sum(wx)', 'wx', 12)}, {R('sum(wy)', 'wy', 12)}, {R('sum(wz)', 'wz', 12)} FROM co JOIN ew ON co.e = ew.e GROUP BY node", EW))
 def node_scatter(spark, sf_dir):
     t = Tables(spark, sf_dir)
     w = sparse.node_scatter(t.corners, sparse.element_weight(t.corners, t.potential))

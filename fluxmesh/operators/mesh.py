@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxmesh.functions.vectors import add, cross, dot, named, norm, scale, sub, vec
 from fluxmesh.model import SKIN_TAG, SURFACE_TAGS, TISSUES
 
 LOCAL = [f"n{i}" for i in range(4)]
+#: Ids of one task when rows are numbered in the order of an id.
+BLOCK = 1 << 20
+
+
+def numbered(rows: DataFrame, block: Column, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place from 0 in ``order`` as the int column ``name``.
+
+    ``block`` must never fall along that order. Blocks are numbered apart, only their counts meet in one task.
+    """
+    rows = rows.withColumn("_block", block)
+    counts = rows.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(*order)) - 1
+    out = rows.withColumn("_place", place).join(before, "_block")
+    return out.withColumn(name, (F.col("_place") + F.col("_before")).cast("int")).drop("_block", "_place", "_before")
+
+
+def id_block(column: str) -> Column:
+    return F.floor(F.col(column) / BLOCK)
 
 
 def with_nodes(rows: DataFrame, nodes: DataFrame, ids: list[str]) -> DataFrame:
@@ -66,13 +85,13 @@ def morton_keys(nodes: DataFrame) -> DataFrame:
 
 def spatial_order(nodes: DataFrame, tets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``node, new_node``, ``e, new_e``): nodes along the Morton curve, elements by their lowest new node."""
-    order = Window.orderBy("key", "node")
-    new_nodes = morton_keys(nodes).select("node", (F.row_number().over(order) - 1).alias("new_node"))
+    # The upper third of the key's 63 bits: at most 2^20 blocks, neighbours in space.
+    new_nodes = numbered(morton_keys(nodes), F.shiftright("key", 43), ["key", "node"], "new_node").select("node", "new_node")
     r = tets.select("e", *LOCAL)
     for n in LOCAL:
         r = r.join(new_nodes.select(F.col("node").alias(n), F.col("new_node").alias(f"m{n}")), n)
     low = r.select("e", F.least(*[f"m{n}" for n in LOCAL]).alias("low"))
-    return new_nodes, low.select("e", (F.row_number().over(Window.orderBy("low", "e")) - 1).alias("new_e"))
+    return new_nodes, numbered(low, id_block("low"), ["low", "e"], "new_e").select("e", "new_e")
 
 
 def faces(tets: DataFrame) -> DataFrame:
@@ -98,8 +117,7 @@ def skin_triangles(nodes: DataFrame, tets: DataFrame, tag: int = 1005) -> DataFr
     r = with_nodes(outer_faces(tets), nodes, ["a", "b", "c", "opposite"])
     n = cross(sub(vec("b"), vec("a")), sub(vec("c"), vec("a")))
     inward = dot(n, sub(vec("opposite"), vec("a"))) > 0
-    order = Window.orderBy("a", "b", "c")
-    return r.select((F.row_number().over(order) - 1).alias("t"), "a", F.when(inward, F.col("c")).otherwise(F.col("b")).alias("b"), F.when(inward, F.col("b")).otherwise(F.col("c")).alias("c"), F.lit(tag).alias("tag"))
+    return numbered(r, id_block("a"), ["a", "b", "c"], "t").select("t", "a", F.when(inward, F.col("c")).otherwise(F.col("b")).alias("b"), F.when(inward, F.col("b")).otherwise(F.col("c")).alias("c"), F.lit(tag).alias("tag"))
 
 
 def tissue_boundary(tets: DataFrame) -> DataFrame:
@@ -111,7 +129,7 @@ def tissue_boundary(tets: DataFrame) -> DataFrame:
 def tissue_slots(tets: DataFrame) -> DataFrame:
     """``slot, node, tag``: the distinct (node, tag), numbered in that order."""
     pairs = tets.select("tag", F.explode(F.array(*LOCAL)).alias("node")).distinct()
-    return pairs.select((F.row_number().over(Window.orderBy("node", "tag")) - 1).alias("slot"), "node", "tag")
+    return numbered(pairs, id_block("node"), ["node", "tag"], "slot").select("slot", "node", "tag")
 
 
 def _normalised(rows: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -169,7 +187,7 @@ def reindex(nodes: DataFrame, tets: DataFrame) -> tuple[DataFrame, DataFrame]:
     if used.join(nodes, "node", "left_anti").limit(1).count():
         raise ValueError("an element refers to a node that is not there")
     kept = nodes.join(used, "node", "left_semi")
-    ids = kept.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("new_node"))
+    ids = numbered(kept.select("node"), id_block("node"), ["node"], "new_node")
     new_nodes = kept.join(ids, "node").select(F.col("new_node").alias("node"), "x", "y", "z")
     for n in LOCAL:
         tets = tets.join(ids.select(F.col("node").alias(n), F.col("new_node").alias(f"_{n}")), n).drop(n).withColumnRenamed(f"_{n}", n)
@@ -200,7 +218,7 @@ def crop(nodes: DataFrame, tets: DataFrame, tris: DataFrame, centre: tuple[float
     d2 = sum(((F.col(f"b{a}") - F.lit(float(v))) ** 2 for a, v in zip("xyz", centre, strict=True)), F.lit(0.0))
     kept = tets.join(barycentres(nodes, tets).where(d2 <= radius * radius).select("e"), "e", "left_semi")
     used = kept.select(F.explode(F.array(*LOCAL)).alias("node")).distinct()
-    ids = used.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("new_node"))
+    ids = numbered(used, id_block("node"), ["node"], "new_node")
     new_nodes, new_tets = reindex(nodes, kept)
     for n in ("a", "b", "c"):
         tris = tris.join(ids.select(F.col("node").alias(n), F.col("new_node").alias(f"_{n}")), n).drop(n).withColumnRenamed(f"_{n}", n)

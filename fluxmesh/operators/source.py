@@ -13,6 +13,15 @@ DEGENERATE = 1e-12
 AXES = [f"r{i}{j}" for i in range(3) for j in range(3)]
 
 
+#: Rows of a request (placements, dipoles) that may be broadcast, some 80 bytes each.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` to be broadcast if they are counted as few; a larger side is dealt out by Spark as it is."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def _third() -> Vec:
     """Coordinates of corner ``c``, renamed since a placement's centre has their names."""
     return vec("k3")
@@ -27,7 +36,7 @@ def surface_corners(nodes: DataFrame, tris: DataFrame) -> DataFrame:
 def closest_points(placements: DataFrame, nodes: DataFrame, tris: DataFrame) -> DataFrame:
     """``p, t, d2, qx, qy, qz``: the surface point nearest to each placement's centre; equal distances take the lower
     triangle. The surface is the partitioned side, a request's placements are few; a distance lives only in a minimum."""
-    j = surface_corners(nodes, tris).crossJoin(F.broadcast(placements.select("p", "cx", "cy", "cz")))
+    j = surface_corners(nodes, tris).crossJoin(few(placements.select("p", "cx", "cy", "cz")))
     a, b, c, p = vec("a"), vec("b"), _third(), vec("c")
     keep = ["p", "t", *[f"{n}{x}" for n in ("c", "a", "b", "k3") for x in "xyz"]]
     j = closest_on_triangle(j, p, a, b, c, keep)
@@ -79,7 +88,7 @@ def rotated(v: Vec) -> Vec:
 
 def place_dipoles(frames: DataFrame, dipoles: DataFrame) -> DataFrame:
     """``p, j, sx, sy, sz`` (m) and ``mx, my, mz``: positions by the whole transform, moments by its rotation."""
-    j = frames.crossJoin(F.broadcast(dipoles.select("j", "sx", "sy", "sz", "mx", "my", "mz")))
+    j = frames.crossJoin(few(dipoles.select("j", "sx", "sy", "sz", "mx", "my", "mz")))
     s = tuple(a + F.col(f"o{x}") * 1e-3 for a, x in zip(rotated(vec("s")), "xyz", strict=True))
     return j.select("p", "j", *named(s, "s"), *named(rotated(vec("m")), "m"))
 
@@ -88,9 +97,9 @@ def dipole_field(nodes: DataFrame, dipoles: DataFrame, rate: Column | float = 1.
     """``ax, ay, az`` at every node: ``rate * mu0 / 4 pi * sum of m x (r - s) / |r - s|^3``.
 
     Every node meets every dipole, so pairs are summed as they are formed; dipoles (a coil's, tens to thousands for
-    each placement) are the broadcast side.
+    each placement) are the broadcast side while they are few.
     """
-    j = nodes.crossJoin(F.broadcast(dipoles))
+    j = nodes.crossJoin(few(dipoles))
     d = sub(tuple(F.col(a) * 1e-3 for a in "xyz"), vec("s"))
     d2 = dot(d, d)
     w = 1.0 / (d2 * F.sqrt(d2))

@@ -55,7 +55,7 @@ def test_solutions_equal_dense_algebra(spark, subject):
     k[np.repeat(np.arange(m), np.diff(csr.ptr)), csr.idx] = csr.combined()
     rng = np.random.default_rng(0)
     b = rng.normal(size=m)
-    for two in (None, solve.TwoLevel(csr.ptr, csr.idx, csr.combined())):
+    for two in (None, solve.Hierarchy(csr.ptr, csr.idx, csr.combined(), coarsest=20)):
         x, its, rel = solve.pcg(csr.ptr, csr.idx, csr.combined(), b, 1e-10, 2000, None, two)
         assert np.allclose(k @ x, b, atol=1e-8) and rel <= 1e-10 and its > 1
     assert solve.pcg(csr.ptr, csr.idx, csr.combined(), 0 * b)[1:] == (0, 0.0)
@@ -207,3 +207,46 @@ def test_harmonic_basis_is_harmonic():
     assert np.abs(total).max() < 1e-9
     assert np.linalg.matrix_rank(recovery.harmonic_basis(*p.T)) == 16
     assert np.allclose(recovery.harmonic_basis(*p.T)[:, 1:4], p)
+
+
+def grid_laplacian(k):
+    """The seven-point matrix of a k x k x k grid, with a shift that makes it definite."""
+    i = np.arange(k**3)
+    at = np.stack([i % k, i // k % k, i // k**2])
+    r, c, v = [i], [i], [np.full(k**3, 6.01)]
+    for a, step in enumerate((1, k, k * k)):
+        inner = i[at[a] < k - 1]
+        r += [inner, inner + step]
+        c += [inner + step, inner]
+        v += [np.full(len(inner), -1.0)] * 2
+    return solve.compress(k**3, k**3, np.concatenate(r), np.concatenate(c), np.concatenate(v))
+
+
+def test_hierarchy_is_symmetric_and_saves_iterations():
+    a = grid_laplacian(16)
+    h = solve.Hierarchy(*a, coarsest=50)
+    rows = [n for n, _ in h.levels()]
+    assert len(rows) >= 3 and all(x > 2 * y for x, y in zip(rows, rows[1:]))
+    b, c = np.random.default_rng(3).normal(size=(2, 16**3))
+    assert abs(h(b) @ c - b @ h(c)) < 1e-8 * abs(b @ h(b)) and b @ h(b) > 0
+    plain, cycled = solve.pcg(*a, b), solve.pcg(*a, b, precondition=h)
+    assert cycled[1] <= 15 and cycled[1] < plain[1] / 2
+    assert np.abs(plain[0] - cycled[0]).max() < 1e-4 * np.abs(plain[0]).max()
+
+
+def test_product_and_pairs_against_dense():
+    a = grid_laplacian(4)
+    dense = np.zeros((64, 64))
+    dense[solve.row_ids(a[0]), a[1]] = a[2]
+    ptr, idx, v = solve.product(a, a, 64)
+    got = np.zeros((64, 64))
+    got[solve.row_ids(ptr), idx] = v
+    assert np.allclose(got, dense @ dense)
+    sizes = np.bincount(solve.aggregate_pairs(*a))
+    assert sizes.max() <= 4 and sizes.min() >= 1 and sizes.sum() == 64
+
+
+def test_numbers_run_over_blocks(spark):
+    rows = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "k int, v int")
+    got = mesh.numbered(rows, F.floor(F.col("k") / 10), ["k"], "at").select("k", "at").collect()
+    assert all(r.k == r.at for r in got) and len(got) == 101

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("customer", "part", "lineitem", "events", "embeddings"):
+    for t in ("customer", "supplier", "nation", "part", "lineitem", "events", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 

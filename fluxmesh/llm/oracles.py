@@ -46,4 +46,35 @@ WITH RECURSIVE t AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(
 SELECT d.doc_id AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.low AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) low FROM reach GROUP BY a) c ON c.a = d.doc_id"""
 
-ORACLES: dict[str, str] = {"op3_splittable_warc": OP3, "op5_host_quality_rules": OP5, "op7_ngram_jaccard_join": OP7}
+OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') t, sha256('42:' || doc_id) h FROM documents),
+ u AS (SELECT *, regexp_extract_all(t, '[ \x09-\x0D]*[^ \x09-\x0D]+|[ \x09-\x0D]+') w, [('0x' || substr(h, 8*i + 1, 8))::BIGINT for i in range(4)] d FROM t),
+ c AS (SELECT *, len(w) n, least(d[1] % (len(w) + 1), d[2] % (len(w) + 1)) a, greatest(d[1] % (len(w) + 1), d[2] % (len(w) + 1)) b FROM u),
+ p AS (SELECT doc_id, t, n, array_to_string(w[1:a], '') p, array_to_string(w[a+1:b], '') m, array_to_string(w[b+1:], '') s,
+   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END form FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
+
+OP13 = r"""
+WITH RECURSIVE z AS (SELECT i, i::BIGINT v, 0 k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(3988292384, v // 2) ELSE v // 2 END, k + 1 FROM z WHERE k < 8),
+ tab AS (SELECT list(v ORDER BY i) tab FROM z WHERE k = 8),
+ t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') w,
+   xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]), lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]))) h FROM documents, tab),
+ g AS (SELECT *, len(w) n, h % 10 = 0 AND len(w) > 0 planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END a, h // 10 g FROM t),
+ v AS MATERIALIZED (SELECT doc_id, n, CASE WHEN planted THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] for i in range(n)] ELSE w END w FROM g),
+ words AS MATERIALIZED (SELECT doc_id, n, unnest(range(n)) i, unnest(w) x FROM v),
+ ids AS MATERIALIZED (SELECT doc_id, n, i, dense_rank() OVER (ORDER BY x) x FROM words),
+ same AS (SELECT a.doc_id, a.n, a.i, b.i - a.i p FROM ids a JOIN ids b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i AND 3*(b.i - a.i) <= a.n),
+ isle AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) k FROM same),
+ s AS MATERIALIZED (SELECT doc_id, p, min(i) a, max(i) + 1 + p b FROM isle GROUP BY doc_id, p, k HAVING count(*) + p >= greatest(24, 3*p)),
+ runs AS MATERIALIZED (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s q WHERE q.doc_id = s.doc_id AND q.p < s.p AND s.p % q.p = 0 AND q.a <= s.a AND q.b >= s.b)),
+ listed AS (SELECT doc_id, count(*) c, string_agg(a || ',' || (b - a) || ',' || p || chr(10), '' ORDER BY a, p) l FROM runs GROUP BY doc_id),
+ best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (b - a) / p DESC, a, p) = 1),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(a + p, b)) i FROM runs),
+ rest AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) c FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT v.doc_id AS doc_id, coalesce(listed.c, 0)::BIGINT AS n_runs, best.a::BIGINT AS start, (b - best.a)::BIGINT AS length, p::BIGINT AS period, (1000*(b - best.a) // p)::BIGINT AS exponent_milli,
+ sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(rest.c, '')) AS collapsed_sha256
+FROM v LEFT JOIN listed USING (doc_id) LEFT JOIN best ON best.doc_id = v.doc_id LEFT JOIN rest ON rest.doc_id = v.doc_id"""
+
+ORACLES: dict[str, str] = {"op3_splittable_warc": OP3, "op5_host_quality_rules": OP5, "op7_ngram_jaccard_join": OP7, "op11_fill_in_middle": OP11, "op13_periodic_runs": OP13}

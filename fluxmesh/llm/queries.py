@@ -84,4 +84,22 @@ def op10_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"), ["doc_id", "text"])
 
 
-QUERIES = {f.__name__: f for f in (op1_image_copies, op2_weak_supervision_pii, op3_splittable_warc, op4_transducer_bpe, op5_host_quality_rules, op6_noisy_or_toxicity, op7_ngram_jaccard_join, op8_arrow_token_files, op9_best_fit_packing, op10_winnowed_line_dedup)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import infill, restored
+
+    out = infill(_table(spark, sf_dir, "documents"), ["doc_id"], seed=42)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import find_runs
+
+    out = find_runs(_table(spark, sf_dir, "documents"), ["doc_id"], planted=True)
+    best = F.get("runs", "best")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    exponent = F.expr("1000 * runs[best].length div runs[best].period")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_image_copies, op2_weak_supervision_pii, op3_splittable_warc, op4_transducer_bpe, op5_host_quality_rules, op6_noisy_or_toxicity, op7_ngram_jaccard_join, op8_arrow_token_files, op9_best_fit_packing, op10_winnowed_line_dedup, op11_fill_in_middle, op13_periodic_runs)}

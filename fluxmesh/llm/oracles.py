@@ -56,6 +56,14 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::B
  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
 FROM p"""
 
+# The tables' pages share one template, whose article SQL can cut out; its last character reference to be decoded is the ampersand.
+OP12 = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?b>', '', 'g') a FROM pages),
+ b AS (SELECT *, regexp_split_to_array(replace(a, '<br>', ' '), '</?(?:p|h1)>') b FROM a),
+ d AS (SELECT *, [trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#(?:x27|39);', chr(39), 'g'), '&amp;?', '&', 'g'), '[\s\x0B\x{1c}-\x{1f}\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+', ' ', 'g')) for x in b] x FROM b),
+ t AS (SELECT *, [y for y in x if y <> ''] y FROM d)
+SELECT page_id, url, array_to_string(y, chr(10) || chr(10)) AS text, length(array_to_string(y, chr(10) || chr(10)))::BIGINT AS n_chars, len(y)::BIGINT AS n_blocks FROM t"""
+
 OP13 = r"""
 WITH RECURSIVE z AS (SELECT i, i::BIGINT v, 0 k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(3988292384, v // 2) ELSE v // 2 END, k + 1 FROM z WHERE k < 8),
  tab AS (SELECT list(v ORDER BY i) tab FROM z WHERE k = 8),
@@ -77,4 +85,4 @@ SELECT v.doc_id AS doc_id, coalesce(listed.c, 0)::BIGINT AS n_runs, best.a::BIGI
  sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(rest.c, '')) AS collapsed_sha256
 FROM v LEFT JOIN listed USING (doc_id) LEFT JOIN best ON best.doc_id = v.doc_id LEFT JOIN rest ON rest.doc_id = v.doc_id"""
 
-ORACLES: dict[str, str] = {"op3_splittable_warc": OP3, "op5_host_quality_rules": OP5, "op7_ngram_jaccard_join": OP7, "op11_fill_in_middle": OP11, "op13_periodic_runs": OP13}
+ORACLES: dict[str, str] = {"op3_splittable_warc": OP3, "op5_host_quality_rules": OP5, "op7_ngram_jaccard_join": OP7, "op11_fill_in_middle": OP11, "op12_tag_path_text": OP12, "op13_periodic_runs": OP13}

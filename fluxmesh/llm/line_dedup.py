@@ -1,17 +1,18 @@
 """Removal of repeated runs of lines by winnowing.
 
 A gram is the shortest run of whole lines from a line on that holds ``GRAM_WORDS`` words or more. For each line, among
-the grams that lie in the shortest run of ``RUN_WORDS`` words from it, the one with the smallest hash is a fingerprint,
-so any two equal runs of ``RUN_WORDS`` words select an equal gram. Matches of a repeated fingerprint are found twice:
+the grams that lie in the shortest run of ``RUN_WORDS`` words from it, the one with the smallest hash is a fingerprint;
+likewise for the shortest run that ends with the line. So any two equal runs of either kind select an equal gram. Matches
+of a repeated fingerprint are found twice:
 
 * with the fingerprint's first occurrence (in order of document, then line): the match is extended line by line both
   ways and the later run is deleted, so runs of ``GRAM_WORDS`` words go as well;
 * with all others: the runs of ``RUN_WORDS`` words that selected the fingerprint are compared by their own hash, and
-  every one but the first is deleted. Neighbouring runs overlap, so a match grows to its whole length, whichever earlier
-  text holds it.
+  every one but the first is deleted. A match so grows to its whole length, whichever earlier text holds it: of a repeated
+  passage the first lines are the shortest run from its start, and each later line ends a shortest run inside it.
 
-So each line of a run of ``RUN_WORDS`` words of whole lines that stood anywhere before is deleted. A fingerprint or run
-of any frequency costs one row an occurrence.
+So each line with words of a run of ``RUN_WORDS`` words of whole lines that stood anywhere before is deleted. A
+fingerprint or run of any frequency costs one row an occurrence.
 
 Lines are what ``\\n`` separates; their 64-bit hashes are compared. A deleted run has ``GRAM_WORDS`` words at least.
 
@@ -46,7 +47,8 @@ def _signed(h: int) -> int:
 
 
 def winnow(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-    """(gram hash, first line) of the selected grams, and (run hash, first line, end, hash of its gram) of each run."""
+    """(gram hash, first line) of the selected grams, and (run hash, first line, end, hash of its gram) of each run: the
+    shortest ones from each line and to each line."""
     n = len(hashes)
 
     def ends(least: int) -> list[int]:
@@ -69,18 +71,25 @@ def winnow(hashes: list[int], words: list[int], gram_words: int = GRAM_WORDS, ru
             keys[i] = _signed(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * gram_end[i]]))
         return keys[i]
 
+    spans, begin, held = [(i, run_end[i]) for i in range(n) if run_end[i] and words[i]], 0, 0
+    for end in range(1, n + 1):
+        held += words[end - 1]
+        while held - words[begin] >= run_words:
+            held -= words[begin]
+            begin += 1
+        # The shortest run to this line, if it is not the shortest from its own first line as well.
+        if words[end - 1] and held >= run_words and run_end[begin] != end:
+            spans.append((begin, end))
     chosen: dict[int, int] = {}
     runs = []
-    for i in range(n):
-        if not run_end[i] or not words[i]:
-            continue
+    for i, end in spans:
         best, j = (key(i), i), i + 1
-        while j < run_end[i] and gram_end[j] and gram_end[j] <= run_end[i]:
+        while j < end and gram_end[j] and gram_end[j] <= end:
             if words[j] and (k := key(j)) < best[0]:
                 best = (k, j)
             j += 1
         chosen[best[1]] = best[0]
-        runs.append((_signed(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * run_end[i]])), i, run_end[i], best[0]))
+        runs.append((_signed(xxhash.xxh3_64_intdigest(packed[8 * i : 8 * end])), i, end, best[0]))
     return sorted((k, i) for i, k in chosen.items()), runs
 
 

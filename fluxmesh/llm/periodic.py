@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from fractions import Fraction
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from .common import slices
 
 MIN_LENGTH, MIN_REPEATS = 24, 3
 CHUNK = 64
+#: Grid points probed at once.
+PROBES = 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -74,32 +78,38 @@ def reach(ids: np.ndarray, at: int, p: int, step: int) -> int:
         done, size = done + b - a, 2 * size
 
 
+def probed(ids: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grid point ``x``, period ``p``) of periods ``first`` to ``last - 1`` where words ``x``, ``x + p`` and ``x + 2p`` are
+    equal, and so are those half a period after ``x`` and ``x + p``; by period, then point."""
+    periods = np.arange(first, last)
+    counts = (len(ids) - 1) // periods - 1
+    p = np.repeat(periods, counts)
+    x = (np.arange(len(p)) - np.repeat(np.cumsum(counts) - counts, counts)) * p
+    for a, b in ((0, 2), (2, 4), (1, 3)):  # in half periods
+        same = ids[x + a * p // 2] == ids[x + a * p // 2 + (b - a) // 2 * p]
+        x, p = x[same], p[same]
+    return x, p
+
+
 def periodic_runs(ids: np.ndarray, min_length: int = MIN_LENGTH, min_repeats: int = MIN_REPEATS) -> list[tuple[int, int, int]]:
     """(start, length, period) of every run, by start, then period. ``min_repeats`` is 3 or more."""
-    n, runs = len(ids), Runs()
-    for p in range(1, n // min_repeats + 1):
-        least = max(min_length, min_repeats * p)
-        if least > n:
-            break
-        grid = ids[::p]
-        same = grid[:-1] == grid[1:]
-        if len(same) < 2:
-            break
-        points = np.flatnonzero(same[:-1] & same[1:]) * p
-        if not len(points):
-            continue
-        points = points[ids[points + p // 2] == ids[points + p // 2 + p]]
-        if len(points):
-            points = points[~runs.cover(points, p)]
-        after = -1
-        for x in points.tolist():
-            if x < after:
-                continue
-            right = x + reach(ids, x, p, 1)  # the first word that differs from the one p later
-            left = x - reach(ids, x - 1, p, -1)
-            after = right
-            if right + p - left >= least:
-                runs.add(p, left, right + p)
+    n, runs, first = len(ids), Runs(), 1
+    last = n // min_repeats + 1 if n >= min_length else 1
+    while first < last:
+        upto = min(last, first + max(1, PROBES * first // n))
+        xs, ps = probed(ids, first, upto)
+        cuts = np.flatnonzero(np.diff(ps)) + 1
+        for points, p in zip(np.split(xs, cuts), ps[np.append(0, cuts)].tolist() if len(ps) else (), strict=len(ps) > 0):
+            least, after = max(min_length, min_repeats * p), -1
+            for x in points[~runs.cover(points, p)].tolist():
+                if x < after:
+                    continue
+                right = x + reach(ids, x, p, 1)  # the first word that differs from the one p later
+                left = x - reach(ids, x - 1, p, -1)
+                after = right
+                if right + p - left >= least:
+                    runs.add(p, left, right + p)
+        first = upto
     return sorted((a, b - a, p) for p, (starts, ends) in runs.found.items() for a, b in zip(starts, ends, strict=True))
 
 
@@ -116,8 +126,8 @@ def plant(words: list[str], doc_id: int | None) -> list[str]:
 
 def examine(words: list[str], min_length: int = MIN_LENGTH, min_repeats: int = MIN_REPEATS) -> tuple[list[tuple[int, int, int]], list[str]]:
     """(runs, the words without the repeats of any run)."""
-    numbers: dict[str, int] = {}
-    ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32)
+    numbers: defaultdict[str, int] = defaultdict(count().__next__)
+    ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
     runs = periodic_runs(ids, min_length, min_repeats)
     if not runs:
         return runs, words

@@ -83,15 +83,42 @@ def morton_keys(nodes: DataFrame) -> DataFrame:
     return nodes.crossJoin(F.broadcast(box)).select("node", key.alias("key"))
 
 
+def renamed(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` whose id ``columns`` are looked up in ``ids(node, new_node)``, in their old places."""
+    names = rows.columns
+    for n in columns:
+        rows = rows.join(ids.select(F.col("node").alias(n), F.col("new_node").alias(f"_{n}")), n).drop(n).withColumnRenamed(f"_{n}", n)
+    return rows.select(names)
+
+
+def curve_order(nodes: DataFrame) -> DataFrame:
+    """``node, new_node``: nodes along the Morton curve."""
+    # The upper third of the key's 63 bits: at most 2^20 blocks, neighbours in space.
+    return numbered(morton_keys(nodes), F.shiftright("key", 43), ["key", "node"], "new_node").select("node", "new_node")
+
+
+def _by_lowest(tets: DataFrame) -> DataFrame:
+    """``tets`` with ``new_e``: their place by lowest node, then element."""
+    low = tets.withColumn("low", F.least(*LOCAL))
+    return numbered(low, id_block("low"), ["low", "e"], "new_e").drop("low")
+
+
 def spatial_order(nodes: DataFrame, tets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``node, new_node``, ``e, new_e``): nodes along the Morton curve, elements by their lowest new node."""
-    # The upper third of the key's 63 bits: at most 2^20 blocks, neighbours in space.
-    new_nodes = numbered(morton_keys(nodes), F.shiftright("key", 43), ["key", "node"], "new_node").select("node", "new_node")
-    r = tets.select("e", *LOCAL)
-    for n in LOCAL:
-        r = r.join(new_nodes.select(F.col("node").alias(n), F.col("new_node").alias(f"m{n}")), n)
-    low = r.select("e", F.least(*[f"m{n}" for n in LOCAL]).alias("low"))
-    return new_nodes, numbered(low, id_block("low"), ["low", "e"], "new_e").select("e", "new_e")
+    ids = curve_order(nodes)
+    return ids, _by_lowest(renamed(tets.select("e", *LOCAL), ids, LOCAL)).select("e", "new_e")
+
+
+def reordered(nodes: DataFrame, tets: DataFrame, tris: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(nodes, tets, tris) numbered along the Morton curve: nodes by their place on it, elements by their lowest node.
+
+    A row's own nodes keep their order, and so its orientation; triangles keep their numbers. Nodes that no element
+    uses take part as well.
+    """
+    ids = curve_order(nodes)
+    moved = nodes.join(ids, "node").select(F.col("new_node").alias("node"), "x", "y", "z")
+    elements = _by_lowest(renamed(tets.select("e", *LOCAL, "tag"), ids, LOCAL)).select(F.col("new_e").alias("e"), *LOCAL, "tag")
+    return moved, elements, renamed(tris, ids, ["a", "b", "c"]) if tris is not None else None
 
 
 def faces(tets: DataFrame) -> DataFrame:

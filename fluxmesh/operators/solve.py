@@ -204,9 +204,9 @@ def pcg(ptr, idx, values, b: np.ndarray, tolerance: float = TOLERANCE, most: int
     return x, done, float(np.linalg.norm(b - spmv(ptr, idx, values, x))) / size if done else rel
 
 
-def solve_or_raise(ptr, idx, values, b, tolerance, most, precondition=None, label="") -> tuple[np.ndarray, int, float]:
+def solve_or_raise(ptr, idx, values, b, tolerance, most, precondition=None, label="", start: np.ndarray | None = None) -> tuple[np.ndarray, int, float]:
     """Solve; after a failure restart once from the iterate with a preconditioner of its own matrix, then raise."""
-    x, n, rel = pcg(ptr, idx, values, b, tolerance, most, None, precondition)
+    x, n, rel = pcg(ptr, idx, values, b, tolerance, most, start, precondition)
     if rel > tolerance:
         x, more, rel = pcg(ptr, idx, values, b, tolerance, most, x, Hierarchy(ptr, idx, values))
         n += more
@@ -215,8 +215,9 @@ def solve_or_raise(ptr, idx, values, b, tolerance, most, precondition=None, labe
     return x, n, rel
 
 
-def solve(csr: Csr, rhs: DataFrame, by: list[str], tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS, levels: int = 1, sigmas: str | None = None) -> DataFrame:
-    """``by, node, v, iterations, residual`` of every group of ``rhs(by, node, b)``.
+def solve(csr: Csr, rhs: DataFrame, by: list[str], tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS, levels: int = 1, sigmas: str | None = None, start: str | None = None) -> DataFrame:
+    """``by, node, v, iterations, residual`` of every group of ``rhs(by, node, b)``. ``start`` names a column that each solve
+    begins from; it moves a solution within the tolerance only.
 
     ``levels`` beyond 1 takes the multilevel cycle; with ``sigmas`` each group builds its own. ``sigmas`` names a map column (tag to conductivity, the same in a group's rows) that scales the matrix's parts.
     """
@@ -231,18 +232,24 @@ def solve(csr: Csr, rhs: DataFrame, by: list[str], tolerance: float = TOLERANCE,
         t = t.sort_by("node")
         node, b = t.column("node").to_numpy(), t.column("b").to_numpy()
         values = m.combined(dict(t.column(sigmas)[0].as_py()) if sigmas else None)
-        full = np.zeros(len(m.nodes))
         known = np.isin(node, m.nodes)
-        full[np.searchsorted(m.nodes, node[known])] = b[known]
+
+        def on_rows(values: np.ndarray) -> np.ndarray:
+            full = np.zeros(len(m.nodes))
+            full[np.searchsorted(m.nodes, node[known])] = values[known]
+            return full
+
+        full = on_rows(b)
+        first = on_rows(np.nan_to_num(t.column(start).to_numpy())) if start else None
         key = [t.column(c)[0].as_py() for c in by]
         if sigmas and levels > 1:
             two = Hierarchy(m.ptr, m.idx, values)
-        x, n, rel = solve_or_raise(m.ptr, m.idx, values, full, tolerance, most, two, str(key))
+        x, n, rel = solve_or_raise(m.ptr, m.idx, values, full, tolerance, most, two, str(key), first)
         k = len(m.nodes)
         cols = [pa.array([v] * k, t.schema.field(c).type) for c, v in zip(by, key, strict=True)]
         return pa.Table.from_arrays([*cols, pa.array(m.nodes.astype(np.int32)), pa.array(x), pa.array([n] * k, pa.int32()), pa.array([rel] * k)], names=[*by, "node", "v", "iterations", "residual"])
 
-    return rhs.select(*by, F.col("node").cast("int").alias("node"), "b", *([sigmas] if sigmas else [])).groupBy(*by).applyInArrow(run, schema)
+    return rhs.select(*by, F.col("node").cast("int").alias("node"), "b", *([sigmas] if sigmas else []), *([start] if start else [])).groupBy(*by).applyInArrow(run, schema)
 
 
 def with_ground(potential: DataFrame, ground: DataFrame, by: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fluxmesh.functions.vectors import Vec, add, closest_on_triangle, cross, dot, named, norm, scale, sub, vec
 from fluxmesh.model import MU0_4PI
+from fluxmesh.operators import spatial
 from fluxmesh.operators.mesh import with_nodes
 
 DEGENERATE = 1e-12
@@ -15,6 +16,8 @@ AXES = [f"r{i}{j}" for i in range(3) for j in range(3)]
 
 #: Rows of a request (placements, dipoles) that may be broadcast, some 80 bytes each.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a block of nodes or dipoles where neither side is broadcast.
+BLOCK_ROWS = 2048
 
 
 def few(rows: DataFrame) -> DataFrame:
@@ -35,8 +38,17 @@ def surface_corners(nodes: DataFrame, tris: DataFrame) -> DataFrame:
 
 def closest_points(placements: DataFrame, nodes: DataFrame, tris: DataFrame) -> DataFrame:
     """``p, t, d2, qx, qy, qz``: the surface point nearest to each placement's centre; equal distances take the lower
-    triangle. The surface is the partitioned side, a request's placements are few; a distance lives only in a minimum."""
-    j = surface_corners(nodes, tris).crossJoin(few(placements.select("p", "cx", "cy", "cz")))
+    triangle. A corner near each centre bounds the distance, and only triangles within the bound are measured."""
+    surface = surface_corners(nodes, tris)
+    ends = [F.array(*[F.col(f"{n}{x}") for n in ("a", "b", "k3")]) for x in "xyz"]
+    boxes = surface.select("*", *[f(e).alias(f"{n}{x}") for e, x in zip(ends, "xyz", strict=True) for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    corners = boxes.select(*[F.col(f"a{x}").alias(x) for x in "xyz"], F.greatest(*[F.col(f"hi{x}") - F.col(f"lo{x}") for x in "xyz"]).alias("extent"))
+    pyramid = spatial.Pyramid.over(corners, F.avg("extent"))
+    centres = placements.select("p", "cx", "cy", "cz")
+    if pyramid is None:
+        return centres.limit(0).select("p", F.lit(0).cast("int").alias("t"), *[F.lit(0.0).alias(c) for c in ("d2", "qx", "qy", "qz")])
+    reach = spatial.upper_reach(centres, corners, pyramid)
+    j = spatial.ball_pairs(centres.join(reach, "p"), boxes, pyramid)
     a, b, c, p = vec("a"), vec("b"), _third(), vec("c")
     keep = ["p", "t", *[f"{n}{x}" for n in ("c", "a", "b", "k3") for x in "xyz"]]
     j = closest_on_triangle(j, p, a, b, c, keep)
@@ -93,13 +105,33 @@ def place_dipoles(frames: DataFrame, dipoles: DataFrame) -> DataFrame:
     return j.select("p", "j", *named(s, "s"), *named(rotated(vec("m")), "m"))
 
 
+def _dealt(rows: DataFrame, n: int, others: int, own: str, other: str) -> DataFrame:
+    """``rows`` dealt into ``n`` blocks (column ``own``), each row once for every block of the other side."""
+    # Dealt by the row's content: where rows are alike they only make a block fuller.
+    block = F.pmod(F.xxhash64(*rows.columns), F.lit(n)).cast("int")
+    return rows.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+
+def block_pairs(targets: DataFrame, sources: DataFrame, n_targets: int, n_sources: int, rows: int | None = None) -> DataFrame:
+    """Every target with every source, block by block: a pair of blocks is one key of a join, so pairs are spread over
+    tasks, nothing is broadcast, and what is shuffled is a ``rows``-th of the pairs."""
+    rows = rows or BLOCK_ROWS
+    t, s = (max(1, -(-n // rows)) for n in (n_targets, n_sources))
+    return _dealt(targets, t, s, "_tb", "_sb").join(_dealt(sources, s, t, "_sb", "_tb").hint("shuffle_hash"), ["_tb", "_sb"]).drop("_tb", "_sb")
+
+
 def dipole_field(nodes: DataFrame, dipoles: DataFrame, rate: Column | float = 1.0, by: tuple[str, ...] = (), key: str = "node") -> DataFrame:
     """``ax, ay, az`` at every node: ``rate * mu0 / 4 pi * sum of m x (r - s) / |r - s|^3``.
 
-    Every node meets every dipole, so pairs are summed as they are formed; dipoles (a coil's, tens to thousands for
-    each placement) are the broadcast side while they are few.
+    Every node meets every dipole. While dipoles are few they are broadcast; else blocks of nodes meet blocks of dipoles.
+    Either way a task adds up its pairs as it forms them, and only sums by node are shuffled.
     """
-    j = nodes.crossJoin(few(dipoles))
+    nodes, dipoles = nodes.select(key, *"xyz"), dipoles.select(*by, "sx", "sy", "sz", "mx", "my", "mz")
+    count = dipoles.limit(BROADCAST_ROWS + 1).count()
+    if count <= BROADCAST_ROWS:
+        j = nodes.crossJoin(F.broadcast(dipoles))
+    else:
+        j = block_pairs(nodes, dipoles, nodes.count(), dipoles.count())
     d = sub(tuple(F.col(a) * 1e-3 for a in "xyz"), vec("s"))
     d2 = dot(d, d)
     w = 1.0 / (d2 * F.sqrt(d2))

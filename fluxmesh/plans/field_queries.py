@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluxmesh.model import FieldSpec, clean, tissue_table
+from fluxmesh.model import TISSUES, FieldSpec, clean, tissue_table
 from fluxmesh.operators import ensemble, metrics
 from fluxmesh.plans.registry import query
 
@@ -180,17 +180,22 @@ def tissue_sensitivity_multi(spark, sf_dir):
     return rounded(spark.createDataFrame(sorted(found.items()), "tissue string, share double"), ["tissue"], 9)
 
 
-NORMAL = """tissue(tag, s0, cov) AS (VALUES (1,0.126e0,0.15e0),(2,0.275e0,0.15e0),(3,1.654e0,0.05e0),(4,0.010e0,0.35e0),(5,0.465e0,0.20e0),(6,0.5e0,0.20e0),(7,0.008e0,0.35e0),(8,0.025e0,0.35e0),(9,0.6e0,0.15e0),(10,0.16e0,0.20e0)),
- ks AS (SELECT i::INT k FROM range(100) t(i)),
+NORMAL = "tissue(tag, s0, cov) AS (VALUES " + ",".join(f"({tag},{sigma}e0,{cov}e0)" for tag, _, sigma, cov in TISSUES) + """),
+ ks AS (SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::INT k FROM customer),
  u AS (SELECT k, tag, s0, cov, (('0x'||substr(md5('5|'||k||'|'||tag||'|a'),1,8))::BIGINT + 0.5e0)/4294967296e0 u1, (('0x'||substr(md5('5|'||k||'|'||tag||'|b'),1,8))::BIGINT + 0.5e0)/4294967296e0 u2 FROM ks, tissue),
  z AS (SELECT *, sqrt(-2e0*ln(u1))*cos(2e0*pi()*u2) z FROM u)"""
 
 
+def _customers(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+
+
 @query("WITH " + NORMAL + " SELECT k, tag, round(s0*exp(sqrt(ln(1e0+cov*cov))*z - ln(1e0+cov*cov)/2e0),9)+0e0 AS sigma FROM z")
 def lognormal_draws(spark, sf_dir):
-    return rounded(ensemble.draws(tissue_table(spark), 100, seed=5), ["k", "tag"], 9)
+    """A draw for each customer."""
+    return rounded(ensemble.draws(tissue_table(spark), _customers(spark, sf_dir), seed=5), ["k", "tag"], 9)
 
 
 @query("WITH " + NORMAL + " SELECT k, tag, round(greatest(s0*(1e0+cov*z), s0*1e-6),9)+0e0 AS sigma FROM z")
 def normal_draws_clamped(spark, sf_dir):
-    return rounded(ensemble.draws(tissue_table(spark), 100, seed=5, kind="normal"), ["k", "tag"], 9)
+    return rounded(ensemble.draws(tissue_table(spark), _customers(spark, sf_dir), seed=5, kind="normal"), ["k", "tag"], 9)

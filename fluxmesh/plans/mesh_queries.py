@@ -1,25 +1,23 @@
-"""Mesh, sparse, coil, recovery and search queries over a generated mesh whose data come from the tables."""
+"""Mesh, sparse, coil, recovery and search queries over a mesh that grows with the tables: a layer for each supplier."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluxmesh.model import clean, tissue_table
+from fluxmesh.model import TISSUES, clean, tissue_table
 from fluxmesh.operators import ensemble, mesh, metrics, recovery, search, source, sparse
 from fluxmesh.plans.registry import query
 from fluxmesh.sources import synth
 
-N = 4
-
 # ---- SQL of the generated tables and of the shared steps --------------------------------------------------------
 
-_JIT = "CASE WHEN ix BETWEEN 1 AND 3 AND iy BETWEEN 1 AND 3 AND iz BETWEEN 1 AND 3 AND iz <> 2 THEN (((node*7919 + {a}*104729) % 1009)/1009e0 - 0.5e0)*0.5e0*25e0 ELSE 0e0 END"
+_JIT = "CASE WHEN iy BETWEEN 1 AND 3 AND iz IN (1, 3) THEN (((node::BIGINT*7919 + {a}*104729 + nk*31) % 1009)/1009e0 - 0.5e0)*0.5e0*25e0 ELSE 0e0 END"
 MESH = (
-    "i3 AS (SELECT i::INT node, (i % 5)::INT ix, (i // 5 % 5)::INT iy, (i // 25)::INT iz FROM range(125) t(i)),"
+    "i3 AS (SELECT (25*s_suppkey+q)::INT node, s_suppkey::BIGINT ix, q // 5 iy, q % 5 iz, s_nationkey::BIGINT nk FROM supplier, range(25) t(q)),"
     + f" nodes AS (SELECT node, ix*25e0 + {_JIT.format(a=1)} x, iy*25e0 + {_JIT.format(a=2)} y, iz*25e0 + {_JIT.format(a=3)} z FROM i3),"
     + """ paths(k, a, b) AS (VALUES (0,1,5),(1,1,25),(2,5,1),(3,5,25),(4,25,1),(5,25,5)),
- cells AS (SELECT i, i % 4 ix, i // 4 % 4 iy, i // 16 iz FROM range(64) t(i)),
- tets AS (SELECT (i*6 + k)::INT e, (ix+5*iy+25*iz)::INT n0, (ix+5*iy+25*iz+a)::INT n1, (ix+5*iy+25*iz+a+b)::INT n2, (ix+5*iy+25*iz+31)::INT n3, CASE WHEN iz < 2 THEN 2 ELSE 3 END tag FROM cells, paths),
+ cells AS (SELECT 16*s_suppkey+q i, s_suppkey ix, q // 4 iy, q % 4 iz FROM supplier, range(16) t(q) WHERE s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)),
+ tets AS (SELECT (i*6 + k)::INT e, (25*ix+5*iy+iz)::INT n0, (25*ix+5*iy+iz+a)::INT n1, (25*ix+5*iy+iz+a+b)::INT n2, (25*ix+5*iy+iz+31)::INT n3, CASE WHEN iz < 2 THEN 2 ELSE 3 END tag FROM cells, paths),
  ed AS (SELECT e, n0, n1, n2, n3, tag, p1.x-p0.x ax, p1.y-p0.y ay, p1.z-p0.z az, p2.x-p0.x bx, p2.y-p0.y by_, p2.z-p0.z bz, p3.x-p0.x cx, p3.y-p0.y cy, p3.z-p0.z cz
    FROM tets JOIN nodes p0 ON p0.node=n0 JOIN nodes p1 ON p1.node=n1 JOIN nodes p2 ON p2.node=n2 JOIN nodes p3 ON p3.node=n3),
  cr AS (SELECT *, by_*cz-bz*cy f1x, bz*cx-bx*cz f1y, bx*cy-by_*cx f1z, cy*az-cz*ay f2x, cz*ax-cx*az f2y, cx*ay-cy*ax f2z, ay*bz-az*by_ f3x, az*bx-ax*bz f3y, ax*by_-ay*bx f3z FROM ed),
@@ -27,7 +25,9 @@ MESH = (
  gr AS (SELECT e, n0, n1, n2, n3, tag, f1x/det*1e3 g1x, f1y/det*1e3 g1y, f1z/det*1e3 g1z, f2x/det*1e3 g2x, f2y/det*1e3 g2y, f2z/det*1e3 g2z, f3x/det*1e3 g3x, f3y/det*1e3 g3y, f3z/det*1e3 g3z, abs(det)*1e-9/6e0 vol FROM dt),
  co AS (SELECT e, 0 i, n0 node, tag, -(g1x+g2x+g3x) gx, -(g1y+g2y+g3y) gy, -(g1z+g2z+g3z) gz, vol FROM gr UNION ALL SELECT e, 1, n1, tag, g1x, g1y, g1z, vol FROM gr
    UNION ALL SELECT e, 2, n2, tag, g2x, g2y, g2z, vol FROM gr UNION ALL SELECT e, 3, n3, tag, g3x, g3y, g3z, vol FROM gr),
- sg(tag, sigma) AS (VALUES (1,0.126e0),(2,0.275e0),(3,1.654e0),(4,0.010e0),(5,0.465e0),(6,0.5e0),(7,0.008e0),(8,0.025e0),(9,0.6e0),(10,0.16e0)),
+ sg(tag, sigma) AS (VALUES """
+    + ",".join(f"({tag},{sigma}e0)" for tag, _, sigma, _ in TISSUES)
+    + """),
  cs AS (SELECT co.*, sigma FROM co JOIN sg ON co.tag = sg.tag),
  bary AS (SELECT e, (p0.x+p1.x+p2.x+p3.x)/4e0 bx, (p0.y+p1.y+p2.y+p3.y)/4e0 by_, (p0.z+p1.z+p2.z+p3.z)/4e0 bz FROM tets JOIN nodes p0 ON p0.node=n0 JOIN nodes p1 ON p1.node=n1 JOIN nodes p2 ON p2.node=n2 JOIN nodes p3 ON p3.node=n3),
  fc AS (SELECT e, list_sort([n1,n2,n3]) f, n0 o FROM tets UNION ALL SELECT e, list_sort([n0,n2,n3]), n1 FROM tets UNION ALL SELECT e, list_sort([n0,n1,n3]), n2 FROM tets UNION ALL SELECT e, list_sort([n0,n1,n2]), n3 FROM tets),
@@ -37,11 +37,11 @@ MESH = (
  tris AS (SELECT t::INT t, a, CASE WHEN s > 0 THEN c ELSE b END b, CASE WHEN s > 0 THEN b ELSE c END c, 1005 tag FROM ow),
  corner_nodes AS (SELECT n0 node, tag FROM tets UNION ALL SELECT n1, tag FROM tets UNION ALL SELECT n2, tag FROM tets UNION ALL SELECT n3, tag FROM tets),
  slots AS (SELECT (row_number() OVER (ORDER BY node, tag) - 1)::INT slot, node, tag FROM (SELECT DISTINCT node, tag FROM corner_nodes)),
- pot AS (SELECT node, c_acctbal*1e-3 v FROM nodes JOIN customer ON c_custkey = node % 150),
- dadt AS (SELECT e, 0.01e0*by_ ax, -0.01e0*bx ay, 0.001e0*bz az FROM bary)"""
+ pot AS (SELECT (25*s_suppkey+q)::INT node, s_acctbal*1e-3*sqrt(q+2e0) v FROM supplier, range(25) t(q)),
+ dadt AS (SELECT e, 0.01e0*sqrt(by_+0.3e0) ax, -0.01e0*sqrt(bx+0.3e0) ay, 0.001e0*sqrt(bz+0.3e0) az FROM bary)"""
 )
 KM = "k AS (SELECT a.node r, b.node c, sum(a.vol*a.sigma*(a.gx*b.gx+a.gy*b.gy+a.gz*b.gz)) v FROM cs a JOIN cs b ON a.e = b.e GROUP BY 1, 2), g AS (SELECT node ground FROM nodes ORDER BY z, node LIMIT 1)"
-PLACE = """pl AS (SELECT c_custkey::INT p, 20e0+60e0*((c_custkey*37)%100)/100e0 cx, 20e0+60e0*((c_custkey*53)%100)/100e0 cy, 101e0+c_acctbal*1e-4 cz FROM customer),
+PLACE = """pl AS (SELECT c_custkey::INT p, 25e0*(c_custkey//15)+25e0*((c_custkey*37)%100)/100e0 cx, 20e0+60e0*((c_custkey*53)%100)/100e0 cy, 101e0+c_acctbal*1e-4 cz FROM customer),
  placements AS (SELECT p, cx, cy, cz, cx hx, cy+50e0 hy, 100e0 hz, 4e0 dist FROM pl),
  dip AS (SELECT p_partkey::INT j, (p_partkey%6-2.5e0)*0.008e0 sx, (p_partkey//6%5-2e0)*0.008e0 sy, 0e0 sz, (p_partkey%3)*0.001e0 mx, 0e0 my, p_size*0.01e0 mz FROM part)"""
 
@@ -62,20 +62,21 @@ def out(df, keys, digits=6):
 
 
 class Tables:
-    """The generated mesh and request tables of one call, all lazy."""
+    """The mesh and request tables of one call, all lazy."""
 
     def __init__(self, spark, sf_dir):
         self.spark = spark
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
         customers = read("customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"))
-        self.nodes, self.tets = synth.cube_nodes(spark, N), synth.cube_tets(spark, N)
+        suppliers = read("supplier")
+        self.nodes, self.tets = synth.bar_nodes(suppliers), synth.bar_tets(suppliers)
         self.grads = mesh.gradients(self.nodes, self.tets)
         self.corners = sparse.conductivity(mesh.corners(self.grads), tissue_table(spark))
         self.bary = mesh.barycentres(self.nodes, self.tets)
         self.slots = mesh.tissue_slots(self.tets).withColumn("slot", F.col("slot").cast("int"))
-        self.potential = synth.potential_of(customers, self.nodes)
-        self.dadt = self.bary.select("e", (0.01 * F.col("by")).alias("ax"), (-0.01 * F.col("bx")).alias("ay"), (0.001 * F.col("bz")).alias("az"))
-        self.placements = synth.placements_of(customers, "c_custkey", "c_acctbal")
+        self.potential = synth.bar_potential(suppliers)
+        self.dadt = self.bary.select("e", *[(k * F.sqrt(F.col(f"b{b}") + 0.3)).alias(f"a{a}") for k, b, a in ((0.01, "y", "x"), (-0.01, "x", "y"), (0.001, "z", "z"))])
+        self.placements = synth.bar_placements(customers)
         self.dipoles = synth.dipoles_of(read("part"), "p_partkey", "p_size")
 
     @property
@@ -164,10 +165,10 @@ _N1 = """fn AS (SELECT t, a, b, c, (pb.y-pa.y)*(pc.z-pa.z)-(pb.z-pa.z)*(pc.y-pa.
  normals AS (SELECT t, x/sqrt(x*x+y*y+z*z) nx, y/sqrt(x*x+y*y+z*z) ny, z/sqrt(x*x+y*y+z*z) nz FROM f2)"""
 
 
-@query(sql(f"SELECT t, {R('nx', 'nx', 9)}, {R('ny', 'ny', 9)}, {R('nz', 'nz', 9)} FROM normals", _N1))
+@query(sql(f"SELECT t, {R('nx', 'nx', 7)}, {R('ny', 'ny', 7)}, {R('nz', 'nz', 7)} FROM normals", _N1))
 def skin_normals(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(mesh.skin_normals(t.nodes, t.tris), ["t"], 9)
+    return out(mesh.skin_normals(t.nodes, t.tris), ["t"], 7)
 
 
 # ---- validation -------------------------------------------------------------------------------------------------
@@ -205,20 +206,20 @@ def conductivity_lookup(spark, sf_dir):
 # ---- sparse -----------------------------------------------------------------------------------------------------
 
 
-@query(sql(f"SELECT r, c, {R('v', 'v', 12)} FROM k", KM))
+@query(sql(f"SELECT r, c, {R('v', 'v', 8)} FROM k", KM))
 def stiffness_coo(spark, sf_dir):
-    return out(Tables(spark, sf_dir).k, ["r", "c"], 12)
+    return out(Tables(spark, sf_dir).k, ["r", "c"], 8)
 
 
-@query(sql(f"SELECT a.tag, a.node r, b.node c, {R('sum(a.vol*(a.gx*b.gx+a.gy*b.gy+a.gz*b.gz))', 'v', 12)} FROM co a JOIN co b ON a.e = b.e GROUP BY 1, 2, 3"))
+@query(sql(f"SELECT a.tag, a.node r, b.node c, {R('sum(a.vol*(a.gx*b.gx+a.gy*b.gy+a.gz*b.gz))', 'v', 8)} FROM co a JOIN co b ON a.e = b.e GROUP BY 1, 2, 3"))
 def stiffness_by_tissue(spark, sf_dir):
-    return out(sparse.stiffness(Tables(spark, sf_dir).corners.withColumn("sigma", F.lit(1.0)), by=("tag",)), ["tag", "r", "c"], 12)
+    return out(sparse.stiffness(Tables(spark, sf_dir).corners.withColumn("sigma", F.lit(1.0)), by=("tag",)), ["tag", "r", "c"], 8)
 
 
-@query(sql(f"SELECT r, c, {R('v', 'v', 12)} FROM k, g WHERE r <> ground AND c <> ground", KM))
+@query(sql(f"SELECT r, c, {R('v', 'v', 8)} FROM k, g WHERE r <> ground AND c <> ground", KM))
 def grounded_reduce(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(sparse.reduce_matrix(t.k, sparse.ground_node(t.nodes)), ["r", "c"], 12)
+    return out(sparse.reduce_matrix(t.k, sparse.ground_node(t.nodes)), ["r", "c"], 8)
 
 
 L1 = "l1 AS (SELECT r, 1e0/CASE WHEN max(CASE WHEN r = c THEN v END) < 0 THEN -sum(abs(v)) WHEN sum(abs(v)) = 0 THEN 1e0 ELSE sum(abs(v)) END d FROM k GROUP BY r)"
@@ -240,49 +241,49 @@ def incident_nodes(spark, sf_dir):
     return sparse.incident_nodes(Tables(spark, sf_dir).corners)
 
 
-@query(sql(f"SELECT {R('sum(k.v*a.v*b.v)', 'energy', 7)} FROM k JOIN pot a ON r = a.node JOIN pot b ON c = b.node", KM))
+@query(sql(f"SELECT {R('sum(k.v*a.v*b.v)', 'energy', 3)} FROM k JOIN pot a ON r = a.node JOIN pot b ON c = b.node", KM))
 def inner_product(spark, sf_dir):
     t = Tables(spark, sf_dir)
     kx = sparse.spmv(t.k, t.potential).select(F.col("r").alias("node"), F.col("y").alias("v"))
-    return out(sparse.inner(kx, t.potential).withColumnRenamed("dot", "energy"), [], 7)
+    return out(sparse.inner(kx, t.potential).withColumnRenamed("dot", "energy"), [], 3)
 
 
 _B = "sum(-vol*sigma*(ax*gx+ay*gy+az*gz))"
 
 
-@query(sql(f"SELECT node, {R(_B, 'b', 12)} FROM cs JOIN dadt ON cs.e = dadt.e GROUP BY node"))
+@query(sql(f"SELECT node, {R(_B, 'b', 9)} FROM cs JOIN dadt ON cs.e = dadt.e GROUP BY node"))
 def rhs_assemble(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(sparse.rhs(t.corners, t.dadt), ["node"], 12)
+    return out(sparse.rhs(t.corners, t.dadt), ["node"], 9)
 
 
-@query(sql(f"SELECT tag, node, {R('sum(-vol*(ax*gx+ay*gy+az*gz))', 'b', 12)} FROM co JOIN dadt ON co.e = dadt.e GROUP BY 1, 2"))
+@query(sql(f"SELECT tag, node, {R('sum(-vol*(ax*gx+ay*gy+az*gz))', 'b', 9)} FROM co JOIN dadt ON co.e = dadt.e GROUP BY 1, 2"))
 def rhs_by_tissue(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(sparse.rhs(t.corners.withColumn("sigma", F.lit(1.0)), t.dadt, by=("tag",)), ["tag", "node"], 12)
+    return out(sparse.rhs(t.corners.withColumn("sigma", F.lit(1.0)), t.dadt, by=("tag",)), ["tag", "node"], 9)
 
 
 EW = "ew AS (SELECT e, sum(v*vol*sigma*gx) wx, sum(v*vol*sigma*gy) wy, sum(v*vol*sigma*gz) wz FROM cs JOIN pot ON cs.node = pot.node GROUP BY e)"
 
 
-@query(sql(f"SELECT e, {R('wx*1e6', 'wx', 5)}, {R('wy*1e6', 'wy', 5)}, {R('wz*1e6', 'wz', 5)} FROM ew", EW))
+@query(sql(f"SELECT e, {R('wx*1e6', 'wx', 3)}, {R('wy*1e6', 'wy', 3)}, {R('wz*1e6', 'wz', 3)} FROM ew", EW))
 def element_weight(spark, sf_dir):
     t = Tables(spark, sf_dir)
     w = sparse.element_weight(t.corners, t.potential)
-    return out(w.select("e", *[(F.col(c) * 1e6).alias(c) for c in ("wx", "wy", "wz")]), ["e"], 5)
+    return out(w.select("e", *[(F.col(c) * 1e6).alias(c) for c in ("wx", "wy", "wz")]), ["e"], 3)
 
 
-@query(sql(f"SELECT node, {R('sum(vol*sigma)*1e6', 'v', 9)} FROM cs GROUP BY node"))
+@query(sql(f"SELECT node, {R('sum(vol*sigma)*1e6', 'v', 5)} FROM cs GROUP BY node"))
 def node_gather(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(sparse.node_gather(t.corners.select("node", (F.col("vol") * F.col("sigma") * 1e6).alias("v"))), ["node"], 9)
+    return out(sparse.node_gather(t.corners.select("node", (F.col("vol") * F.col("sigma") * 1e6).alias("v"))), ["node"], 5)
 
 
-@query(sql(f"SELECT node, {R('sum(wx)', 'wx', 12)}, {R('sum(wy)', 'wy', 12)}, {R('sum(wz)', 'wz', 12)} FROM co JOIN ew ON co.e = ew.e GROUP BY node", EW))
+@query(sql(f"SELECT node, {R('sum(wx)', 'wx', 9)}, {R('sum(wy)', 'wy', 9)}, {R('sum(wz)', 'wz', 9)} FROM co JOIN ew ON co.e = ew.e GROUP BY node", EW))
 def node_scatter(spark, sf_dir):
     t = Tables(spark, sf_dir)
     w = sparse.node_scatter(t.corners, sparse.element_weight(t.corners, t.potential))
-    return out(w.select("node", *[(4 * F.col(c)).alias(c) for c in ("wx", "wy", "wz")]), ["node"], 12)
+    return out(w.select("node", *[(4 * F.col(c)).alias(c) for c in ("wx", "wy", "wz")]), ["node"], 9)
 
 
 AGG = "ag AS (SELECT node, node // 4 agg FROM nodes), p0 AS (SELECT node r, ag.agg c, 1e0/sqrt(n::DOUBLE) v FROM ag JOIN (SELECT agg, count(*) n FROM ag GROUP BY agg) s ON ag.agg = s.agg)"
@@ -298,48 +299,48 @@ def tentative_prolongator(spark, sf_dir):
     return out(sparse.tentative_prolongator(_aggregates(Tables(spark, sf_dir))), ["r", "c"], 9)
 
 
-@query(sql(f"SELECT r, c, {R('v', 'v', 9)} FROM p1", KM, L1, AGG, SMOOTH))
+@query(sql(f"SELECT r, c, {R('v', 'v', 6)} FROM p1", KM, L1, AGG, SMOOTH))
 def smooth_prolongator(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(sparse.smooth_prolongator(t.k, sparse.tentative_prolongator(_aggregates(t))), ["r", "c"], 9)
+    return out(sparse.smooth_prolongator(t.k, sparse.tentative_prolongator(_aggregates(t))), ["r", "c"], 6)
 
 
-@query(sql(f"SELECT a.c r, b.c c, {R('sum(a.v*k.v*b.v)', 'v', 9)} FROM p0 a JOIN k ON a.r = k.r JOIN p0 b ON k.c = b.r GROUP BY 1, 2", KM, AGG))
+@query(sql(f"SELECT a.c r, b.c c, {R('sum(a.v*k.v*b.v)', 'v', 6)} FROM p1 a JOIN k ON a.r = k.r JOIN p1 b ON k.c = b.r GROUP BY 1, 2", KM, L1, AGG, SMOOTH))
 def galerkin_product(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(sparse.galerkin(t.k, sparse.tentative_prolongator(_aggregates(t))), ["r", "c"], 9)
+    return out(sparse.galerkin(t.k, sparse.smooth_prolongator(t.k, sparse.tentative_prolongator(_aggregates(t)))), ["r", "c"], 6)
 
 
 RE = "re AS (SELECT e, sum(-v*gx) x, sum(-v*gy) y, sum(-v*gz) z FROM co JOIN pot ON co.node = pot.node GROUP BY e), fld AS (SELECT re.e, x-ax ex, y-ay ey, z-az ez FROM re JOIN dadt ON re.e = dadt.e)"
 
 
-@query(sql(f"SELECT e, {R('ex', 'ex')}, {R('ey', 'ey')}, {R('ez', 'ez')}, {R('sqrt(ex*ex+ey*ey+ez*ez)', 'magn')} FROM fld", RE))
+@query(sql(f"SELECT e, {R('ex', 'ex', 4)}, {R('ey', 'ey', 4)}, {R('ez', 'ez', 4)}, {R('sqrt(ex*ex+ey*ey+ez*ez)', 'magn', 4)} FROM fld", RE))
 def reconstruct_field(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(sparse.reconstruct(t.corners, t.potential, t.dadt), ["e"])
+    return out(sparse.reconstruct(t.corners, t.potential, t.dadt), ["e"], 4)
 
 
 # ---- coils ------------------------------------------------------------------------------------------------------
 
-DF = """mv AS (SELECT j, 0.05e0+sx sx, 0.05e0+sy sy, 0.11e0 sz, mx, my, mz FROM dip),
+DF = """mv AS (SELECT j, 0.025e0*(j//20)+sx sx, 0.05e0+sy sy, 0.11e0 sz, mx, my, mz FROM dip),
  pr AS (SELECT node, mx, my, mz, x*1e-3-sx dx, y*1e-3-sy dy, z*1e-3-sz dz FROM nodes, mv), pw AS (SELECT *, 1e0/((dx*dx+dy*dy+dz*dz)*sqrt(dx*dx+dy*dy+dz*dz)) w FROM pr),
  da AS (SELECT node, 1e6*1e-7*sum(w*(my*dz-mz*dy)) ax, 1e6*1e-7*sum(w*(mz*dx-mx*dz)) ay, 1e6*1e-7*sum(w*(mx*dy-my*dx)) az FROM pw GROUP BY node)"""
 
 
 def _moved_dipoles(t):
-    return t.dipoles.select("j", (0.05 + F.col("sx")).alias("sx"), (0.05 + F.col("sy")).alias("sy"), F.lit(0.11).alias("sz"), "mx", "my", "mz")
+    return t.dipoles.select("j", (0.025 * F.floor(F.col("j") / 20) + F.col("sx")).alias("sx"), (0.05 + F.col("sy")).alias("sy"), F.lit(0.11).alias("sz"), "mx", "my", "mz")
 
 
-@query(sql(f"SELECT node, {R('ax', 'ax')}, {R('ay', 'ay')}, {R('az', 'az')} FROM da", PLACE, DF))
+@query(sql(f"SELECT node, {R('ax', 'ax', 2)}, {R('ay', 'ay', 2)}, {R('az', 'az', 2)} FROM da", PLACE, DF))
 def dipole_dadt(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(source.dipole_field(t.nodes, _moved_dipoles(t), 1e6), ["node"])
+    return out(source.dipole_field(t.nodes, _moved_dipoles(t), 1e6), ["node"], 2)
 
 
-@query(sql(f"SELECT e, {R('sum(ax)/4e0', 'ax')}, {R('sum(ay)/4e0', 'ay')}, {R('sum(az)/4e0', 'az')} FROM co JOIN da ON co.node = da.node GROUP BY e", PLACE, DF))
+@query(sql(f"SELECT e, {R('sum(ax)/4e0', 'ax', 2)}, {R('sum(ay)/4e0', 'ay', 2)}, {R('sum(az)/4e0', 'az', 2)} FROM co JOIN da ON co.node = da.node GROUP BY e", PLACE, DF))
 def dadt_elements(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(sparse.element_means(source.dipole_field(t.nodes, _moved_dipoles(t), 1e6), t.corners, ["ax", "ay", "az"]), ["e"])
+    return out(sparse.element_means(source.dipole_field(t.nodes, _moved_dipoles(t), 1e6), t.corners, ["ax", "ay", "az"]), ["e"], 2)
 
 
 CP = """tp AS (SELECT p, t, pl.cx px, pl.cy py, pl.cz pz, a.x ax, a.y ay, a.z az, b.x-a.x ux, b.y-a.y uy, b.z-a.z uz, c.x-a.x vx, c.y-a.y vy, c.z-a.z vz FROM pl, tris JOIN nodes a ON a.node=tris.a JOIN nodes b ON b.node=tris.b JOIN nodes c ON c.node=tris.c),
@@ -347,14 +348,14 @@ CP = """tp AS (SELECT p, t, pl.cx px, pl.cy py, pl.cz pz, a.x ax, a.y ay, a.z az
  va AS (SELECT *, d1*d4-d3*d2 vc, d5*d2-d1*d6 vb, d3*d6-d5*d4 va FROM dd),
  bw AS (SELECT *, CASE WHEN d1<=0 AND d2<=0 THEN 0e0 WHEN d3>=0 AND d4<=d3 THEN 1e0 WHEN vc<=0 AND d1>=0 AND d3<=0 THEN d1/nullif(d1-d3,0) WHEN d6>=0 AND d5<=d6 THEN 0e0 WHEN vb<=0 AND d2>=0 AND d6<=0 THEN 0e0 WHEN va<=0 AND d4-d3>=0 AND d5-d6>=0 THEN 1e0-(d4-d3)/nullif((d4-d3)+(d5-d6),0) ELSE vb/nullif(va+vb+vc,0) END wb,
    CASE WHEN d1<=0 AND d2<=0 THEN 0e0 WHEN d3>=0 AND d4<=d3 THEN 0e0 WHEN vc<=0 AND d1>=0 AND d3<=0 THEN 0e0 WHEN d6>=0 AND d5<=d6 THEN 1e0 WHEN vb<=0 AND d2>=0 AND d6<=0 THEN d2/nullif(d2-d6,0) WHEN va<=0 AND d4-d3>=0 AND d5-d6>=0 THEN (d4-d3)/nullif((d4-d3)+(d5-d6),0) ELSE vc/nullif(va+vb+vc,0) END wc FROM va),
- qp AS (SELECT p, t, px, py, pz, ax+ux*wb+vx*wc qx, ay+uy*wb+vy*wc qy, az+uz*wb+vz*wc qz FROM bw),
- nq AS (SELECT p, t, qx, qy, qz, d2 FROM (SELECT *, (px-qx)*(px-qx)+(py-qy)*(py-qy)+(pz-qz)*(pz-qz) d2, row_number() OVER (PARTITION BY p ORDER BY round((px-qx)*(px-qx)+(py-qy)*(py-qy)+(pz-qz)*(pz-qz),9), t) k FROM qp) WHERE k = 1)"""
+ qp AS (SELECT p, t, px, py, pz, ax+(ux*wb+vx*wc) qx, ay+(uy*wb+vy*wc) qy, az+(uz*wb+vz*wc) qz FROM bw),
+ nq AS (SELECT p, t, qx, qy, qz, d2 FROM (SELECT *, (px-qx)*(px-qx)+(py-qy)*(py-qy)+(pz-qz)*(pz-qz) d2, row_number() OVER (PARTITION BY p ORDER BY (px-qx)*(px-qx)+(py-qy)*(py-qy)+(pz-qz)*(pz-qz), t) k FROM qp) WHERE k = 1)"""
 
 
-@query(sql(f"SELECT p, {R('d2', 'd2')}, {R('qx', 'qx')}, {R('qy', 'qy')}, {R('qz', 'qz')} FROM nq", PLACE, CP))
+@query(sql(f"SELECT p, t, {R('d2', 'd2', 5)}, {R('qx', 'qx', 5)}, {R('qy', 'qy', 5)}, {R('qz', 'qz', 5)} FROM nq", PLACE, CP))
 def closest_surface_point(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(source.closest_points(t.placements, t.nodes, t.tris).drop("t"), ["p"])
+    return out(source.closest_points(t.placements, t.nodes, t.tris), ["p", "t"], 5)
 
 
 FRAME = """fr AS (SELECT nq.p, nx, ny, nz, hx-qx yx, hy-qy yy, hz-qz yz, qx+nx*dist ox, qy+ny*dist oy, qz+nz*dist oz FROM nq JOIN normals ON nq.t = normals.t JOIN placements ON nq.p = placements.p),
@@ -368,30 +369,30 @@ def _frames(t):
     return source.coil_frames(t.placements, t.nodes, t.tris, mesh.skin_normals(t.nodes, t.tris))
 
 
-@query(sql("SELECT p, " + ", ".join(R(c, c) for c in F_COLS) + " FROM frames", PLACE, CP, _N1, FRAME))
+@query(sql("SELECT p, " + ", ".join(R(c, c, 5) for c in F_COLS) + " FROM frames", PLACE, CP, _N1, FRAME))
 def coil_frames(spark, sf_dir):
-    return out(_frames(Tables(spark, sf_dir)).select("p", *F_COLS), ["p"])
+    return out(_frames(Tables(spark, sf_dir)).select("p", *F_COLS), ["p"], 5)
 
 
 PD = "pd AS (SELECT p, j, " + ", ".join([f"r{i}0*sx+r{i}1*sy+r{i}2*sz+o{a}*1e-3 s{a}" for i, a in enumerate("xyz")] + [f"r{i}0*mx+r{i}1*my+r{i}2*mz m{a}" for i, a in enumerate("xyz")]) + " FROM frames, dip)"
 
 
-@query(sql("SELECT p, j, " + ", ".join(R(c, c, 9) for c in ("sx", "sy", "sz", "mx", "my", "mz")) + " FROM pd", PLACE, CP, _N1, FRAME, PD))
+@query(sql("SELECT p, j, " + ", ".join(R(c, c, 7) for c in ("sx", "sy", "sz", "mx", "my", "mz")) + " FROM pd", PLACE, CP, _N1, FRAME, PD))
 def place_dipoles(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(source.place_dipoles(_frames(t), t.dipoles), ["p", "j"], 9)
+    return out(source.place_dipoles(_frames(t), t.dipoles), ["p", "j"], 7)
 
 
 # ---- regions of interest ----------------------------------------------------------------------------------------
 
-TG = "tg AS (SELECT c_custkey::VARCHAR name, 10e0+80e0*((c_custkey*29)%100)/100e0 tx, 10e0+80e0*((c_custkey*41)%100)/100e0 ty, 10e0+80e0*((c_custkey*67)%100)/100e0 tz, {r} radius FROM customer)"
+TG = "tg AS (SELECT c_custkey::VARCHAR name, 25e0*(c_custkey//15)+25e0*((c_custkey*29)%100)/100e0 tx, 10e0+80e0*((c_custkey*41)%100)/100e0 ty, 10e0+80e0*((c_custkey*67)%100)/100e0 tz, {r} radius FROM customer)"
 ND = "nr AS (SELECT name, bary.e, vol, radius, (bx-tx)*(bx-tx)+(by_-ty)*(by_-ty)+(bz-tz)*(bz-tz) d2 FROM bary JOIN gr ON bary.e = gr.e, tg)"
 
 
 def _targets(spark, sf_dir, radius):
     k = F.col("c_custkey")
     at = lambda m: 10 + 80 * ((k * m) % 100) / 100.0
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.cast("string").alias("name"), at(29).alias("tx"), at(41).alias("ty"), at(67).alias("tz"), radius.alias("radius"), F.lit(0.0).alias("dx"), F.lit(0.6).alias("dy"), F.lit(-0.8).alias("dz"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.cast("string").alias("name"), synth.along_bar(k, 29).alias("tx"), at(41).alias("ty"), at(67).alias("tz"), radius.alias("radius"), F.lit(0.0).alias("dx"), F.lit(0.6).alias("dy"), F.lit(-0.8).alias("dz"))
 
 
 def _elements(t):
@@ -403,15 +404,16 @@ def roi_nearest(spark, sf_dir):
     return metrics.resolve_targets(_elements(Tables(spark, sf_dir)), _targets(spark, sf_dir, F.lit(0.0)))
 
 
-BALL = "SELECT name, e, round(vol/sum(vol) OVER (PARTITION BY name),9)+0e0 AS w FROM nr WHERE d2 <= radius*radius"
+NF = "nf AS (SELECT * FROM (SELECT *, min(d2) OVER (PARTITION BY name) m, count(*) FILTER (WHERE d2 <= radius*radius) OVER (PARTITION BY name) k FROM nr) WHERE CASE WHEN k > 0 THEN d2 <= radius*radius ELSE d2 = m END)"
+BALL = "SELECT name, e, round(vol/sum(vol) OVER (PARTITION BY name),{d})+0e0 AS w FROM nf"
 
 
-@query(sql(BALL, TG.format(r="22e0"), ND))
+@query(sql(BALL.format(d=8), TG.format(r="22e0"), ND, NF))
 def roi_ball(spark, sf_dir):
-    return out(metrics.resolve_targets(_elements(Tables(spark, sf_dir)), _targets(spark, sf_dir, F.lit(22.0))), ["name", "e"], 9)
+    return out(metrics.resolve_targets(_elements(Tables(spark, sf_dir)), _targets(spark, sf_dir, F.lit(22.0))), ["name", "e"], 8)
 
 
-@query(sql("SELECT name, e, round(vol/sum(vol) OVER (PARTITION BY name),9)+0e0 AS w FROM (SELECT *, min(d2) OVER (PARTITION BY name) m, count(*) FILTER (WHERE d2 <= radius*radius) OVER (PARTITION BY name) k FROM nr) WHERE CASE WHEN k > 0 THEN d2 <= radius*radius ELSE d2 = m END", TG.format(r="1e-6"), ND))
+@query(sql(BALL.format(d=9), TG.format(r="1e-6"), ND, NF))
 def roi_ball_fallback_ties(spark, sf_dir):
     return out(metrics.resolve_targets(_elements(Tables(spark, sf_dir)), _targets(spark, sf_dir, F.lit(1e-6))), ["name", "e"], 9)
 
@@ -421,12 +423,12 @@ def depth_probes(spark, sf_dir):
     return out(metrics.depth_probes(_targets(spark, sf_dir, F.lit(0.0)), [5, 10, 20]), ["name", "depth"], 9)
 
 
-@query(sql("SELECT (fld.e % 5)::INT AS k, name, round(sum(vol*sqrt(ex*ex+ey*ey+ez*ez))/max(tv),6)+0e0 AS mean FROM (SELECT *, sum(vol) OVER (PARTITION BY name) tv FROM nr WHERE d2 <= radius*radius) q JOIN fld ON q.e = fld.e GROUP BY 1, 2", TG.format(r="30e0"), ND, RE))
+@query(sql("SELECT (fld.e % 5)::INT AS k, name, round(sum(vol*sqrt(ex*ex+ey*ey+ez*ez))/max(tv),4)+0e0 AS mean FROM (SELECT *, sum(vol) OVER (PARTITION BY name) tv FROM nf) q JOIN fld ON q.e = fld.e GROUP BY 1, 2", TG.format(r="30e0"), ND, NF, RE))
 def roi_draw_means(spark, sf_dir):
     t = Tables(spark, sf_dir)
     roi = metrics.resolve_targets(_elements(t), _targets(spark, sf_dir, F.lit(30.0)))
     field = sparse.reconstruct(t.corners, t.potential, t.dadt).select((F.col("e") % 5).cast("int").alias("k"), "e", "magn")
-    return out(metrics.roi_means(field, roi, ["k"]), ["k", "name"])
+    return out(metrics.roi_means(field, roi, ["k"]), ["k", "name"], 4)
 
 
 # ---- recovery ---------------------------------------------------------------------------------------------------
@@ -450,95 +452,108 @@ def node_patches(spark, sf_dir):
     return recovery.node_patches(t.corners, t.slots)
 
 
-@query(sql(f"SELECT slot, e, {R('w', 'w', 9)} FROM vw", RING, VW))
+@query(sql(f"SELECT slot, e, {R('w', 'w', 7)} FROM vw", RING, VW))
 def spr_volume_average(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(recovery.volume_means(t.corners, t.slots), ["slot", "e"], 9)
+    return out(recovery.volume_means(t.corners, t.slots), ["slot", "e"], 7)
 
 
 def _slot_field(t):
     return recovery.recover_nodes(recovery.volume_means(t.corners, t.slots), sparse.reconstruct(t.corners, t.potential, t.dadt))
 
 
-@query(sql(f"SELECT slot, {R('ex', 'ex', 9)}, {R('ey', 'ey', 9)}, {R('ez', 'ez', 9)} FROM sfld", RE, RING, VW, SF))
+@query(sql(f"SELECT slot, {R('ex', 'ex', 4)}, {R('ey', 'ey', 4)}, {R('ez', 'ez', 4)} FROM sfld", RE, RING, VW, SF))
 def recover_nodes(spark, sf_dir):
-    return out(_slot_field(Tables(spark, sf_dir)), ["slot"], 9)
+    return out(_slot_field(Tables(spark, sf_dir)), ["slot"], 4)
 
 
-@query(sql("SELECT e, " + ", ".join(R(f"e{a}", f"e{a}") for a in "xyz") + ", round(sqrt(ex*ex+ey*ey+ez*ez),6)+0e0 AS magn FROM (SELECT sc.e, sum(ex)/4e0 ex, sum(ey)/4e0 ey, sum(ez)/4e0 ez FROM sc JOIN sfld ON sc.slot = sfld.slot GROUP BY sc.e)", RE, RING, VW, SF))
+@query(sql("SELECT e, " + ", ".join(R(f"e{a}", f"e{a}", 4) for a in "xyz") + ", round(sqrt(ex*ex+ey*ey+ez*ez),4)+0e0 AS magn FROM (SELECT sc.e, sum(ex)/4e0 ex, sum(ey)/4e0 ey, sum(ez)/4e0 ez FROM sc JOIN sfld ON sc.slot = sfld.slot GROUP BY sc.e)", RE, RING, VW, SF))
 def recover_elements(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return out(recovery.recover_elements(t.corners, t.slots, _slot_field(t)), ["e"])
+    return out(recovery.recover_elements(t.corners, t.slots, _slot_field(t)), ["e"], 4)
 
 
-@query(sql("SELECT nodes.node AS node, " + ", ".join(f"coalesce(round(e{a},9)+0e0, -1e300) AS e{a}" for a in "xyz") + " FROM nodes LEFT JOIN (SELECT node, ex, ey, ez FROM slots JOIN sfld ON slots.slot = sfld.slot WHERE tag = 3) q ON nodes.node = q.node", RE, RING, VW, SF))
+@query(sql("SELECT nodes.node AS node, " + ", ".join(f"coalesce(round(e{a},4)+0e0, -1e300) AS e{a}" for a in "xyz") + " FROM nodes LEFT JOIN (SELECT node, ex, ey, ez FROM slots JOIN sfld ON slots.slot = sfld.slot WHERE tag = 3) q ON nodes.node = q.node", RE, RING, VW, SF))
 def nodal_field(spark, sf_dir):
     """NaN, which engines compare differently, is shown as -1e300."""
     t = Tables(spark, sf_dir)
     n = recovery.nodal_field(t.nodes, t.slots, _slot_field(t), 3)
-    return n.select("node", *[F.when(F.isnan(f"e{a}"), F.lit(-1e300)).otherwise(clean(F.col(f"e{a}"), 9)).alias(f"e{a}") for a in "xyz"])
+    return n.select("node", *[F.when(F.isnan(f"e{a}"), F.lit(-1e300)).otherwise(clean(F.col(f"e{a}"), 4)).alias(f"e{a}") for a in "xyz"])
 
 
 # ---- ensembles and search ---------------------------------------------------------------------------------------
 
 
-@query(sql(f"SELECT d.k, a.node r, b.node c, {R('sum(d.sigma*a.vol*(a.gx*b.gx+a.gy*b.gy+a.gz*b.gz))', 'v', 12)} FROM co a JOIN co b ON a.e = b.e JOIN dr d ON d.tag = a.tag GROUP BY 1, 2, 3", "dr AS (SELECT (c_custkey // 2)::INT k, (2 + c_custkey % 2)::INT tag, 0.1e0 + abs(c_acctbal)*1e-4 sigma FROM customer)"))
+@query(sql(f"SELECT d.k, a.node r, b.node c, {R('sum(d.sigma*a.vol*(a.gx*b.gx+a.gy*b.gy+a.gz*b.gz))', 'v', 8)} FROM co a JOIN co b ON a.e = b.e JOIN dr d ON d.tag = a.tag GROUP BY 1, 2, 3", "dr AS (SELECT n_nationkey::INT k, tag::INT tag, 0.1e0 + (n_nationkey*7 + tag*3 + n_regionkey) % 11*0.05e0 sigma FROM nation, (VALUES (2), (3)) v(tag))"))
 def combine_matrix(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    c = F.col("c_custkey")
-    sigmas = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.floor(c / 2).cast("int").alias("k"), (2 + c % 2).cast("int").alias("tag"), (0.1 + F.abs("c_acctbal") * 1e-4).alias("sigma"))
+    tag = F.explode(F.array(F.lit(2), F.lit(3))).alias("tag")
+    sigmas = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey", tag)
+    sigmas = sigmas.select(F.col("n_nationkey").cast("int").alias("k"), "tag", (0.1 + (F.col("n_nationkey") * 7 + F.col("tag") * 3 + F.col("n_regionkey")) % 11 * 0.05).alias("sigma"))
     by_tissue = sparse.stiffness(t.corners.withColumn("sigma", F.lit(1.0)), by=("tag",))
-    return out(ensemble.combine(by_tissue, sigmas), ["k", "r", "c"], 12)
+    return out(ensemble.combine(by_tissue, sigmas), ["k", "r", "c"], 8)
 
 
-GRID = {"h": 20.0, "ox": -10.0, "oy": -10.0, "oz": 90.0, "nx": 7, "ny": 7, "nz": 5}
-GP = "gp AS (SELECT (i // 35)::INT ix, (i // 5 % 7)::INT iy, (i % 5)::INT iz FROM range(245) t(i)), gx AS (SELECT *, -10e0+ix*20e0 x, -10e0+iy*20e0 y, 90e0+iz*20e0 z FROM gp)"
+SAMP = "sm AS (SELECT p_partkey::INT j, (p_partkey//25)::INT p, 1.1e0*p_partkey x, 5e0+90e0*((p_partkey*59)%101)/101e0 y, 95e0+60e0*((p_partkey*83)%101)/101e0 z, (p_partkey%3)*0.1e0 mx, 0.2e0 my, p_size*0.01e0 mz FROM part)"
+GP = """sh AS (SELECT min(x)-10e0 ox, min(y)-10e0 oy, min(z)-10e0 oz, (ceil((max(x)+10e0-(min(x)-10e0))/20e0)+1)::BIGINT nx, (ceil((max(y)+10e0-(min(y)-10e0))/20e0)+1)::BIGINT ny, (ceil((max(z)+10e0-(min(z)-10e0))/20e0)+1)::BIGINT nz FROM sm),
+ gp AS (SELECT ix::INT ix, iy::INT iy, iz::INT iz FROM (SELECT unnest(range(nx)) ix FROM sh), (SELECT unnest(range(ny)) iy FROM sh), (SELECT unnest(range(nz)) iz FROM sh)), gx AS (SELECT gp.*, ox+ix*20e0 x, oy+iy*20e0 y, oz+iz*20e0 z FROM gp, sh)"""
 QF = "qf AS (SELECT d, ix, iy, iz, (d+1)*0.01e0*y qx, 0.02e0*x-d*0.01e0*z qy, 0.001e0*x*y+d qz FROM gx, (VALUES (0),(1),(2)) dd(d))"
-SAMP = "sm AS (SELECT p_partkey::INT j, (p_partkey%4)::INT p, 5e0+90e0*((p_partkey*37)%101)/101e0 x, 5e0+90e0*((p_partkey*59)%101)/101e0 y, 95e0+60e0*((p_partkey*83)%101)/101e0 z, (p_partkey%3)*0.1e0 mx, 0.2e0 my, p_size*0.01e0 mz FROM part)"
-TRI = """ui AS (SELECT *, (x+10e0)/20e0 ux, (y+10e0)/20e0 uy, (z-90e0)/20e0 uz FROM sm), ci AS (SELECT *, greatest(least(floor(ux),5),0)::INT cx, greatest(least(floor(uy),5),0)::INT cy, greatest(least(floor(uz),3),0)::INT cz FROM ui),
+TRI = """ui AS (SELECT sm.*, nx, ny, nz, (x-ox)/20e0 ux, (y-oy)/20e0 uy, (z-oz)/20e0 uz FROM sm, sh), ci AS (SELECT *, greatest(least(floor(ux),nx-2),0)::INT cx, greatest(least(floor(uy),ny-2),0)::INT cy, greatest(least(floor(uz),nz-2),0)::INT cz FROM ui),
  e8 AS (SELECT *, cx+dx ix, cy+dy iy, cz+dz iz, (CASE WHEN dx=1 THEN ux-cx ELSE 1e0-(ux-cx) END)*(CASE WHEN dy=1 THEN uy-cy ELSE 1e0-(uy-cy) END)*(CASE WHEN dz=1 THEN uz-cz ELSE 1e0-(uz-cz) END) w FROM ci, (VALUES (0),(1)) a(dx), (VALUES (0),(1)) b(dy), (VALUES (0),(1)) c(dz)),
  ti AS (SELECT p, j, mx, my, mz, d, sum(w*qx) qx, sum(w*qy) qy, sum(w*qz) qz FROM e8 JOIN qf ON e8.ix=qf.ix AND e8.iy=qf.iy AND e8.iz=qf.iz GROUP BY p, j, mx, my, mz, d)"""
 
 
-def _qfield(spark):
+def _grid(samples):
+    return search.grid_shape(samples, 20.0, 10.0)
+
+
+def _qfield(spark, grid):
     d = F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("d")
-    g = search.grid_points(spark, GRID).select("*", d)
+    g = search.grid_points(spark, grid).select("*", d)
     return g.select("d", "ix", "iy", "iz", ((F.col("d") + 1) * 0.01 * F.col("y")).alias("qx"), (0.02 * F.col("x") - F.col("d") * 0.01 * F.col("z")).alias("qy"), (0.001 * F.col("x") * F.col("y") + F.col("d")).alias("qz"))
 
 
 def _samples(spark, sf_dir):
     k = F.col("p_partkey")
     at = lambda m: ((k * m) % 101) / 101.0
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.cast("int").alias("j"), (k % 4).cast("int").alias("p"), (5 + 90 * at(37)).alias("x"), (5 + 90 * at(59)).alias("y"), (95 + 60 * at(83)).alias("z"), (k % 3 * 0.1).alias("mx"), F.lit(0.2).alias("my"), (F.col("p_size") * 0.01).alias("mz"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.cast("int").alias("j"), F.floor(k / 25).cast("int").alias("p"), (1.1 * k).alias("x"), (5 + 90 * at(59)).alias("y"), (95 + 60 * at(83)).alias("z"), (k % 3 * 0.1).alias("mx"), F.lit(0.2).alias("my"), (F.col("p_size") * 0.01).alias("mz"))
 
 
-@query("WITH " + GP + " SELECT ix, iy, iz, x, y, z FROM gx")
+@query("WITH " + ", ".join([SAMP, GP]) + " SELECT ix, iy, iz, x, y, z FROM gx")
 def grid_points(spark, sf_dir):
-    return search.grid_points(spark, GRID)
+    return search.grid_points(spark, _grid(_samples(spark, sf_dir)))
 
 
-@query("WITH " + SAMP + " SELECT j, round((x+10e0)/20e0,9)+0e0 AS ux, round((y+10e0)/20e0,9)+0e0 AS uy, round((z-90e0)/20e0,9)+0e0 AS uz FROM sm")
+@query("WITH " + ", ".join([SAMP, GP]) + " SELECT j, round((x-ox)/20e0,9)+0e0 AS ux, round((y-oy)/20e0,9)+0e0 AS uy, round((z-oz)/20e0,9)+0e0 AS uz FROM sm, sh")
 def world_to_index(spark, sf_dir):
-    return out(search.world_to_index(_samples(spark, sf_dir), GRID).select("j", "ux", "uy", "uz"), ["j"], 9)
+    samples = _samples(spark, sf_dir)
+    return out(search.world_to_index(samples, _grid(samples)).select("j", "ux", "uy", "uz"), ["j"], 9)
 
 
-@query("WITH " + ", ".join([GP, QF, SAMP, TRI]) + f" SELECT j, d, {R('qx', 'qx')}, {R('qy', 'qy')}, {R('qz', 'qz')} FROM ti")
+@query("WITH " + ", ".join([SAMP, GP, QF, TRI]) + f" SELECT j, d, {R('qx', 'qx', 4)}, {R('qy', 'qy', 4)}, {R('qz', 'qz', 4)} FROM ti")
 def trilinear(spark, sf_dir):
-    return out(search.trilinear(_samples(spark, sf_dir), GRID, _qfield(spark), ["j"], ["qx", "qy", "qz"], ("d",)), ["j", "d"])
+    samples = _samples(spark, sf_dir)
+    grid = _grid(samples)
+    return out(search.trilinear(samples, grid, _qfield(spark, grid), ["j"], ["qx", "qy", "qz"], ("d",)), ["j", "d"], 4)
 
 
 EV = "ev AS (SELECT p, d, 1e6*sum(mx*qx+my*qy+mz*qz) e FROM ti GROUP BY p, d)"
 
 
-@query("WITH " + ", ".join([GP, QF, SAMP, TRI, EV]) + f" SELECT p, d, {R('e', 'e', 3)} FROM ev")
+def _reciprocity(spark, sf_dir):
+    samples = _samples(spark, sf_dir)
+    grid = _grid(samples)
+    return search.reciprocity(samples, grid, _qfield(spark, grid), 1e6)
+
+
+@query("WITH " + ", ".join([SAMP, GP, QF, TRI, EV]) + f" SELECT p, d, {R('e', 'e', 0)} FROM ev")
 def reciprocity_evaluate(spark, sf_dir):
-    return out(search.reciprocity(_samples(spark, sf_dir), GRID, _qfield(spark), 1e6), ["p", "d"], 3)
+    return out(_reciprocity(spark, sf_dir), ["p", "d"], 0)
 
 
-@query("WITH " + ", ".join([GP, QF, SAMP, TRI, EV]) + " SELECT p, round(sqrt(sum(e*e)),3)+0e0 AS objective FROM ev GROUP BY p ORDER BY sqrt(sum(e*e)) DESC, p LIMIT 1")
+@query("WITH " + ", ".join([SAMP, GP, QF, TRI, EV]) + " SELECT p, round(sqrt(sum(e*e)),0)+0e0 AS objective FROM ev GROUP BY p ORDER BY sqrt(sum(e*e)) DESC, p LIMIT 1")
 def best_placement(spark, sf_dir):
-    e = search.reciprocity(_samples(spark, sf_dir), GRID, _qfield(spark), 1e6)
-    return out(search.best_placement(search.magnitude_or_component(e, ("p",), True)), ["p"], 3)
+    return out(search.best_placement(search.magnitude_or_component(_reciprocity(spark, sf_dir), ("p",), True)), ["p"], 0)
 
 
 ANG = "sa AS (SELECT c_custkey::INT // 9 center, c_custkey::INT % 9 s, c_acctbal*1e-3 e FROM customer)"

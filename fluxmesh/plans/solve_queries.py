@@ -6,18 +6,25 @@ from pyspark.sql import functions as F
 
 from fluxmesh.model import clean
 from fluxmesh.operators import ensemble, search, source
-from fluxmesh.plans.mesh_queries import N
 from fluxmesh.plans.registry import query
 from fluxmesh.sources import synth
 from fluxmesh.subject import Subject
 
 RATE = 1e6
+#: Cells a side of the cube on which systems are solved.
+N = 4
 
 
 def _subject(spark):
     return Subject(synth.cube_nodes(spark, N), synth.cube_tets(spark, N))
 
 
+def _bar(spark, sf_dir):
+    """The mesh that grows with the suppliers, for what needs no solve."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return Subject(synth.bar_nodes(suppliers), synth.bar_tets(suppliers))
+
+
 def _request(spark, sf_dir):
     """The cube, a placement of each supplier and a coil of a dipole for each nation."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
@@ -55,12 +62,12 @@ def solver_telemetry(spark, sf_dir):
 
 @query()
 def spr_weights(spark, sf_dir):
-    return out(_subject(spark).spr_weights(), ["slot", "e"], 9)
+    return out(_bar(spark, sf_dir).spr_weights(), ["slot", "e"], 9)
 
 
 @query()
 def harmonic_weights(spark, sf_dir):
-    return out(_subject(spark).harmonic_weights(), ["slot", "node", "status"], 4)
+    return out(_bar(spark, sf_dir).harmonic_weights(), ["slot", "node", "status"], 4)
 
 
 @query()

@@ -38,6 +38,55 @@ def cube_tets(spark: SparkSession, n: int, tags: tuple[int, int] = (2, 3)) -> Da
     return rows.select((F.col("first") + F.col("k")).cast("int").alias("e"), F.col("base").alias("n0"), (F.col("base") + F.col("s.a")).alias("n1"), (F.col("base") + F.col("s.a") + F.col("s.b")).alias("n2"), (F.col("base") + sum(steps)).alias("n3"), "tag")
 
 
+def bar_nodes(suppliers: DataFrame) -> DataFrame:
+    """``node, x, y, z`` of a bar that grows with a table: a layer of 5 by 5 nodes for each supplier (keys from 0).
+
+    Nodes inside a layer and off the middle plane are moved by up to a quarter cell, as the supplier's nation has it.
+    """
+    h = SIZE / 4
+    q = F.explode(F.sequence(F.lit(0), F.lit(24))).alias("q")
+    rows = suppliers.select(F.col("s_suppkey").cast("long").alias("ix"), F.col("s_nationkey").cast("long").alias("nk"), q)
+    rows = rows.select("ix", "nk", (25 * F.col("ix") + F.col("q")).alias("i"), F.floor(F.col("q") / 5).alias("iy"), (F.col("q") % 5).alias("iz"))
+    inner = F.col("iy").between(1, 3) & F.col("iz").isin(1, 3)
+
+    def moved(a: str, axis: int) -> Column:
+        jitter = ((F.col("i") * 7919 + axis * 104729 + F.col("nk") * 31) % 1009 / 1009.0 - 0.5) * 0.5 * h
+        return F.col(a) * h + F.when(inner, jitter).otherwise(0.0)
+
+    return rows.select(F.col("i").cast("int").alias("node"), moved("ix", 1).alias("x"), moved("iy", 2).alias("y"), moved("iz", 3).alias("z"))
+
+
+def bar_tets(suppliers: DataFrame, tags: tuple[int, int] = (2, 3)) -> DataFrame:
+    """``e, n0..n3, tag``: sixteen cells of six tetrahedra between a supplier's layer and the next one's."""
+    keys = suppliers.select(F.col("s_suppkey").cast("long").alias("ix"))
+    steps = (1, 5, 25)
+    paths = [(a, b) for a in steps for b in steps if a != b]
+    both = keys.join(keys.select((F.col("ix") - 1).alias("ix")), "ix", "left_semi")
+    cells = both.select("ix", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("q")).select("ix", "q", F.floor(F.col("q") / 4).alias("iy"), (F.col("q") % 4).alias("iz"))
+    path = F.posexplode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in paths])).alias("k", "s")
+    rows = cells.select((16 * F.col("ix") + F.col("q")).alias("i"), (25 * F.col("ix") + 5 * F.col("iy") + F.col("iz")).cast("int").alias("base"), F.when(F.col("iz") < 2, tags[0]).otherwise(tags[1]).alias("tag"), path)
+    return rows.select((6 * F.col("i") + F.col("k")).cast("int").alias("e"), F.col("base").alias("n0"), (F.col("base") + F.col("s.a")).alias("n1"), (F.col("base") + F.col("s.a") + F.col("s.b")).alias("n2"), (F.col("base") + sum(steps)).alias("n3"), "tag")
+
+
+def along_bar(key: Column, m: int) -> Column:
+    """A place along the bar for customers, of which there are fifteen for each supplier."""
+    return 25.0 * F.floor(key / 15) + 25.0 * ((key * m) % 100) / 100.0
+
+
+def bar_placements(customers: DataFrame) -> DataFrame:
+    """Placements over the bar's upper side, one a customer."""
+    k = F.col("c_custkey")
+    cx, cy = along_bar(k, 37), 20 + 60 * ((k * 53) % 100) / 100.0
+    return customers.select(k.cast("int").alias("p"), cx.alias("cx"), cy.alias("cy"), (F.lit(101.0) + F.col("c_acctbal").cast("double") * 1e-4).alias("cz"), cx.alias("hx"), (cy + 50.0).alias("hy"), F.lit(100.0).alias("hz"), F.lit(4.0).alias("dist"))
+
+
+def bar_potential(suppliers: DataFrame) -> DataFrame:
+    """``node, v``: a potential taken from suppliers' balances."""
+    q = F.explode(F.sequence(F.lit(0), F.lit(24))).alias("q")
+    rows = suppliers.select(F.col("s_suppkey").alias("ix"), F.col("s_acctbal").cast("double").alias("b"), q)
+    return rows.select((25 * F.col("ix") + F.col("q")).cast("int").alias("node"), (F.col("b") * 1e-3 * F.sqrt(F.col("q") + 2.0)).alias("v"))
+
+
 def placements_of(rows: DataFrame, key: str, balance: str) -> DataFrame:
     """Placements over the top face, one a row."""
     k = F.col(key)
@@ -52,9 +101,3 @@ def dipoles_of(rows: DataFrame, key: str, size: str) -> DataFrame:
         k.cast("int").alias("j"), ((k % 6 - 2.5) * 0.008).alias("sx"), ((F.floor(k / 6) % 5 - 2.0) * 0.008).alias("sy"), F.lit(0.0).alias("sz"),
         (k % 3 * 0.001).alias("mx"), F.lit(0.0).alias("my"), (F.col(size) * 0.01).alias("mz"),
     )
-
-
-def potential_of(customers: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, v``: a potential taken from customers' balances."""
-    v = customers.select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") * 1e-3).alias("v"))
-    return nodes.select("node", (F.col("node") % 150).cast("long").alias("k")).join(v, "k").select("node", "v")

@@ -12,6 +12,7 @@ from fluxmesh.functions.vectors import dot, vec
 from fluxmesh.model import FieldSpec, region_filter, region_tag, tissue_table
 from fluxmesh.operators import ensemble, mesh, metrics, recovery, search, solve, source, sparse, warm
 from fluxmesh.sources.msh import read_msh
+from fluxmesh.sources.msh_split import read_msh_split
 
 ELEMENT_FIELD = FieldSpec("magn", "vol", ("p",), ("e",), ("bx", "by", "bz"))
 
@@ -31,9 +32,12 @@ class Subject:
         self._csr: dict[str, solve.Csr] = {}
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, tissues: DataFrame | None = None, reorder: bool = True) -> "Subject":
-        """The head model of a mesh file, its nodes and elements along the Morton curve unless told otherwise."""
-        m = read_msh(spark, path)
+    def load(cls, spark: SparkSession, path: str, tissues: DataFrame | None = None, reorder: bool = True, split: bool = True) -> "Subject":
+        """The head model of a mesh file, its nodes and elements along the Morton curve unless told otherwise.
+
+        Byte ranges of the file are read by many tasks; without ``split`` one task reads it whole, through Spark's own readers.
+        """
+        m = read_msh_split(spark, path) if split else read_msh(spark, path)
         return cls(m["nodes"], m["tets"], m["tris"], tissues, reorder)
 
     @property

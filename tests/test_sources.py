@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from fluxmesh.sources import synth
 from fluxmesh.sources.coils import load_coil, read_ccd, save_coils
+from fluxmesh.sources import msh
 from fluxmesh.sources.msh import MeshFormatError, pack_msh, parse_msh, read_msh
+from fluxmesh.sources.msh_split import COLUMNS, ELEMENT, MshReader, read_msh_split, read_table
 from fluxmesh.sources.results import load_result, retain, save_result
 from fluxmesh.streaming import stream_summaries
 from fluxmesh.subject import Subject
@@ -25,6 +27,59 @@ def test_mesh_round_trip(spark, tmp_path, small):
     assert [tuple(r) for r in m["tris"].collect()] == [(0, 0, 1, 2, 1005)]
 
 
+def blocks_msh(rng, n, tets, tris, gap=1, cut=7):
+    """A mesh of many element blocks, of other types too, with node numbers ``gap`` apart in any order."""
+    ids = (rng.permutation(n) + 1) * gap
+    nodes = np.zeros(n, np.dtype([("id", "<i4"), ("xyz", "<f8", 3)]))
+    nodes["id"], nodes["xyz"] = ids, rng.normal(size=(n, 3))
+    out = [b"$MeshFormat\n2.2 1 8\n", struct.pack("<i", 1), b"\n$EndMeshFormat\n$Nodes\n%d\n" % n, nodes.tobytes(), b"\n$EndNodes\n$Elements\n"]
+    body, total = [], 0
+    for kind, cells in ((2, tris), (15, np.arange(3)[:, None]), (4, tets)):
+        for at in range(0, len(cells), cut):
+            part = ids[cells[at : at + cut]]
+            rows = np.column_stack([np.arange(len(part)), np.full(len(part), 3), np.zeros(len(part)), part]).astype("<i4")
+            body += [struct.pack("<3i", kind, len(part), 2), rows.tobytes()]
+            total += len(part)
+    return b"".join([*out, b"%d\n" % total, *body, b"\n$EndElements\n"])
+
+
+@pytest.mark.parametrize("gap", [1, 3])
+def test_split_reads_equal_whole_reads(spark, tmp_path, gap):
+    rng = np.random.default_rng(gap)
+    tets, tris = rng.integers(0, 60, (50, 4)), rng.integers(0, 60, (23, 3))
+    (tmp_path / "m.msh").write_bytes(blocks_msh(rng, 60, tets, tris, gap))
+    path = str(tmp_path / "m.msh")
+    whole, split = read_msh(spark, path), read_msh_split(spark, path, split_rows=5)
+    for t in ("nodes", "tets", "tris"):
+        assert sorted(tuple(r) for r in split[t].select(whole[t].columns).collect()) == sorted(tuple(r) for r in whole[t].collect())
+    table = read_table(spark, f"file://{path}", "tets", ["tag", "e"], split_rows=5)
+    assert table.columns == ["tag", "e"] and sorted(r.e for r in table.collect()) == list(range(50))
+    assert table.rdd.getNumPartitions() == 7 * 2 + 1  # blocks of 7, cut at 5, and one of 1
+    with pytest.raises(Exception, match="no column"):
+        read_table(spark, path, "tris", ["n3"]).count()
+
+
+def test_split_reads_touch_their_section_once(tmp_path):
+    rng = np.random.default_rng(5)
+    (tmp_path / "m.msh").write_bytes(blocks_msh(rng, 60, rng.integers(0, 60, (50, 4)), rng.integers(0, 60, (23, 3))))
+    size = {"nodes": 28 * 60, "tets": 28 * 50, "tris": 24 * 23}
+    for table, want in size.items():
+        reader = MshReader(str(tmp_path / "m.msh"), table, list(COLUMNS[table]), 5)
+        width = msh.NODE.itemsize if table == "nodes" else msh.width(ELEMENT[table])
+        ranges = sorted((p.offset, p.offset + p.count * width) for p in reader.partitions())
+        assert sum(b - a for a, b in ranges) == want and all(x[1] <= y[0] for x, y in zip(ranges, ranges[1:], strict=False))
+
+
+def test_subject_from_a_file(spark, tmp_path):
+    nodes = synth.cube_nodes(spark, 2).orderBy("node").collect()
+    tets = synth.cube_tets(spark, 2).orderBy("e").collect()
+    (tmp_path / "m.msh").write_bytes(pack_msh(np.array([(r.x, r.y, r.z) for r in nodes]), np.array([[r[n] for n in ("n0", "n1", "n2", "n3")] for r in tets]), np.array([r.tag for r in tets]), np.zeros((0, 3), int), np.zeros(0, int)))
+    with Subject.load(spark, str(tmp_path / "m.msh")) as s, Subject.load(spark, str(tmp_path / "m.msh"), reorder=False, split=False) as t:
+        one, two = ({tuple(round(v, 9) for v in (r.bx, r.by, r.bz, r.vol * 1e9)) for r in x.elements.collect()} for x in (s, t))
+        assert one == two and len(one) == 48
+        assert s.mesh[0].count() == 27 and s.mesh[1].count() == 48
+
+
 def test_malformed_meshes_raise(small):
     data = pack_msh(*small)
     bad = [

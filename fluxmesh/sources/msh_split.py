@@ -56,13 +56,11 @@ class MshReader(DataSourceReader):
                 n = min(self.split_rows, count - row)
                 out.append(Rows(at + row * width, n, first + row))
             first += count
-        return out
+        return out or [Rows(0, 0, 0)]  # a section without rows
 
-    def read(self, p: Rows | None):
-        if p is None:  # a section without rows has no ranges
-            return
+    def read(self, p: Rows):
         with open_file(self.path) as f:
-            for row in range(0, p.count, BATCH_ROWS):
+            for row in range(0, max(p.count, 1), BATCH_ROWS):
                 n, first = min(BATCH_ROWS, p.count - row), p.first + row
                 if self.table == "nodes":
                     data = f.read_at(n * msh.NODE.itemsize, p.offset + row * msh.NODE.itemsize)

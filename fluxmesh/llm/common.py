@@ -6,8 +6,12 @@ tasks it ran: nothing depends on blocks that live on one machine.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import sys
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +74,7 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-_memo: dict = {"owner": None, "drop": None}
+_memo: dict = {"owner": None, "drop": None, "given": 0.0}
 
 
 def own_memory(owner: str, drop=None) -> None:
@@ -83,13 +87,39 @@ def own_memory(owner: str, drop=None) -> None:
         _memo.update(owner=owner, drop=drop)
 
 
-def slices(batch, rows: int = 256):
-    """An Arrow batch a few rows at a time; afterwards the memory it took is given back."""
+def give_back() -> None:
+    """Return freed memory to the system, once a second at most: a worker outlives its tasks, and what the allocators keep
+    adds up over the stages of a pipeline."""
     import pyarrow as pa
 
+    if time.monotonic() - _memo["given"] < 1:
+        return
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim:
+            trim(0)
+    _memo["given"] = time.monotonic()
+
+
+def lean(f):
+    """``f`` of one group, after which the memory it took is given back."""
+
+    @functools.wraps(f)
+    def run(t):
+        try:
+            return f(t)
+        finally:
+            give_back()
+
+    return run
+
+
+def slices(batch, rows: int = 256):
+    """An Arrow batch a few rows at a time; afterwards the memory it took is given back."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_scratch, free_shuffles, materialize, own_memory, slices
+from .common import components, drop_scratch, free_shuffles, lean, materialize, own_memory, slices
 
 NGRAM, PERCENT = 4, 85
 FRAGMENT_BYTES = 6 << 20
@@ -177,6 +177,7 @@ def postings(docs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame
         if rows:
             yield from flush()
 
+    @lean
     def fragment(t: pa.Table) -> pa.Table:
         if t.column("kind")[0].as_py() == DOCS:
             part = t.column("part")[0].as_py() - fragments
@@ -209,6 +210,7 @@ def postings(docs: DataFrame, n: int, percent: int, fragments: int) -> DataFrame
             out.append(_rows(SHARED, [b], [_pack(cls[at], gram[at], df[at])]))
         return pa.Table.from_batches(out or [_rows(SINGLES, [], [])])
 
+    @lean
     def gather(t: pa.Table) -> pa.Table:
         kinds, payloads = t.column("kind").to_pylist(), t.column("payload")
         docs_in = np.concatenate([np.zeros(0, DOC_ROW), *[np.frombuffer(p.as_buffer(), DOC_ROW) for k, p in zip(kinds, payloads, strict=True) if k == DOCS]])
@@ -334,6 +336,7 @@ def hub_groups(crowded: DataFrame, hubs: DataFrame, sets: DataFrame, percent: in
     outside = dealt.where("comp <> main").select("hub", F.col("own").alias("i"), other.alias("j"), F.lit(0).alias("side"), "cls", "n", "comp", "frags")
     inside = dealt.select("hub", other.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "cls", "n", "comp", "frags")
 
+    @lean
     def decide(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         side = t.column("side").to_numpy()

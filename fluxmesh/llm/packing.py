@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 from .wordtokens import encoded_batches
 
 GROUP = 60_000
@@ -180,6 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, gro
     pieces = materialize(pieces_of(docs, tokenizer, end_id, capacity), "pieces")
     groups = max(1, round(pieces.count() / group))
 
+    @lean
     def place(t: pa.Table) -> pa.Table:
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = t.column("length").to_pylist()

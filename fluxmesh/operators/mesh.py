@@ -109,13 +109,14 @@ def spatial_order(nodes: DataFrame, tets: DataFrame) -> tuple[DataFrame, DataFra
     return ids, _by_lowest(renamed(tets.select("e", *LOCAL), ids, LOCAL)).select("e", "new_e")
 
 
-def reordered(nodes: DataFrame, tets: DataFrame, tris: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def reordered(nodes: DataFrame, tets: DataFrame, tris: DataFrame | None = None, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(nodes, tets, tris) numbered along the Morton curve: nodes by their place on it, elements by their lowest node.
 
     A row's own nodes keep their order, and so its orientation; triangles keep their numbers. Nodes that no element
-    uses take part as well.
+    uses take part as well. ``ids`` is ``curve_order(nodes)``, which is looked up for every column: keep it where the
+    results are used more than once.
     """
-    ids = curve_order(nodes)
+    ids = curve_order(nodes) if ids is None else ids
     moved = nodes.join(ids, "node").select(F.col("new_node").alias("node"), "x", "y", "z")
     elements = _by_lowest(renamed(tets.select("e", *LOCAL, "tag"), ids, LOCAL)).select(F.col("new_e").alias("e"), *LOCAL, "tag")
     return moved, elements, renamed(tris, ids, ["a", "b", "c"]) if tris is not None else None

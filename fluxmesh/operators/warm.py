@@ -44,7 +44,7 @@ def orthonormal(sensitivities: DataFrame, tags: list[int], rtol: float = RTOL) -
         _, s, vt = np.linalg.svd(r)
         kept = int((s > rtol * s[0]).sum()) if len(s) and s[0] > 0 else 0
         m = (vt[:kept].T / s[:kept]) if kept else np.zeros((k, 0))
-        return pd.DataFrame({"p": [pdf["p"].iloc[0]] * kept, "i": range(kept), "m": [m[:, j].tolist() for j in range(kept)]})
+        return pd.DataFrame({"p": [pdf["p"].iloc[0]] * kept, "i": range(kept), "m": pd.Series([m[:, j].tolist() for j in range(kept)], dtype=object)})
 
     kind = dict(sensitivities.dtypes)["p"]
     m = tall.tall_factors(wide, names, ("p",)).groupBy("p").applyInPandas(small, f"p {kind}, i int, m array<double>")

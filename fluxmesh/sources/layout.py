@@ -20,16 +20,21 @@ NAMED_BLOCKS = 10_000
 
 def write_layout(nodes: DataFrame, tets: DataFrame, tris: DataFrame | None, path: str, block_nodes: int = BLOCK_NODES) -> None:
     """Write the reordered mesh below ``path``: ``nodes``, ``tets`` (with barycentres), ``tris`` and ``bounds``."""
-    nodes, tets, tris = mesh.reordered(nodes, tets, tris)
+    ids = mesh.curve_order(nodes).persist()
+    nodes, tets, tris = mesh.reordered(nodes, tets, tris, ids)
+    tets = tets.persist()
 
     def put(rows: DataFrame, place, order: str, name: str) -> None:
         rows = rows.withColumn("block", F.floor(place / block_nodes).cast("int"))
         rows.repartition("block").sortWithinPartitions("block", order).write.partitionBy("block").parquet(f"{path}/{name}")
 
     put(nodes, F.col("node"), "node", "nodes")
+    nodes = nodes.sparkSession.read.parquet(f"{path}/nodes")
     put(tets.join(mesh.barycentres(nodes, tets), "e"), F.least(*mesh.LOCAL), "e", "tets")
     if tris is not None:
         put(tris, F.least("a", "b", "c"), "t", "tris")
+    for kept in (ids, tets):
+        kept.unpersist()
     found = nodes.sparkSession.read.parquet(f"{path}/tets").groupBy("block")
     found.agg(F.count("*").alias("n"), *[f(f"b{a}").alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).coalesce(1).write.parquet(f"{path}/bounds")
 

@@ -13,6 +13,7 @@ from fluxmesh.model import FieldSpec, region_filter, region_tag, tissue_table
 from fluxmesh.operators import ensemble, mesh, metrics, recovery, search, solve, source, sparse, warm
 from fluxmesh.sources.msh import read_msh
 from fluxmesh.sources.msh_split import read_msh_split
+from fluxmesh.sources.scratch import written
 
 ELEMENT_FIELD = FieldSpec("magn", "vol", ("p",), ("e",), ("bx", "by", "bz"))
 
@@ -22,14 +23,16 @@ class Subject:
 
     def __init__(self, nodes: DataFrame, tets: DataFrame, tris: DataFrame | None = None, tissues: DataFrame | None = None, reorder: bool = False):
         self.spark: SparkSession = nodes.sparkSession
+        self._kept: dict[str, DataFrame] = {}
+        self._csr: dict[str, solve.Csr] = {}
         if reorder:
-            nodes, tets, tris = mesh.reordered(mesh.used_nodes(nodes, tets), tets, tris)
+            ids = self._keep("curve", lambda: mesh.curve_order(mesh.used_nodes(nodes, tets)))
+            moved = mesh.reordered(mesh.used_nodes(nodes, tets), tets, tris, ids)
+            nodes, tets, tris = (self._keep(f"moved {k}", lambda df=df: df) if df is not None else None for k, df in enumerate(moved))
         self.nodes = mesh.used_nodes(mesh.require_finite(nodes, tets), tets)
         self.tets = mesh.require_known_tags(tets)
         self.tris = mesh.skin_surface(tris) if tris is not None else mesh.skin_triangles(nodes, tets)
         self.tissues = tissues if tissues is not None else tissue_table(self.spark)
-        self._kept: dict[str, DataFrame] = {}
-        self._csr: dict[str, solve.Csr] = {}
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, tissues: DataFrame | None = None, reorder: bool = True, split: bool = True) -> "Subject":
@@ -168,6 +171,8 @@ class Subject:
         nodal = self.nodal_source(source.place_dipoles(self.frames(placements), dipoles), rate)
         elements = sparse.element_means(nodal, self.corners, ["ax", "ay", "az"], ("p",))
         unit = sparse.rhs(self.corners.withColumn("sigma", F.lit(1.0)), elements, ("p", "tag"))
+        if warm_start:
+            unit = written(unit, "unit")
         b = ensemble.combine(unit, sigmas, ("p", "node"), "b").join(F.broadcast(maps), "k")
         if warm_start:
             b = b.join(self.draw_starts(unit, sigmas), ["p", "k", "node"], "left")
@@ -179,17 +184,15 @@ class Subject:
 
     def draw_starts(self, unit_rhs: DataFrame, sigmas: DataFrame) -> DataFrame:
         """``p, k, node, x0`` of every draw ``sigmas(k, tag, sigma)`` from the parts ``unit_rhs(p, tag, node, b)`` of the right-hand side."""
-        parts_k = sparse.reduce_matrix(sparse.stiffness(self.corners.withColumn("sigma", F.lit(1.0)), by=("tag",)), self.ground)
+        parts_k = written(sparse.reduce_matrix(sparse.stiffness(self.corners.withColumn("sigma", F.lit(1.0)), by=("tag",)), self.ground), "parts")
         tags = sorted(r.tag for r in self.tets.select("tag").distinct().collect())
         b = unit_rhs.join(F.broadcast(self.tissues.select("tag", "sigma")), "tag").groupBy("p", "node").agg(F.sum(F.col("sigma") * F.col("b")).alias("b"))
-        nominal = solve.solve(self.csr(), b, ["p"]).select("p", "node", "v").persist()
-        self._kept[f"nominal {len(self._kept)}"] = nominal
-        residuals = warm.residual_parts(parts_k, unit_rhs, nominal)
+        nominal = written(solve.solve(self.csr(), b, ["p"]).select("p", "node", "v"), "nominal")
+        residuals = written(warm.residual_parts(parts_k, unit_rhs, nominal), "residuals")
         sensitivities = solve.solve(self.csr(), residuals, ["p", "tag"], warm.TOLERANCE).select("p", "tag", "node", "v")
-        basis = warm.orthonormal(sensitivities, tags).persist()
-        self._kept[f"basis {len(self._kept)}"] = basis
-        e, g = warm.projections(basis, parts_k, self.tissues, residuals)
-        return warm.starts(nominal, basis, warm.corrections(e, g, sigmas), sigmas)
+        basis = written(warm.orthonormal(written(sensitivities, "sensitivities"), tags), "basis")
+        e, g = (written(df, "projections") for df in warm.projections(basis, parts_k, self.tissues, residuals))
+        return warm.starts(nominal, basis, written(warm.corrections(e, g, sigmas), "corrections"), sigmas)
 
     # ---- search -------------------------------------------------------------------------------------------------
 

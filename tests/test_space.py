@@ -5,6 +5,7 @@ import pytest
 from fluxmesh.operators import ensemble, mesh, metrics, solve, source, spatial, sparse, tall, warm
 from fluxmesh.plans.solve_queries import RATE, _request
 from fluxmesh.sources import layout, synth
+from fluxmesh.sources.scratch import written
 from fluxmesh.subject import Subject
 from pyspark.sql import functions as F
 
@@ -210,8 +211,7 @@ def request_parts(spark):
     placements = placements.where("p < 2")
     nodal = s.nodal_source(source.place_dipoles(s.frames(placements), dipoles), RATE)
     elements = sparse.element_means(nodal, s.corners, ["ax", "ay", "az"], ("p",))
-    unit = sparse.rhs(s.corners.withColumn("sigma", F.lit(1.0)), elements, ("p", "tag")).persist()
-    unit.count()
+    unit = written(sparse.rhs(s.corners.withColumn("sigma", F.lit(1.0)), elements, ("p", "tag")), "unit")
     return s, placements, dipoles, unit
 
 
@@ -271,7 +271,7 @@ def test_warm_solves_agree_with_cold_ones(spark, request_parts):
     sigmas = drawn(s, 4)
     maps = sigmas.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("tag", "sigma"))).alias("sigmas"))
     b = ensemble.combine(unit, sigmas, ("p", "node"), "b").join(maps, "k")
-    b = b.join(s.draw_starts(unit, sigmas), ["p", "k", "node"], "left").persist()
+    b = written(b.join(s.draw_starts(unit, sigmas), ["p", "k", "node"], "left"), "b")
     steps = [solve.solve(s.csr(by_tag=True), b, ["p", "k"], sigmas="sigmas", start=x).agg(F.sum("iterations")).first()[0] for x in (None, "x0")]
     assert steps[1] < steps[0]
 

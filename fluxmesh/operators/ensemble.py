@@ -42,15 +42,16 @@ def combine(by_tissue: DataFrame, sigmas: DataFrame, entry: tuple[str, ...] = ("
     return by_tissue.join(F.broadcast(sigmas), "tag").groupBy("k", *entry).agg(F.sum(F.col("sigma") * F.col(value)).alias(value))
 
 
-def moments(samples: DataFrame, by: list[str], value: str) -> DataFrame:
+def moments(samples: DataFrame, by: list[str], value: str, within: tuple[str, ...] = ()) -> DataFrame:
     """``mean, std, cov`` over an ensemble: deviations use n - 1 (1 at least), and cov is 0 where the mean is at most
-    1e-12 of the largest mean."""
+    1e-12 of the largest mean, of all or of those with the same ``within``."""
     v = F.col(value)
     m = samples.groupBy(*by).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
     m = m.withColumn("mean", F.col("s") / F.col("n"))
     var = F.greatest(F.col("q") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1))
-    top = m.agg(F.max("mean").alias("top"))
-    return m.crossJoin(F.broadcast(top)).select(*by, "n", "mean", F.sqrt(var).alias("std"), F.when(F.col("mean") <= 1e-12 * F.col("top"), F.lit(0.0)).otherwise(F.try_divide(F.sqrt(var), F.col("mean"))).alias("cov"))
+    top = m.groupBy(*within).agg(F.max("mean").alias("top"))
+    both = m.join(top, list(within)) if within else m.crossJoin(F.broadcast(top))
+    return both.select(*by, "n", "mean", F.sqrt(var).alias("std"), F.when(F.col("mean") <= 1e-12 * F.col("top"), F.lit(0.0)).otherwise(F.try_divide(F.sqrt(var), F.col("mean"))).alias("cov"))
 
 
 def sensitivity_one(samples: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
@@ -71,3 +72,24 @@ def sensitivity(samples: DataFrame, y: str, xs: list[str]) -> dict[str, float]:
     m = np.array([[s[f"m{i}_{j}"] for j in range(len(xs))] for i in range(len(xs))])
     beta = np.linalg.lstsq(m, np.array([s[f"c{i}"] for i in range(len(xs))]), rcond=None)[0]
     return {x: float(b * b * m[i, i] / s.vy) for i, (x, b) in enumerate(zip(xs, beta, strict=True))}
+
+
+def sensitivities(samples: DataFrame, by: list[str], y: str, xs: list[str]) -> DataFrame:
+    """``sensitivity`` of every group: ``by, name, share``. Products are summed by Spark; each group's small system is
+    solved from its one row of sums. Rows whose logarithms are not numbers take no part."""
+    logs = samples.select(*by, F.log(y).alias("_y"), *[F.log(x).alias(f"_x{i}") for i, x in enumerate(xs)]).dropna(subset=["_y", *[f"_x{i}" for i in range(len(xs))]])
+    names = [f"_x{i}" for i in range(len(xs))]
+    sums = logs.groupBy(*by).agg(F.var_pop("_y").alias("_vy"), F.array(*[F.covar_pop(a, "_y") for a in names]).alias("_c"), F.array(*[F.covar_pop(a, b) for a in names for b in names]).alias("_m"))
+
+    def shares(batches):
+        for rows in batches:
+            out = []
+            for vy, c, m in zip(rows["_vy"], rows["_c"], rows["_m"], strict=True):
+                m = np.asarray(m, float).reshape(len(xs), len(xs))
+                beta = np.linalg.lstsq(m, np.asarray(c, float), rcond=None)[0]
+                out.append((beta * beta * np.diag(m) / vy if vy > 0 else np.zeros(len(xs))).tolist())
+            yield rows[by].assign(_shares=out)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*by).schema)
+    found = sums.mapInPandas(shares, f"{kept}, _shares array<double>")
+    return found.select(*by, F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in xs]).alias("name"), F.col("_shares").alias("share"))).alias("_s")).select(*by, "_s.name", "_s.share")

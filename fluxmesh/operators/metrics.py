@@ -99,16 +99,21 @@ def region_summary(df: DataFrame, spec: FieldSpec, percents=(50, 95, 99, 99.9),
 
     Groups of no rows are absent; a group without weight has null ratios.
     """
+    return summarized(cumulated(df, spec, buckets), df, spec, percents, fractions, anchor)
+
+
+def summarized(ordered: DataFrame, rows: DataFrame, spec: FieldSpec, percents=(50, 95, 99, 99.9), fractions=FRACTIONS, anchor: float = ANCHOR) -> DataFrame:
+    """The metrics of ``region_summary`` from ``ordered`` rows (with ``cw`` and ``pos``) and the same ``rows`` in any order."""
     names = {f"p{p:g}".replace(".", "_"): p / 100 for p in percents}
     w = F.col(spec.weight).cast("double")
     where = [F.col("at")[p].alias(f"peak_{p}") for p in spec.position]
-    head = cumulated(df, spec, buckets).groupBy(*spec.group).agg(
+    head = ordered.groupBy(*spec.group).agg(
         peak(spec).alias("peak"), first_argmax(spec, list(spec.position)).alias("at"), *centre_of_gravity(spec), F.sum(w).alias("volume"),
         F.try_divide(F.sum(w * F.col(spec.value)), F.sum(w)).alias("mean"), *quantile_columns(spec, names | {"anchor": anchor / 100}),
     )
     off = F.col(spec.value) - F.col("mean")
     few = head.select(*spec.group, "mean", "anchor")
-    joined = df.join(few, list(spec.group)) if spec.group else df.crossJoin(F.broadcast(few))
+    joined = rows.join(few, list(spec.group)) if spec.group else rows.crossJoin(F.broadcast(few))
     foc = [f"focality_{f:g}".replace(".", "_") for f in fractions]
     tail = joined.groupBy(*spec.group).agg(F.sqrt(F.try_divide(F.sum(w * off * off), F.sum(w))).alias("std"), *[stimulated_volume(spec, F.lit(f) * F.col("anchor")).alias(n) for f, n in zip(fractions, foc, strict=True)])
     cogs = [f"cog_{p}" for p in spec.position]

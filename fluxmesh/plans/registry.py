@@ -20,4 +20,4 @@ def query(sql: str | None = None):
     return wrap
 
 
-from fluxmesh.plans import field_queries, identity_queries, mesh_queries, solve_queries, space_queries  # noqa: E402, F401  they register themselves
+from fluxmesh.plans import field_queries, identity_queries, mesh_queries, order_queries, solve_queries, space_queries  # noqa: E402, F401  they register themselves

@@ -9,14 +9,13 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fluxmesh.functions.vectors import dot, vec
-from fluxmesh.model import FieldSpec, region_filter, region_tag, tissue_table
+from fluxmesh.model import region_filter, region_tag, tissue_table
 from fluxmesh.operators import ensemble, mesh, metrics, recovery, search, solve, source, sparse, warm
+from fluxmesh.results import ELEMENT_FIELD, EnsembleResult, FieldResult, labelled
 from fluxmesh.sources.msh import read_msh
 from fluxmesh.sources.msh_split import read_msh_split
 from fluxmesh.sources.scratch import written
 
-ELEMENT_FIELD = FieldSpec("magn", "vol", ("p",), ("e",), ("bx", "by", "bz"))
-
 
 class Subject:
     """Tables of one mesh, cached on first use. Arguments are checked when a plan is built, before anything runs."""
@@ -145,6 +144,10 @@ class Subject:
         rows = field.join(self.elements.where(region_filter(region)), "e")
         return metrics.region_summary(rows, ELEMENT_FIELD)
 
+    def result(self, field: DataFrame, mode: str = "raw", slot_field: DataFrame | None = None) -> FieldResult:
+        """Accessors of a field of ``simulate``; all regions are summarised from one sort."""
+        return FieldResult(field, labelled(self.elements), mode, slots=self.slots if slot_field is not None else None, slot_field=slot_field)
+
     def iter_simulate(self, placements: DataFrame, dipoles: DataFrame, rate: float, mode: str = "harmonic", region: str = "all") -> Iterator[Row]:
         """Summaries in placement order, a partition at a time; arguments are checked before the first is asked for."""
         plan = self.summarize(self.simulate(placements, dipoles, rate, mode), region).orderBy("p")
@@ -163,10 +166,7 @@ class Subject:
         With ``warm_start`` draws begin from their Galerkin projection: worth it where iterations cost more than one
         more solve for each placement and tissue.
         """
-        if n < 1:
-            raise ValueError("at least one draw is needed")
-        present = self.tets.select("tag").distinct()
-        sigmas = ensemble.draws(ensemble.with_cov(self.tissues, overrides).join(present, "tag", "left_semi"), n, seed, kind)
+        sigmas = self.drawn_conductivities(n, seed, kind, overrides)
         maps = sigmas.groupBy("k").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "sigma")))).alias("sigmas"))
         nodal = self.nodal_source(source.place_dipoles(self.frames(placements), dipoles), rate)
         elements = sparse.element_means(nodal, self.corners, ["ax", "ay", "az"], ("p",))
@@ -182,6 +182,25 @@ class Subject:
         e = gradient.select("p", "k", "e", *[(F.col(f"e{a}") - F.col(f"a{a}")).alias(f"e{a}") for a in "xyz"])
         return e.withColumn("magn", F.sqrt(dot(vec("e"), vec("e"))))
 
+    def drawn_conductivities(self, n: int, seed: int = 0, kind: str = "lognormal", overrides: DataFrame | None = None) -> DataFrame:
+        """``k, tag, sigma`` of every draw and tissue of the mesh."""
+        if n < 1:
+            raise ValueError("at least one draw is needed")
+        present = self.tets.select("tag").distinct()
+        return ensemble.draws(ensemble.with_cov(self.tissues, overrides).join(present, "tag", "left_semi"), n, seed, kind)
+
+    def conductivity_uq_result(self, placements: DataFrame, dipoles: DataFrame, rate: float, n: int = 500, seed: int = 0, kind: str = "lognormal", overrides: DataFrame | None = None, rois: DataFrame | None = None, warm_start: bool = False) -> EnsembleResult:
+        """Accessors of an ensemble: the draws are solved once, when the first is asked for."""
+        samples = self.simulate_conductivity_uq(placements, dipoles, rate, n, seed, kind, overrides, warm_start)
+        return EnsembleResult(samples, labelled(self.elements), self.drawn_conductivities(n, seed, kind, overrides), rois=rois)
+
+    def iter_simulate_conductivity_uq(self, placements: DataFrame, dipoles: DataFrame, rate: float, n: int = 500, seed: int = 0, region: str = "gray_matter", **kwargs) -> Iterator[Row]:
+        """Summaries of the mean field in placement order, a partition at a time; arguments are checked before the first."""
+        if region != "all":
+            region_tag(region)
+        result = self.conductivity_uq_result(placements, dipoles, rate, n, seed, **kwargs)
+        return result.summary_for(region).orderBy("p").toLocalIterator()
+
     def draw_starts(self, unit_rhs: DataFrame, sigmas: DataFrame) -> DataFrame:
         """``p, k, node, x0`` of every draw ``sigmas(k, tag, sigma)`` from the parts ``unit_rhs(p, tag, node, b)`` of the right-hand side."""
         parts_k = written(sparse.reduce_matrix(sparse.stiffness(self.corners.withColumn("sigma", F.lit(1.0)), by=("tag",)), self.ground), "parts")

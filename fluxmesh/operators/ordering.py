@@ -161,4 +161,4 @@ def open_index(spark: SparkSession, path: str, groups: tuple[str, ...]) -> Weigh
     schema = StructType([heads.schema[k] for k in (*groups, "region")])
     for name in ("value", "weight", "cw", "total", "pos"):
         schema = schema.add(name, "double")
-    return WeightIndex(spark.read.schema(schema.add("bucket", "int")).parquet(f"{path}/rows"), heads, tuple(groups))
+    return WeightIndex(spark.read.schema(schema.add("bucket", "integer")).parquet(f"{path}/rows"), heads, tuple(groups))

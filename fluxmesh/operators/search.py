@@ -20,6 +20,20 @@ def grid_shape(points: DataFrame, spacing: float, margin: float) -> dict:
     return out
 
 
+def max_index(grid: dict) -> tuple[int, int, int]:
+    """The largest valid index along each axis."""
+    return tuple(int(grid[f"n{a}"]) - 1 for a in "xyz")
+
+
+def upper(grid: dict) -> tuple[float, float, float]:
+    """The place of the last grid point along each axis."""
+    return tuple(float(grid[f"o{a}"]) + float(grid["h"]) * n for a, n in zip("xyz", max_index(grid), strict=True))
+
+
+def center(grid: dict) -> tuple[float, float, float]:
+    return tuple(0.5 * (float(grid[f"o{a}"]) + u) for a, u in zip("xyz", upper(grid), strict=True))
+
+
 def grid_points(spark, grid: dict) -> DataFrame:
     """``ix, iy, iz, x, y, z`` with z running fastest."""
     nx, ny, nz = grid["nx"], grid["ny"], grid["nz"]
@@ -63,13 +77,67 @@ def trilinear(samples: DataFrame, grid: dict, values: DataFrame, keys: list[str]
     return s.join(values, ["ix", "iy", "iz"]).groupBy(*keys, *by).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
 
 
+#: Cells along an edge of a tile. A tile also holds the first layer of the next ones.
+TILE = 8
+
+
+def _extent(grid: dict, axis: str) -> Column:
+    """Grid points along an edge of the tile: fewer at the grid's end."""
+    return F.least(F.lit(TILE), F.lit(max_index(grid)["xyz".index(axis)]) - F.col(f"t{axis}") * TILE) + 1
+
+
+def tiled(values: DataFrame, grid: dict, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, tx, ty, tz`` and an array of each of ``columns``: grid values as tiles with one layer of overlap, z fastest.
+
+    Every cell of the grid lies in one tile with all its corners. A grid that lacks a point or has one twice raises.
+    """
+    rows = values.select(*by, "ix", "iy", "iz", *columns)
+    for a in "xyz":
+        i, last = F.col(f"i{a}"), max_index(grid)["xyz".index(a)]
+        own = F.floor(i / TILE).cast("int")
+        # A layer that begins a tile also ends the one before; the grid's last layer begins none.
+        first = F.when((i == last) & (i % TILE == 0) & (i > 0), None).otherwise(own)
+        rows = rows.withColumn(f"t{a}", F.explode(F.array_compact(F.array(first, F.when((i % TILE == 0) & (i > 0), own - 1)))))
+    place = F.lit(0)
+    for a in "xyz":
+        place = place * _extent(grid, a) + (F.col(f"i{a}") - F.col(f"t{a}") * TILE)
+    size = _extent(grid, "x") * _extent(grid, "y") * _extent(grid, "z")
+    keys = [*by, "tx", "ty", "tz"]
+    tiles = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.cast("int").alias("at"), *columns))).alias("_v"), F.count_distinct(place).alias("_n"))
+    whole = (F.size("_v") == size) & (F.col("_n") == size)
+    return tiles.select(*keys, *[F.when(whole, F.col(f"_v.{c}")).otherwise(F.raise_error(F.lit("the grid's values are not whole"))).alias(c) for c in columns])
+
+
+def trilinear_tiled(samples: DataFrame, grid: dict, tiles: DataFrame, keys: list[str], columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """``trilinear`` from the one tile of each sample: a join row for a sample and ``by``, no sum to shuffle."""
+    s = world_to_index(samples, grid)
+    for a in "xyz":
+        last = max_index(grid)["xyz".index(a)]
+        cell = F.greatest(F.least(F.floor(f"u{a}"), F.lit(max(last - 1, 0))), F.lit(0)).cast("int")
+        s = s.withColumn(f"_c{a}", cell).withColumn(f"t{a}", F.floor(F.col(f"_c{a}") / TILE).cast("int"))
+        s = s.withColumn(f"_f{a}", F.col(f"u{a}") - F.col(f"_c{a}")).withColumn(f"_l{a}", F.col(f"_c{a}") - F.col(f"t{a}") * TILE)
+    s = s.select(*keys, "tx", "ty", "tz", *[f"_{n}{a}" for n in "lf" for a in "xyz"])
+    held = tiles.select(*by, "tx", "ty", "tz", *[F.col(c).alias(f"_v_{c}") for c in columns])
+    met = s.join(held, ["tx", "ty", "tz"])
+    corners = []
+    for k in range(8):
+        weight, place = F.lit(1.0), F.lit(0)
+        for bit, a in zip((4, 2, 1), "xyz", strict=True):
+            f = F.col(f"_f{a}")
+            weight = weight * (f if k & bit else 1.0 - f)
+            place = place * _extent(grid, a) + F.least(F.col(f"_l{a}") + (1 if k & bit else 0), _extent(grid, a) - 1)
+        corners.append((weight, place))
+    return met.select(*keys, *by, *[sum((w * F.get(f"_v_{c}", i) for w, i in corners), F.lit(0.0)).alias(c) for c in columns])
+
+
 def reciprocity(dipoles: DataFrame, grid: dict, q: DataFrame, rate: float, by: tuple[str, ...] = ("p",)) -> DataFrame:
     """``p, d, e``: ``rate * sum over dipoles of m . Q_d(s)``; dipole positions in mm as x, y, z.
 
     A dipole outside the grid raises: its value would be extrapolated.
     """
     require_inside(dipoles, grid, "j")
-    at = trilinear(dipoles, grid, q, [*by, "j", "mx", "my", "mz"], ["qx", "qy", "qz"], ("d",))
+    field = ["qx", "qy", "qz"]
+    at = trilinear_tiled(dipoles, grid, tiled(q, grid, field, ("d",)), [*by, "j", "mx", "my", "mz"], field, ("d",))
     return at.groupBy(*by, "d").agg((F.lit(float(rate)) * F.sum(dot(vec("m"), vec("q")))).alias("e"))
 
 

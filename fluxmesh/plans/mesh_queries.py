@@ -537,6 +537,14 @@ def trilinear(spark, sf_dir):
     return out(search.trilinear(samples, grid, _qfield(spark, grid), ["j"], ["qx", "qy", "qz"], ("d",)), ["j", "d"], 4)
 
 
+@query("WITH " + ", ".join([SAMP, GP, QF, TRI]) + f" SELECT j, d, {R('qx', 'qx', 4)}, {R('qy', 'qy', 4)}, {R('qz', 'qz', 4)} FROM ti")
+def trilinear_tiles(spark, sf_dir):
+    """The same values from tiles of the grid."""
+    samples = _samples(spark, sf_dir)
+    grid, field = _grid(samples), ["qx", "qy", "qz"]
+    return out(search.trilinear_tiled(samples, grid, search.tiled(_qfield(spark, grid), grid, field, ("d",)), ["j"], field, ("d",)), ["j", "d"], 4)
+
+
 EV = "ev AS (SELECT p, d, 1e6*sum(mx*qx+my*qy+mz*qz) e FROM ti GROUP BY p, d)"
 
 

@@ -238,6 +238,11 @@ class Subject:
         q = source.dipole_field(points, sources, 1.0, ("d",), "g")
         return q.select("d", "g.ix", "g.iy", "g.iz", *[F.col(f"a{a}").alias(f"q{a}") for a in "xyz"])
 
+    def coverage_grid(self, placements: DataFrame, dipoles: DataFrame, spacing: float = 3.0, margin: float = 8.0) -> dict:
+        """The grid that covers every dipole of every placement with a margin, in mm."""
+        placed = source.place_dipoles(self.frames(placements), dipoles)
+        return search.grid_shape(placed.select(*[(F.col(f"s{a}") * 1e3).alias(a) for a in "xyz"]), spacing, margin)
+
     def optimize_placement(self, placements: DataFrame, dipoles: DataFrame, rate: float, roi: DataFrame, directions: DataFrame, angles: int = 9, fine: int = 512, spacing: float = 3.0) -> DataFrame:
         """``p, theta, objective`` of each centre at its best coil angle: samples on a grid, interpolated over angles.
 
@@ -251,6 +256,7 @@ class Subject:
         spun = spun.select("p", "s", *[(F.cos(a) * F.col(f"r{i}0") + F.sin(a) * F.col(f"r{i}1")).alias(f"r{i}0") for i in range(3)], *[(F.cos(a) * F.col(f"r{i}1") - F.sin(a) * F.col(f"r{i}0")).alias(f"r{i}1") for i in range(3)], *[f"r{i}2" for i in range(3)], "ox", "oy", "oz")
         placed = source.place_dipoles(spun.withColumn("p", F.struct("p", "s")), dipoles)
         placed = placed.select(F.col("p.p").alias("p"), F.col("p.s").alias("s"), "j", *[(F.col(f"s{x}") * 1e3).alias(x) for x in "xyz"], "mx", "my", "mz")
+        placed = written(placed, "placed")
         grid = search.grid_shape(placed, spacing, spacing)
         e = search.reciprocity(placed, grid, self.sample_qfield(weights, grid), rate, ("p", "s"))
         profile = search.dirichlet(e, ["p", "d"], angles, fine)

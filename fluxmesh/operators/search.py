@@ -116,16 +116,20 @@ def trilinear_tiled(samples: DataFrame, grid: dict, tiles: DataFrame, keys: list
         cell = F.greatest(F.least(F.floor(f"u{a}"), F.lit(max(last - 1, 0))), F.lit(0)).cast("int")
         s = s.withColumn(f"_c{a}", cell).withColumn(f"t{a}", F.floor(F.col(f"_c{a}") / TILE).cast("int"))
         s = s.withColumn(f"_f{a}", F.col(f"u{a}") - F.col(f"_c{a}")).withColumn(f"_l{a}", F.col(f"_c{a}") - F.col(f"t{a}") * TILE)
-    s = s.select(*keys, "tx", "ty", "tz", *[f"_{n}{a}" for n in "lf" for a in "xyz"])
+    # Places in the tile's arrays: the lowest corner, and the steps to the next along each axis (none on an axis of one point).
+    ey, ez = _extent(grid, "y"), _extent(grid, "z")
+    stride = {"x": ey * ez, "y": ez, "z": F.lit(1)}
+    step = {a: stride[a] if max_index(grid)["xyz".index(a)] else F.lit(0) for a in "xyz"}
+    base = sum((F.col(f"_l{a}") * stride[a] for a in "xyz"), F.lit(0))
+    s = s.select(*keys, "tx", "ty", "tz", base.cast("int").alias("_base"), *[step[a].cast("int").alias(f"_s{a}") for a in "xyz"], *[f"_f{a}" for a in "xyz"])
     held = tiles.select(*by, "tx", "ty", "tz", *[F.col(c).alias(f"_v_{c}") for c in columns])
     met = s.join(held, ["tx", "ty", "tz"])
     corners = []
     for k in range(8):
-        weight, place = F.lit(1.0), F.lit(0)
+        weight, place = F.lit(1.0), F.col("_base")
         for bit, a in zip((4, 2, 1), "xyz", strict=True):
-            f = F.col(f"_f{a}")
-            weight = weight * (f if k & bit else 1.0 - f)
-            place = place * _extent(grid, a) + F.least(F.col(f"_l{a}") + (1 if k & bit else 0), _extent(grid, a) - 1)
+            weight = weight * (F.col(f"_f{a}") if k & bit else 1.0 - F.col(f"_f{a}"))
+            place = place + F.col(f"_s{a}") if k & bit else place
         corners.append((weight, place))
     return met.select(*keys, *by, *[sum((w * F.get(f"_v_{c}", i) for w, i in corners), F.lit(0.0)).alias(c) for c in columns])
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluxmesh.model import FieldSpec
+from fluxmesh.model import FieldSpec, clean
 from fluxmesh.operators import ordering
 from fluxmesh.plans.field_queries import COLUMNS, LINEITEM, rounded
 from fluxmesh.plans.registry import query
 from fluxmesh.results import EnsembleResult
 from fluxmesh.sources.scratch import scratch
+from fluxmesh.streaming import moments
 
 REGIONS = ["A", "N", "R", "all"]
 _KEY = "l_orderkey, l_partkey, l_suppkey, l_shipdate"
@@ -130,3 +131,19 @@ def ensemble_summaries(spark, sf_dir):
 def ensemble_sensitivity(spark, sf_dir):
     """The share of each tissue in the variance of a region's peak, by placement."""
     return rounded(_ensemble(spark, sf_dir).tissue_sensitivity("peak", "t1"), ["p", "tag"], 7)
+
+
+@query(
+    "WITH " + _SAMPLES + """, m AS (SELECT p, e, count(*) n, sum(magn)/count(*) mean, sqrt(greatest(sum(magn*magn) - count(*)*(sum(magn)/count(*))*(sum(magn)/count(*)), 0e0)/greatest(count(*)-1, 1)) std FROM ev GROUP BY p, e)
+ SELECT p, e, n, round(mean,6)+0e0 AS mean, round(std,5)+0e0 AS std, round(std/mean,6)+0e0 AS cov FROM m"""
+)
+def streamed_moments(spark, sf_dir):
+    """The events as a stream of draws; each user's draws of a kind are as many as the table holds."""
+    pick = lambda df: df.where("value > 0").select(F.col("event_type").alias("p"), F.col("user_id").alias("e"), F.col("value").alias("magn"))
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    elements = pick(table).groupBy("p", "e").agg(F.count("*").alias("due"))
+    stream = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/events*.parquet")
+    path = scratch(spark, "moments")
+    moments.stream_moments(pick(stream), elements, f"{path}/table", f"{path}/state").awaitTermination()
+    done = moments.finished(spark.read.parquet(f"{path}/table"), elements)
+    return done.select("p", "e", "n", clean(F.col("mean"), 6).alias("mean"), clean(F.col("std"), 5).alias("std"), clean(F.col("cov"), 6).alias("cov"))

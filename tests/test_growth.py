@@ -1,9 +1,12 @@
 """Plans that must grow with their tables: nothing that is expanded is broadcast, read by one task or shuffled whole."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from fluxmesh.operators import mesh, search, source
 from fluxmesh.sources import synth
+from fluxmesh.subject import Subject
 
 
 def suppliers(spark, n):
@@ -45,3 +48,12 @@ def test_angles_are_not_shuffled(spark):
     out = search.dirichlet(samples, ["c"], 9, 64)
     assert plan_of(out).count("Exchange hashpartitioning") == 1 and "hashpartitioning(c#" in plan_of(out)
     assert out.count() == 640
+
+
+def test_a_request_on_a_small_mesh_is_dealt_by_placement_only(spark):
+    i = F.col("id")
+    placements = spark.range(3).select(i.cast("int").alias("p"), (50.0 + i).alias("cx"), F.lit(50.0).alias("cy"), F.lit(101.0).alias("cz"), (50.0 + i).alias("hx"), F.lit(90.0).alias("hy"), F.lit(100.0).alias("hz"), F.lit(4.0).alias("dist"))
+    dipoles = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.1)], "j int, sx double, sy double, sz double, mx double, my double, mz double")
+    with Subject(synth.cube_nodes(spark, 2), synth.cube_tets(spark, 2)) as s:
+        _, _, elements = s.potentials(placements, dipoles, 1e6)
+        assert not re.search(r"hashpartitioning\(p#\d+, (e|node)#", plan_of(elements))

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from fluxmesh.operators import mesh, search, source
+from fluxmesh.operators import mesh, metrics, search, source
 from fluxmesh.sources import synth
 from fluxmesh.subject import Subject
 
@@ -57,3 +57,13 @@ def test_a_request_on_a_small_mesh_is_dealt_by_placement_only(spark):
     with Subject(synth.cube_nodes(spark, 2), synth.cube_tets(spark, 2)) as s:
         _, _, elements = s.potentials(placements, dipoles, 1e6)
         assert not re.search(r"hashpartitioning\(p#\d+, (e|node)#", plan_of(elements))
+
+
+def test_a_region_of_interest_does_not_repeat_the_mesh_in_its_plan(spark):
+    rows = suppliers(spark, 8)
+    nodes, tets = synth.bar_nodes(rows), synth.bar_tets(rows)
+    elements = mesh.barycentres(nodes, tets).join(mesh.gradients(nodes, tets).select("e", "vol"), "e")
+    targets = spark.createDataFrame([("a", 60.0, 40.0, 50.0, 0.0), ("b", 60.0, 40.0, 50.0, 22.0)], "name string, tx double, ty double, tz double, radius double")
+    found = metrics.resolve_targets(elements, targets)
+    assert plan_of(found).count("Join") <= 4
+    assert {r.name for r in found.collect()} == {"a", "b"}

@@ -57,6 +57,13 @@ def test_a_request_on_a_small_mesh_is_dealt_by_placement_only(spark):
     with Subject(synth.cube_nodes(spark, 2), synth.cube_tets(spark, 2)) as s:
         _, _, elements = s.potentials(placements, dipoles, 1e6)
         assert not re.search(r"hashpartitioning\(p#\d+, (e|node)#", plan_of(elements))
+        # Nor are an ensemble's fields and an adjoint's values: what follows a solve is dealt by placement once.
+        by_more = r"hashpartitioning\(p#\d+, (k|e|node)#"
+        assert not re.search(by_more, plan_of(s.simulate_conductivity_uq(placements, dipoles, 1e6, n=2)))
+        solved, nodal, elements = s.potentials(placements, dipoles, 1e6, dealt=False)
+        assert not re.search(by_more, plan_of(s.raw_field(placements, solved, nodal, elements)))
+        weights = spark.createDataFrame([(0, i, 1.0, 0.0, 0.0) for i in range(27)], "d int, node int, wx double, wy double, wz double")
+        assert not re.search(by_more, plan_of(s.exact_functional(weights, nodal)))
 
 
 def test_a_region_of_interest_does_not_repeat_the_mesh_in_its_plan(spark):

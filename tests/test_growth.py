@@ -74,3 +74,16 @@ def test_a_region_of_interest_does_not_repeat_the_mesh_in_its_plan(spark):
     found = metrics.resolve_targets(elements, targets)
     assert plan_of(found).count("Join") <= 4
     assert {r.name for r in found.collect()} == {"a", "b"}
+
+
+def test_fields_of_many_dipoles_are_added_up_by_blocks(spark, monkeypatch):
+    i = F.col("id")
+    nodes = spark.range(60).select(i.cast("int").alias("node"), (25.0 * i).alias("x"), (i % 5 * 20.0).alias("y"), (i % 3 * 30.0).alias("z"))
+    dipoles = spark.range(90).select((i * 0.02).alias("sx"), (i % 7 * 0.01).alias("sy"), F.lit(0.11).alias("sz"), (i % 3 * 0.1).alias("mx"), F.lit(0.2).alias("my"), (i % 4 * 0.3).alias("mz"))
+    want = {r.node: r for r in source.dipole_field(nodes, dipoles, 1e6).collect()}
+    for name, value in (("HELD_DIPOLES", 10), ("BLOCK_ROWS", 16), ("TILE_NODES", 5), ("TILE_DIPOLES", 7)):
+        monkeypatch.setattr(source, name, value)
+    made = source.dipole_field(nodes, dipoles, 1e6)
+    assert "NestedLoop" not in plan_of(made) and "Cartesian" not in plan_of(made)
+    got = {r.node: r for r in made.collect()}
+    assert set(got) == set(want) and all(abs(got[k][c] - want[k][c]) < 1e-9 * max(1.0, abs(want[k][c])) for k in want for c in ("ax", "ay", "az"))

@@ -8,6 +8,7 @@ from fluxmesh.model import TISSUES, clean, tissue_table
 from fluxmesh.operators import ensemble, mesh, metrics, recovery, search, source, sparse
 from fluxmesh.plans.registry import query
 from fluxmesh.sources import synth
+from fluxmesh.sources.scratch import written
 
 # ---- SQL of the generated tables and of the shared steps --------------------------------------------------------
 
@@ -62,18 +63,20 @@ def out(df, keys, digits=6):
 
 
 class Tables:
-    """The mesh and request tables of one call, all lazy."""
+    """The mesh and request tables of one call, all lazy but those named in ``kept``: these are written once, for queries
+    that read them several times. Repeated, the plan of the mesh would fill the driver."""
 
-    def __init__(self, spark, sf_dir):
+    def __init__(self, spark, sf_dir, *kept):
+        keep = lambda name, df: written(df, name) if name in kept else df
         self.spark = spark
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
         customers = read("customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal"))
         suppliers = read("supplier")
         self.nodes, self.tets = synth.bar_nodes(suppliers), synth.bar_tets(suppliers)
-        self.grads = mesh.gradients(self.nodes, self.tets)
+        self.grads = keep("grads", mesh.gradients(self.nodes, self.tets))
         self.corners = sparse.conductivity(mesh.corners(self.grads), tissue_table(spark))
-        self.bary = mesh.barycentres(self.nodes, self.tets)
-        self.slots = mesh.tissue_slots(self.tets).withColumn("slot", F.col("slot").cast("int"))
+        self.bary = keep("bary", mesh.barycentres(self.nodes, self.tets))
+        self.slots = keep("slots", mesh.tissue_slots(self.tets).withColumn("slot", F.col("slot").cast("int")))
         self.potential = synth.bar_potential(suppliers)
         self.dadt = self.bary.select("e", *[(k * F.sqrt(F.col(f"b{b}") + 0.3)).alias(f"a{a}") for k, b, a in ((0.01, "y", "x"), (-0.01, "x", "y"), (0.001, "z", "z"))])
         self.placements = synth.bar_placements(customers)
@@ -301,14 +304,15 @@ def tentative_prolongator(spark, sf_dir):
 
 @query(sql(f"SELECT r, c, {R('v', 'v', 6)} FROM p1", KM, L1, AGG, SMOOTH))
 def smooth_prolongator(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return out(sparse.smooth_prolongator(t.k, sparse.tentative_prolongator(_aggregates(t))), ["r", "c"], 6)
+    t = Tables(spark, sf_dir, "grads")
+    return out(sparse.smooth_prolongator(written(t.k, "stiffness"), sparse.tentative_prolongator(_aggregates(t))), ["r", "c"], 6)
 
 
 @query(sql(f"SELECT a.c r, b.c c, {R('sum(a.v*k.v*b.v)', 'v', 6)} FROM p1 a JOIN k ON a.r = k.r JOIN p1 b ON k.c = b.r GROUP BY 1, 2", KM, L1, AGG, SMOOTH))
 def galerkin_product(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return out(sparse.galerkin(t.k, sparse.smooth_prolongator(t.k, sparse.tentative_prolongator(_aggregates(t)))), ["r", "c"], 6)
+    t = Tables(spark, sf_dir, "grads")
+    k = written(t.k, "stiffness")
+    return out(sparse.galerkin(k, written(sparse.smooth_prolongator(k, sparse.tentative_prolongator(_aggregates(t))), "prolongator")), ["r", "c"], 6)
 
 
 RE = "re AS (SELECT e, sum(-v*gx) x, sum(-v*gy) y, sum(-v*gz) z FROM co JOIN pot ON co.node = pot.node GROUP BY e), fld AS (SELECT re.e, x-ax ex, y-ay ey, z-az ez FROM re JOIN dadt ON re.e = dadt.e)"
@@ -458,25 +462,29 @@ def spr_volume_average(spark, sf_dir):
     return out(recovery.volume_means(t.corners, t.slots), ["slot", "e"], 7)
 
 
+#: Tables that a recovery reads several times.
+_RECOVERY = ("grads", "bary", "slots")
+
+
 def _slot_field(t):
     return recovery.recover_nodes(recovery.volume_means(t.corners, t.slots), sparse.reconstruct(t.corners, t.potential, t.dadt))
 
 
 @query(sql(f"SELECT slot, {R('ex', 'ex', 4)}, {R('ey', 'ey', 4)}, {R('ez', 'ez', 4)} FROM sfld", RE, RING, VW, SF))
 def recover_nodes(spark, sf_dir):
-    return out(_slot_field(Tables(spark, sf_dir)), ["slot"], 4)
+    return out(_slot_field(Tables(spark, sf_dir, *_RECOVERY)), ["slot"], 4)
 
 
 @query(sql("SELECT e, " + ", ".join(R(f"e{a}", f"e{a}", 4) for a in "xyz") + ", round(sqrt(ex*ex+ey*ey+ez*ez),4)+0e0 AS magn FROM (SELECT sc.e, sum(ex)/4e0 ex, sum(ey)/4e0 ey, sum(ez)/4e0 ez FROM sc JOIN sfld ON sc.slot = sfld.slot GROUP BY sc.e)", RE, RING, VW, SF))
 def recover_elements(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    t = Tables(spark, sf_dir, *_RECOVERY)
     return out(recovery.recover_elements(t.corners, t.slots, _slot_field(t)), ["e"], 4)
 
 
 @query(sql("SELECT nodes.node AS node, " + ", ".join(f"coalesce(round(e{a},4)+0e0, -1e300) AS e{a}" for a in "xyz") + " FROM nodes LEFT JOIN (SELECT node, ex, ey, ez FROM slots JOIN sfld ON slots.slot = sfld.slot WHERE tag = 3) q ON nodes.node = q.node", RE, RING, VW, SF))
 def nodal_field(spark, sf_dir):
     """NaN, which engines compare differently, is shown as -1e300."""
-    t = Tables(spark, sf_dir)
+    t = Tables(spark, sf_dir, *_RECOVERY)
     n = recovery.nodal_field(t.nodes, t.slots, _slot_field(t), 3)
     return n.select("node", *[F.when(F.isnan(f"e{a}"), F.lit(-1e300)).otherwise(clean(F.col(f"e{a}"), 4)).alias(f"e{a}") for a in "xyz"])
 
@@ -486,7 +494,7 @@ def nodal_field(spark, sf_dir):
 
 @query(sql(f"SELECT d.k, a.node r, b.node c, {R('sum(d.sigma*a.vol*(a.gx*b.gx+a.gy*b.gy+a.gz*b.gz))', 'v', 8)} FROM co a JOIN co b ON a.e = b.e JOIN dr d ON d.tag = a.tag GROUP BY 1, 2, 3", "dr AS (SELECT n_nationkey::INT k, tag::INT tag, 0.1e0 + (n_nationkey*7 + tag*3 + n_regionkey) % 11*0.05e0 sigma FROM nation, (VALUES (2), (3)) v(tag))"))
 def combine_matrix(spark, sf_dir):
-    t = Tables(spark, sf_dir)
+    t = Tables(spark, sf_dir, "grads")
     tag = F.explode(F.array(F.lit(2), F.lit(3))).alias("tag")
     sigmas = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey", tag)
     sigmas = sigmas.select(F.col("n_nationkey").cast("int").alias("k"), "tag", (0.1 + (F.col("n_nationkey") * 7 + F.col("tag") * 3 + F.col("n_regionkey")) % 11 * 0.05).alias("sigma"))

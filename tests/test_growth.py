@@ -95,3 +95,34 @@ def test_dipoles_of_blocked_pairs_are_added_up_before_they_meet_nodes(spark):
     plan = plan_of(blocked_pairs(spark, "/root/testdata/sf0.001"))
     join = plan.index("ShuffledHashJoin")
     assert plan.index("HashAggregate", join) > join and "sum(mx#" in plan[join:]
+
+
+def test_plans_of_a_mesh_read_several_times_do_not_repeat_it(spark):
+    from fluxmesh.plans import mesh_queries as m
+
+    sf = "/root/testdata/sf0.001"
+    # Joins of nodes' coordinates: four for each time the mesh is made.
+    for made, most in ((m.combine_matrix, 5), (m.galerkin_product, 5), (m.recover_elements, 14), (m.nodal_field, 14)):
+        assert plan_of(made(spark, sf)).count("Join") <= most, made.__name__
+
+
+def test_weights_on_a_large_mesh_do_not_carry_cached_plans(spark, monkeypatch):
+    monkeypatch.setattr("fluxmesh.subject.HELD_CORNERS", 1)
+    rows = suppliers(spark, 6)
+    with Subject(synth.bar_nodes(rows), synth.bar_tets(rows)) as s:
+        weights = s.harmonic_weights()
+        assert "InMemory" not in plan_of(weights) and "Join" not in plan_of(weights)
+        assert weights.select("slot").distinct().count() == s.slots.count()
+
+
+def test_a_layout_has_a_bounded_number_of_folders(spark, monkeypatch, tmp_path):
+    from fluxmesh.sources import layout
+
+    monkeypatch.setattr(layout, "MOST_BLOCKS", 5)
+    rows = suppliers(spark, 12)
+    layout.write_layout(synth.bar_nodes(rows), synth.bar_tets(rows), None, f"file://{tmp_path}/m", 8)
+    assert len(list((tmp_path / "m" / "nodes").glob("block=*"))) == 5
+    points = spark.createDataFrame([(0, 60.0, 40.0, 55.0)], "p int, cx double, cy double, cz double")
+    bary = mesh.barycentres(synth.bar_nodes(rows), synth.bar_tets(rows))
+    near = bary.where("(bx-60)*(bx-60)+(by-40)*(by-40)+(bz-55)*(bz-55) <= 900").count()
+    assert layout.elements_near(spark, f"file://{tmp_path}/m", points, 30.0).count() == near > 0

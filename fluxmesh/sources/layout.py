@@ -11,18 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxmesh.operators import mesh, spatial
+from fluxmesh.sources.scratch import written
 
 #: Nodes of a block: some six times as many elements, 400 bytes a node altogether.
 BLOCK_NODES = 1 << 18
 #: Blocks that a filter names; a request that touches more joins them instead.
 NAMED_BLOCKS = 10_000
+#: Folders of a table: the driver lists them all, so a mesh of more blocks takes larger ones.
+MOST_BLOCKS = 2048
 
 
 def write_layout(nodes: DataFrame, tets: DataFrame, tris: DataFrame | None, path: str, block_nodes: int = BLOCK_NODES) -> None:
-    """Write the reordered mesh below ``path``: ``nodes``, ``tets`` (with barycentres), ``tris`` and ``bounds``."""
-    ids = mesh.curve_order(nodes).persist()
+    """Write the reordered mesh below ``path``: ``nodes``, ``tets`` (with barycentres), ``tris`` and ``bounds``.
+
+    A block has ``block_nodes`` nodes, or as many more as keep the folders at ``MOST_BLOCKS``.
+    """
+    # Written, not cached: a cached table's plan stands in every plan that reads it, and would fill the driver.
+    ids = written(mesh.curve_order(nodes), "curve")
+    block_nodes = max(block_nodes, -(-ids.count() // MOST_BLOCKS))
     nodes, tets, tris = mesh.reordered(nodes, tets, tris, ids)
-    tets = tets.persist()
+    tets = written(tets, "moved")
 
     def put(rows: DataFrame, place, order: str, name: str) -> None:
         rows = rows.withColumn("block", F.floor(place / block_nodes).cast("int"))
@@ -33,8 +41,6 @@ def write_layout(nodes: DataFrame, tets: DataFrame, tris: DataFrame | None, path
     put(tets.join(mesh.barycentres(nodes, tets), "e"), F.least(*mesh.LOCAL), "e", "tets")
     if tris is not None:
         put(tris, F.least("a", "b", "c"), "t", "tris")
-    for kept in (ids, tets):
-        kept.unpersist()
     found = nodes.sparkSession.read.parquet(f"{path}/tets").groupBy("block")
     found.agg(F.count("*").alias("n"), *[f(f"b{a}").alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).coalesce(1).write.parquet(f"{path}/bounds")
 

@@ -126,3 +126,23 @@ def test_a_layout_has_a_bounded_number_of_folders(spark, monkeypatch, tmp_path):
     bary = mesh.barycentres(synth.bar_nodes(rows), synth.bar_tets(rows))
     near = bary.where("(bx-60)*(bx-60)+(by-40)*(by-40)+(bz-55)*(bz-55) <= 900").count()
     assert layout.elements_near(spark, f"file://{tmp_path}/m", points, 30.0).count() == near > 0
+
+
+def test_rows_of_an_index_are_shuffled_once(spark):
+    from fluxmesh.model import FieldSpec
+    from fluxmesh.operators import ordering
+
+    i = F.col("id")
+    rows = spark.range(400).select((i % 3).alias("g"), (i * 7 % 101).cast("double").alias("v"), (i % 5 + 1).cast("double").alias("w"), i.alias("k"), F.array(F.lit("all")).alias("regions"))
+    plan = plan_of(ordering.ranked(rows, FieldSpec("v", "w", ("g",), ("k",)), ["all"], by_range=True))
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan and "lambda c" not in plan
+
+
+def test_samples_meet_few_tiles_without_a_shuffle(spark):
+    i = F.col("id")
+    samples = spark.range(50).select(F.lit(0).alias("p"), i.cast("int").alias("j"), (i * 1.0).alias("x"), (i * 0.5).alias("y"), (i * 0.25).alias("z"), F.lit(1.0).alias("mx"), F.lit(0.0).alias("my"), F.lit(0.0).alias("mz"))
+    grid = search.grid_shape(samples, 5.0, 5.0)
+    q = search.grid_points(spark, grid).select(F.lit(0).alias("d"), "ix", "iy", "iz", F.col("x").alias("qx"), F.lit(0.0).alias("qy"), F.lit(0.0).alias("qz"))
+    e = search.reciprocity(samples, grid, q, 2.0)
+    assert "hashpartitioning(tx#" not in plan_of(e)
+    assert abs(e.first()["e"] - 2.0 * sum(range(50))) < 1e-6

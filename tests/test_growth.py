@@ -111,7 +111,7 @@ def test_weights_on_a_large_mesh_do_not_carry_cached_plans(spark, monkeypatch):
     rows = suppliers(spark, 6)
     with Subject(synth.bar_nodes(rows), synth.bar_tets(rows)) as s:
         weights = s.harmonic_weights()
-        assert "InMemory" not in plan_of(weights) and "Join" not in plan_of(weights)
+        assert "InMemoryTableScan" not in plan_of(weights) and "Join" not in plan_of(weights)
         assert weights.select("slot").distinct().count() == s.slots.count()
 
 

@@ -146,3 +146,28 @@ def test_samples_meet_few_tiles_without_a_shuffle(spark):
     e = search.reciprocity(samples, grid, q, 2.0)
     assert "hashpartitioning(tx#" not in plan_of(e)
     assert abs(e.first()["e"] - 2.0 * sum(range(50))) < 1e-6
+
+
+def test_alike_dipoles_are_placed_once(spark, monkeypatch):
+    monkeypatch.setattr(source, "ALIKE_ROWS", 8)
+    i = F.col("id")
+    axes = [F.lit(float(a == b)).alias(f"r{a}{b}") for a in range(3) for b in range(3)]
+    frames = spark.range(5).select(i.cast("int").alias("p"), *axes, (10.0 * i).alias("ox"), F.lit(0.0).alias("oy"), F.lit(-0.0).alias("oz"))
+    dipoles = spark.range(60).select(i.cast("int").alias("j"), (i % 2 * 0.008).alias("sx"), F.lit(0.0).alias("sy"), F.lit(0.0).alias("sz"), F.lit(0.1).alias("mx"), F.lit(0.0).alias("my"), (i % 3 * 0.01).alias("mz"))
+    dipoles = dipoles.unionByName(dipoles.where("j = 7"))  # repeated rows count
+    alike = source.place_alike(frames, dipoles)
+    columns = ["p", "j", "sx", "sy", "sz", "mx", "my", "mz"]
+    got = sorted(tuple(r) for r in alike.select("p", F.explode("js").alias("q"), *columns[2:]).select("p", "q.j", *columns[2:]).collect())
+    assert got == sorted(tuple(r) for r in source.place_dipoles(frames, dipoles).select(*columns).collect()) and len(got) == 305
+    assert alike.count() < 305
+
+
+def test_scaled_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    from fluxmesh.model import clean_scaled
+
+    values = [0.0, -0.0, 0.5, -0.5, 2.5e-7, -2.5e-7, 0.25e-7, 1.00000005, -1.23456785, 4.9999999999999994e-8, 1234.56789012345, 3e9, -7e12, 1e300, float("inf"), float("nan"), None]
+    got = [r.v for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", clean_scaled(F.col("x"), 7).alias("v")).orderBy("i").collect()]
+    want = [None if v is None else duckdb.sql(f"SELECT round('{v!r}'::DOUBLE, 7) + 0e0").fetchall()[0][0] for v in values]
+    assert [repr(a) for a in got] == [repr(b) for b in want]

@@ -171,3 +171,13 @@ def test_scaled_rounding_is_that_of_sql(spark):
     got = [r.v for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", clean_scaled(F.col("x"), 7).alias("v")).orderBy("i").collect()]
     want = [None if v is None else duckdb.sql(f"SELECT round('{v!r}'::DOUBLE, 7) + 0e0").fetchall()[0][0] for v in values]
     assert [repr(a) for a in got] == [repr(b) for b in want]
+
+
+def test_grid_values_and_samples_are_not_broadcast(spark):
+    i = F.col("id")
+    samples = spark.range(50).select(i.cast("int").alias("j"), (i * 1.0).alias("x"), (i * 0.5).alias("y"), (i * 0.25).alias("z"))
+    grid = search.grid_shape(samples, 5.0, 5.0)
+    q = search.grid_points(spark, grid).select(F.lit(0).alias("d"), "ix", "iy", "iz", F.col("x").alias("q"))
+    out = search.trilinear(samples, grid, q, ["j"], ["q"], ("d",))
+    assert all(abs(r.q - r.j) < 1e-9 for r in out.collect()) and out.count() == 50
+    assert "SortMergeJoin" in plan_of(out) and "Broadcast" not in plan_of(out)

@@ -497,12 +497,12 @@ def nodal_field(spark, sf_dir):
 
 @query(sql(f"SELECT d.k, a.node r, b.node c, {R('sum(d.sigma*a.vol*(a.gx*b.gx+a.gy*b.gy+a.gz*b.gz))', 'v', 8)} FROM co a JOIN co b ON a.e = b.e JOIN dr d ON d.tag = a.tag GROUP BY 1, 2, 3", "dr AS (SELECT n_nationkey::INT k, tag::INT tag, 0.1e0 + (n_nationkey*7 + tag*3 + n_regionkey) % 11*0.05e0 sigma FROM nation, (VALUES (2), (3)) v(tag))"))
 def combine_matrix(spark, sf_dir):
-    t = Tables(spark, sf_dir, "grads")
-    tag = F.explode(F.array(F.lit(2), F.lit(3))).alias("tag")
+    t, tags = Tables(spark, sf_dir), [2, 3]
+    tag = F.explode(F.array(*[F.lit(i) for i in tags])).alias("tag")
     sigmas = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey", tag)
     sigmas = sigmas.select(F.col("n_nationkey").cast("int").alias("k"), "tag", (0.1 + (F.col("n_nationkey") * 7 + F.col("tag") * 3 + F.col("n_regionkey")) % 11 * 0.05).alias("sigma"))
-    by_tissue = sparse.stiffness(t.corners.withColumn("sigma", F.lit(1.0)), by=("tag",))
-    return out(ensemble.combine(by_tissue, sigmas), ["k", "r", "c"], 8)
+    parts = written(sparse.unit_parts(t.grads, tags), "parts")
+    return out(ensemble.combine_parts(parts, sigmas, tags), ["k", "r", "c"], 8)
 
 
 SAMP = "sm AS (SELECT p_partkey::INT j, (p_partkey//25)::INT p, 1.1e0*p_partkey x, 5e0+90e0*((p_partkey*59)%101)/101e0 y, 95e0+60e0*((p_partkey*83)%101)/101e0 z, (p_partkey%3)*0.1e0 mx, 0.2e0 my, p_size*0.01e0 mz FROM part)"

@@ -181,3 +181,17 @@ def test_grid_values_and_samples_are_not_broadcast(spark):
     out = search.trilinear(samples, grid, q, ["j"], ["q"], ("d",))
     assert all(abs(r.q - r.j) < 1e-9 for r in out.collect()) and out.count() == 50
     assert "SortMergeJoin" in plan_of(out) and "Broadcast" not in plan_of(out)
+
+
+def test_draws_of_a_matrix_are_not_shuffled(spark):
+    from fluxmesh.operators import ensemble, sparse
+    from fluxmesh.plans import mesh_queries as m
+
+    assert "hashpartitioning(k#" not in plan_of(m.combine_matrix(spark, "/root/testdata/sf0.001")).split("BroadcastExchange")[0]
+    rows = suppliers(spark, 4)
+    grads = mesh.gradients(synth.bar_nodes(rows), synth.bar_tets(rows))
+    sigmas = spark.createDataFrame([(0, 2, 0.5), (0, 3, 1.5), (1, 3, 2.0)], "k int, tag int, sigma double")
+    by_tissue = sparse.stiffness(mesh.corners(grads).withColumn("sigma", F.lit(1.0)), by=("tag",))
+    want = {(r.k, r.r, r.c): r.v for r in ensemble.combine(by_tissue, sigmas).collect()}
+    got = {(r.k, r.r, r.c): r.v for r in ensemble.combine_parts(sparse.unit_parts(grads, [2, 3]), sigmas, [2, 3]).collect()}
+    assert set(got) == set(want) and all(abs(got[e] - want[e]) < 1e-9 for e in want)

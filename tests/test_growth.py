@@ -2,6 +2,7 @@
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fluxmesh.operators import mesh, metrics, search, source
@@ -195,3 +196,27 @@ def test_draws_of_a_matrix_are_not_shuffled(spark):
     want = {(r.k, r.r, r.c): r.v for r in ensemble.combine(by_tissue, sigmas).collect()}
     got = {(r.k, r.r, r.c): r.v for r in ensemble.combine_parts(sparse.unit_parts(grads, [2, 3]), sigmas, [2, 3]).collect()}
     assert set(got) == set(want) and all(abs(got[e] - want[e]) < 1e-9 for e in want)
+
+
+def test_far_dipoles_meet_nodes_as_equivalent_ones(spark, monkeypatch):
+    i = F.col("id")
+    h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(100_003)) / 100_003.0
+    # A bar, a cloud and a crowd: cells that are thin, whole and overfull.
+    bar = spark.range(6000).select(*[(h(k) * s).alias(a) for k, (a, s) in enumerate((("x", 40.0), ("y", 0.03), ("z", 0.0)))], "id")
+    cloud = spark.range(3000).select(*[(h(k) * 10.0).alias(a) for k, a in enumerate("xyz")], "id")
+    crowd = spark.range(3000).select(*[(0.5 + h(k) * 0.01).alias(a) for k, a in enumerate("xyz")], "id")
+    for places in (bar, cloud, cloud.unionByName(crowd)):
+        dipoles = places.select(*[F.col(a).alias(f"s{a}") for a in "xyz"], (h(7) - 0.5).alias("mx"), (h(8) - 0.5).alias("my"), (h(9) - 0.5).alias("mz"))
+        nodes = places.where("id % 7 = 0").select(F.row_number().over(Window.orderBy("x", "y", "z")).alias("node"), ((F.col("x") + 0.01) * 1e3).alias("x"), ((F.col("y") + 0.1) * 1e3).alias("y"), ((F.col("z") + 0.07) * 1e3).alias("z"))
+        monkeypatch.setattr(source, "CELL_DIPOLES", 40)
+        monkeypatch.setattr(source, "BLOCK_ROWS", 64)
+        dipoles, nodes = dipoles.localCheckpoint(), nodes.localCheckpoint()
+        want = {r.node: r for r in source.dipole_field(nodes, dipoles).collect()}
+        monkeypatch.setattr(source, "TREE_PAIRS", 1)
+        got = {r.node: r for r in source.dipole_field(nodes, dipoles).collect()}
+        monkeypatch.undo()
+        assert set(got) == set(want) and len(got) > 400
+        size = sum(abs(want[k][c]) for k in want for c in ("ax", "ay", "az")) / len(want)
+        assert max(abs(got[k][c] - want[k][c]) for k in want for c in ("ax", "ay", "az")) < 1e-12 * size
+    # In place of 6000 dipoles of the bar, a far cell is as many equivalent ones as its size asks for.
+    assert source._orders(1.0, [40.0, 0.03, 0.0])[2] == 1 and source._orders(1.0, [40.0, 0.03, 0.0])[1] < 12
